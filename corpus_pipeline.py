@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from spendlake.llm import mixing, packing, queries, rules, scratch, simhash, substring
 
-#: Near copies: five-word shingles. A pair of similarity 0.8 differs in about 39 of 256 bits, unrelated texts in 128.
-NEAR = {"shingle": 5, "words": 4, "radius": 17, "wide": 52}
+#: Near copies: five-word shingles. A pair of similarity 0.8 differs in 78 of 512 bits on average (deviation 8), unrelated texts in 256.
+NEAR = {"shingle": 5, "words": 8, "radius": 17, "wide": 86, "once": True}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import scratch, text
 from .components import components, forest
 
-TILE = 8192
+TILE = 16384
 SEED = 42
 
 
@@ -54,14 +54,26 @@ def _fingerprints(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """`doc_id` and `fp0` .. `fp{words-1}`: 64 bits of the SimHash each, as signed longs."""
+def _once(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once in a row."""
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.bincount(row[new], minlength=len(n))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, once: bool = False) -> DataFrame:
+    """`doc_id` and `fp0` .. `fp{words-1}`: 64 bits of the SimHash each, as signed longs. `once`: repeats in a text count once."""
     names = [f"fp{k}" for k in range(words)]
 
     def job(batches):
         for batch in batches:
             for part in text.slices(batch):
                 hashes, n = _shingle_hashes(*text.buffers(part.column("text")), shingle)
+                if once:
+                    hashes, n = _once(hashes, n)
                 fps = [_fingerprints(hashes if not k else text.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))), n).view(np.int64) for k in range(words)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, fps)], ["doc_id", *names])
 
@@ -71,16 +83,25 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
 
 def _compare(a: np.ndarray, b: np.ndarray, radius: int, wide: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints of two tiles, as a spanning forest of row numbers; rows of b follow those of a."""
+    order_a, order_b = (np.argsort(np.bitwise_count(x[:, 0]), kind="stable") for x in (a, b))
+    ones_a, ones_b = np.bitwise_count(a[order_a, 0]).astype(int), np.bitwise_count(b[order_b, 0]).astype(int)
+    first_a, first_b = a[order_a, 0], b[order_b, 0]
     u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(a), 64):
-        x, y = np.nonzero(np.bitwise_count(a[at : at + 64, None, 0] ^ b[None, :, 0]) <= radius)
-        x = x + at
+    for at in range(0, len(a), 32):
+        to = min(at + 32, len(a))
+        low, high = np.searchsorted(ones_b, [ones_a[at] - radius, ones_a[to - 1] + radius + 1])
         if same:
-            x, y = x[y > x], y[y > x]
-        if a.shape[1] > 1 and len(x):
-            ok = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= wide
-            x, y = x[ok], y[ok]
-        u, v = np.concatenate([u, x]), np.concatenate([v, y if same else y + len(a)])
+            low = max(low, at)
+        for begin in range(low, high, 8192):
+            x, y = np.nonzero(np.bitwise_count(first_a[at:to, None] ^ first_b[None, begin : min(begin + 8192, high)]) <= radius)
+            x, y = order_a[x + at], order_b[y + begin]
+            if same:
+                x, y = x[x != y], y[x != y]
+            if a.shape[1] > 1 and len(x):
+                ok = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= wide
+                x, y = x[ok], y[ok]
+            if len(x):
+                u, v = np.concatenate([u, x]), np.concatenate([v, y if same else y + len(a)])
         if len(u) > 1 << 20:
             u, v = forest(u, v)
     return forest(u, v)
@@ -89,7 +110,7 @@ def _compare(a: np.ndarray, b: np.ndarray, radius: int, wide: int, same: bool) -
 def links(nodes: DataFrame, radius: int = 3, wide: int = 0, words: int = 1) -> DataFrame:
     """Links `(a, b)` of `node` ids that span the same components as all pairs within `radius` bits of `fp0`.
 
-    Fingerprints are dealt into tiles of one population count and at most about `TILE` rows. Pairs of tiles whose
+    Fingerprints are dealt into tiles of neighbouring population counts and about `TILE` rows at most. Pairs of tiles whose
     counts differ by more than `radius` cannot hold a link and are never made; the others are compared
     exactly, xor and bit count, in numpy. With more than one word, all words together may differ in at
     most `wide` bits too. A task returns a spanning forest of the links it finds, so a group of g
@@ -101,20 +122,25 @@ def links(nodes: DataFrame, radius: int = 3, wide: int = 0, words: int = 1) -> D
     sizes = {r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     if not sizes:
         return spark.createDataFrame([], "a long, b long")
-    parts = {p: -(-n // TILE) for p, n in sizes.items()}
-    n_parts = F.create_map(*(F.lit(x) for kv in parts.items() for x in kv))
+    # tiles: neighbouring counts together up to TILE rows, a larger count in parts
+    bands: list[list[int]] = []  # lowest count, highest count, rows
+    for p in sorted(sizes):
+        if bands and bands[-1][2] + sizes[p] <= TILE:
+            bands[-1][1:] = [p, bands[-1][2] + sizes[p]]
+        else:
+            bands.append([p, p, sizes[p]])
+    parts = [-(-n // TILE) for _, _, n in bands]
+    band_of = F.create_map(*(F.lit(x) for k, (low, high, _) in enumerate(bands) for p in range(low, high + 1) for x in (p, k)))
+    n_parts = F.array(*map(F.lit, parts))
+    reach = F.array(*(F.lit(max(j for j, (low, _, _) in enumerate(bands) if low - high <= radius)) for _, high, _ in bands))
+    dealt = counted.withColumn("band", band_of[F.col("ones")])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*fps), F.get(n_parts, F.col("band"))).cast("int"))
     tiles = scratch.stored(
-        counted.withColumn("part", F.pmod(F.xxhash64(*fps), n_parts[F.col("ones")]).cast("int"))
-        .groupBy("ones", "part")
-        .agg(F.collect_list(F.struct("node", *fps)).alias("items"))
-        .select(F.concat_ws("-", "ones", "part").alias("tile"), "ones", "part", "items")
-    )
-    pairs = tiles.select("tile", "ones", "part").withColumn("other_ones", F.explode(F.sequence("ones", F.col("ones") + F.lit(radius))))
-    pairs = pairs.withColumn("others", n_parts[F.col("other_ones")]).filter("others > 0")
-    pairs = pairs.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    pairs = pairs.filter("other_ones > ones or other_part >= part").select(
-        "tile", F.concat_ws("-", "other_ones", "other_part").alias("other")
+        dealt.groupBy("band", "part").agg(F.collect_list(F.struct("node", *fps)).alias("items")).select(F.concat_ws("-", "band", "part").alias("tile"), "band", "part", "items")
     )
+    pairs = tiles.select("tile", "band", "part").withColumn("other_band", F.explode(F.sequence("band", F.get(reach, F.col("band")))))
+    pairs = pairs.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.get(n_parts, F.col("other_band")) - 1)))
+    pairs = pairs.filter("other_band > band or other_part >= part").select("tile", F.concat_ws("-", "other_band", "other_part").alias("other"))
     other = tiles.select(F.col("tile").alias("other"), F.col("items").alias("other_items"))
     both = pairs.repartition(F.col("tile"), F.col("other")).join(tiles.select("tile", "items"), "tile").join(other, "other")
 
@@ -137,10 +163,10 @@ def links(nodes: DataFrame, radius: int = 3, wide: int = 0, words: int = 1) -> D
     return both.select("tile", "other", "items", "other_items").mapInArrow(job, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, wide: int = 0) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, wide: int = 0, once: bool = False) -> DataFrame:
     """`doc_id`, `fingerprint` (hex) and `component_id`, the smallest `doc_id` linked directly or through others."""
     fps = [f"fp{k}" for k in range(words)]
-    rows = scratch.stored(fingerprints(docs, shingle, words))
+    rows = scratch.stored(fingerprints(docs, shingle, words, once))
     node = F.col("fp0") if words == 1 else F.xxhash64(*fps)
     rows = rows.withColumn("node", node)
     nodes = scratch.stored(rows.groupBy("node", *fps).agg(F.min("doc_id").alias("first")))
