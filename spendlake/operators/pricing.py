@@ -127,4 +127,4 @@ def category_mix(rows: DataFrame, category: str, period: str, first, second) ->
 
 def variation_distance(mix: DataFrame) -> DataFrame:
     """One row: half the sum of absolute share deltas, and the category of the largest shift."""
-    return mix.agg(F.round(F.sum(F.abs("delta_pp")) / 2, 4).alias("tvd"), F.max_by("category", F.struct(F.abs("delta_pp"), "category")).alias("largest"))
+    return mix.agg(F.round(F.sum(F.abs("delta_pp")) / 2, 4).alias("tvd"), F.max_by(F.coalesce("category", F.lit("sem categoria")), F.abs("delta_pp")).alias("largest"))

@@ -1,4 +1,5 @@
 """All queries of the library by name, with their SQL."""
 
-QUERIES = {}
-SQL = {}
+from .plans.analytics import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
