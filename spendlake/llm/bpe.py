@@ -32,8 +32,10 @@ from . import text
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 3, 4, 0
 CHUNK = 256
-MAX_STATES = 1 << 17
+MAX_STATES, MAX_KNOWN = 1 << 16, 1 << 19
 FEW = 64
+#: Text encoded at a time: the arrays for it take some 60 bytes each.
+ENCODE_BYTES = 1 << 20
 PLANE = 0x10000
 AUDIT_EVERY = 512
 _CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -132,15 +134,15 @@ class Transducer:
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.parts = {i: (a, b, rank) for (a, b), (rank, i) in self.merges.items()}
         self.one_way = len(self.parts) == len(self.merges)
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.same: dict[tuple[int, int], int | None] = {}
-        self.leader: dict[tuple[int, tuple[int, ...]], int] = {}
+        self.stable: dict[int, bool] = {}
         self.size = np.zeros(max(self.spelling) + 1, np.int32)
         self.size[list(self.spelling)] = [len(x) for x in self.spelling.values()]
         self.reset()
 
     def reset(self) -> None:
         """Forget all states but the root; symbols get columns as they are met."""
+        self.same: dict[tuple[int, int], int | None] = {}
+        self.leader: dict[tuple[int, bytes], int] = {}
         self.column = np.full(512, -1, np.int32)
         self.width, self.n = 128, 1
         self.symbol_of: list[int] = []
@@ -181,15 +183,14 @@ class Transducer:
                 right, built = of_right[0], of_right[2] + 0.5
 
     def fits(self, before: int, token: int) -> bool:
-        key = (before, token)
-        if key not in self.stable:
-            if before < 0:
-                self.stable[key] = self.merge(self.spelling[token]) == [token]
-            elif self.one_way:
-                self.stable[key] = self.fits(-1, token) and self.untouched(before, token)
-            else:
-                self.stable[key] = self.merge(self.spelling[before] + self.spelling[token]) == [before, token]
-        return self.stable[key]
+        """Whether the merges give `token` after the last token `before` (-1: at a piece's start)."""
+        if token not in self.stable:
+            self.stable[token] = self.merge(self.spelling[token]) == [token]
+        if before < 0 or not self.stable[token]:
+            return self.stable[token]
+        if self.one_way:
+            return self.untouched(before, token)
+        return self.merge(self.spelling[before] + self.spelling[token]) == [before, token]
 
     def stand_in(self, node: int, before: int) -> int | None:
         """One last token for all that let the same longer tokens below `node` through; None if there are none."""
@@ -198,8 +199,8 @@ class Transducer:
             if (below := self.below[node]) is None:
                 self.same[key] = before
             else:
-                through = tuple(t for t in below if self.fits(before, t))
-                self.same[key] = self.leader.setdefault((node, through), before) if through else None
+                through = bytes(self.fits(before, t) for t in below)
+                self.same[key] = self.leader.setdefault((node, through), before) if any(through) else None
         return self.same[key]
 
     def step(self, state: int, symbol: int) -> tuple[int, int]:
@@ -254,7 +255,7 @@ class Transducer:
     def run(self, symbols: np.ndarray, starts: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Emitted count at each symbol and, if wanted, the last token there. A piece starts where starts is true."""
         n = len(symbols)
-        if self.n > MAX_STATES:
+        if self.n > MAX_STATES or len(self.same) > MAX_KNOWN:
             self.reset()
         lanes = max(1, -(-n // CHUNK))
         cols = np.zeros(lanes * CHUNK, np.int32)

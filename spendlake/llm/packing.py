@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, text
-from .bpe import Compiled
+from .bpe import ENCODE_BYTES, Compiled
 from .tokens import with_end
 
 GROUPS = 128
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2)
 
     def job(batches):
         for batch in batches:
-            for part in text.slices(batch):
+            for part in text.slices(batch, size=ENCODE_BYTES):
                 counts, ids = compiled.encoder().encode(part.column("text"))
                 ids, offsets = with_end(counts, ids, end)
                 n = np.diff(offsets)

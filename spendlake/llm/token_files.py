@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, text
-from .bpe import Compiled
+from .bpe import ENCODE_BYTES, Compiled
 from .tokens import with_end
 
 BLOCK = 512
@@ -90,7 +90,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
             return pa.RecordBatch.from_arrays(row, ["shard", "segment", "start", "n", "doc_ids", "lengths", "index", "payload"])
 
         for batch in batches:
-            for part in text.slices(batch):
+            for part in text.slices(batch, size=ENCODE_BYTES):
                 counts, ids = compiled.encoder().encode(part.column("text"))
                 ids, offsets = with_end(counts, ids, end)
                 named, sizes, a = part.column("doc_id").to_pylist(), np.diff(offsets).tolist(), 0

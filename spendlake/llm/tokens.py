@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text
-from .bpe import Compiled
+from .bpe import ENCODE_BYTES, Compiled
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -21,7 +21,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
 
     def job(batches):
         for batch in batches:
-            for part in text.slices(batch):
+            for part in text.slices(batch, size=ENCODE_BYTES):
                 _, offsets = text.buffers(part.column("text"))
                 counts, _ = compiled.encoder().encode(part.column("text"), want_ids=False)
                 yield pa.RecordBatch.from_arrays(
