@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder name below `spark.checkpoint.dir`; a local one only where that setting is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +20,15 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write a DataFrame once and read it back: lineage is cut and a lost executor costs no recomputation."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a DataFrame once and read it back: lineage is cut and a lost executor costs no recomputation.
+
+    The job's shuffle files are of no use once the table is there; Spark is told to remove them.
+    """
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
