@@ -107,7 +107,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 3):
         self.rate = float(y.mean()) if len(y) else 0.5
-        self.constant = not 0 < self.rate < 1
+        self.constant = not len(y) or not 0 < self.rate < 1
         self.temperature = 1.0
         if self.constant:
             return

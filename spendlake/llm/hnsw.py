@@ -51,11 +51,13 @@ def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry:
         active, pick, live = active[going], pick[going], live[going]
         if not len(active):
             break
-        done[active[:, None], pick] |= live
+        hit = np.nonzero(live)
+        done[active[hit[0]], pick[hit]] = True
         nodes = np.where(live, ids[active[:, None], pick], 0)
         found = np.where(live[:, :, None], near[nodes], -1).reshape(len(active), -1)
         known = seen[active[:, None], np.maximum(found, 0)] | (found < 0)
-        seen[active[:, None], np.maximum(found, 0)] |= found >= 0
+        real = np.nonzero(found >= 0)
+        seen[active[real[0]], found[real]] = True
         order = np.sort(np.where(known, -1, found), axis=1)
         fresh = order >= 0
         fresh[:, 1:] &= order[:, 1:] != order[:, :-1]

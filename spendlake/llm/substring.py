@@ -106,9 +106,13 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     return windows.join(earliest, "window").filter("doc_id > low").groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
 
 
-def dedup(docs: DataFrame, width: int = 13) -> DataFrame:
-    """`docs` with `n_words`, `n_removed`, `kept_text` (words left, joined by a space) and `spans` of removed words."""
-    names = docs.columns
+def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
+    """`docs` with `n_words`, `n_removed`, `kept_text` (words left, joined by a space) and `spans` of removed words.
+
+    These names, after `prefix`, replace columns of the same names.
+    """
+    figures = ["n_words", "n_removed", "kept_text", "spans"]
+    names = [c for c in docs.columns if c not in {prefix + f for f in figures}]
     rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")), F.lit(0).alias("_")).alias("_row"))
     joined = rows.join(repeats(docs, width), "doc_id", "left")
 
@@ -149,4 +153,4 @@ def dedup(docs: DataFrame, width: int = 13) -> DataFrame:
 
     schema = joined.drop("windows").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", T.ArrayType(T.LongType()))
     out = joined.select("doc_id", "text", "_row", "windows").mapInArrow(job, schema)
-    return out.select(*(c if c in ("doc_id", "text") else F.col(f"_row.`{c}`") for c in names), "n_words", "n_removed", "kept_text", "spans")
+    return out.select(*(c if c in ("doc_id", "text") else F.col(f"_row.`{c}`") for c in names), *(F.col(f).alias(prefix + f) for f in figures))
