@@ -1,7 +1,7 @@
 """Vectorised views of Arrow text columns: byte buffers, word spans and word hashes.
 
 All helpers work on one Arrow batch inside a task; Spark partitions the rows. Batches are walked in
-slices of a few MB of text, so memory does not depend on how many long texts a batch holds.
+slices of about 1 MB of text, so memory does not depend on how many long texts a batch holds.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
