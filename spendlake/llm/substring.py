@@ -103,7 +103,7 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     seeded = found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
     windows = scratch.stored(docs.join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, f"doc_id {kind}, window long"))
     earliest = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low")
-    return windows.join(earliest, "window").filter("doc_id > low").groupBy("doc_id").agg(F.collect_list("window").alias("windows"))
+    return scratch.stored(windows.join(earliest, "window").filter("doc_id > low").groupBy("doc_id").agg(F.collect_list("window").alias("windows")))
 
 
 def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
