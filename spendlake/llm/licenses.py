@@ -38,7 +38,6 @@ TEMPLATES = (
 )
 
 RARE = 8
-COMMON = 0.2
 
 _WORD = np.ones(256, dtype=bool)
 _WORD[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
@@ -93,8 +92,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """
     total, frequency = document_frequency(docs)
     idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) for w in vocabulary()}
-    usable = sorted(w for w in idf if frequency.get(w, 0) <= COMMON * max(total, 1))
-    index = {int(h): w for h, w in zip(_hash(usable), usable, strict=True)} if usable else {}
+    index = {int(h): w for h, w in zip(_hash(list(idf)), idf, strict=True)}
     keys = np.array(sorted(index), np.uint64)
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, (_, body, _) in enumerate(templates):

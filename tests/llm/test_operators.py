@@ -170,6 +170,14 @@ def test_licenses(spark, edge, docs):
     assert licenses.scan(edge.limit(0)).count() == 0
 
 
+def test_license_notice_in_a_third_of_rows(spark):
+    for label, body, _ in licenses.TEMPLATES:
+        for n in (1, 3, 30):
+            rows = [(k, body.upper() if k % 3 == 0 else f"plain text {k}") for k in range(n)]
+            got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got == {k: (label, 1.0) if k % 3 == 0 else ("", 0.0) for k in range(n)}, (body, n)
+
+
 def test_rules(spark, edge):
     assert compare.rows(queries.op9_quality_rules(spark, SF).toPandas()) == compare.rows(compare.oracle(SF, rules.SQL))
     assert rules.judge(edge).count() == len(ROWS) and rules.keep(edge).columns == edge.columns
