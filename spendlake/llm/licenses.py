@@ -1,11 +1,12 @@
 """License scans by a positional index of rare words.
 
 Each template is a short licence notice. Its words are posted with their positions. Over the corpus, the
-number of documents that hold each template word gives its inverse document frequency. In a file, the
-`RARE` template words of highest IDF are looked up; the posting of a word at template position q, found
-at file position f, votes for the template to begin at f - q. A beginning that gets the votes of half of
-the template's words so chosen is compared word by word, and counts if a mandatory key phrase of the
-template stands there. Phrase places ("base") are found for all files besides.
+number of documents that hold each template word gives its inverse document frequency. Of each template,
+the `RARE` words of highest IDF are looked up, however common; the posting of a word at template position
+q, found at file position f, votes for the template to begin at f - q. A beginning that gets the votes of
+half of the template's words so chosen, or where the template's mandatory key phrase stands in its place,
+is compared word by word, and counts if the key phrase stands there. So every file that holds a key phrase
+gets its label, whatever else it holds. Phrase places ("base") are found for all files besides.
 
 Rows: null text has no words. Repeated rows get a result each, null `doc_id`s are kept. An empty table
 gives an empty result. Long texts are scanned whole.
@@ -57,13 +58,24 @@ def _file_words(column: pa.Array):
     return data, starts, ends, first, text.word_hashes(data, starts, ends)
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, body, _ in TEMPLATES for w in body.split()})
+def _runs(words: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Places where the hashes `run` stand one after the other."""
+    m = len(run)
+    if len(words) < m:
+        return np.zeros(0, np.int64)
+    ok = np.ones(len(words) - m + 1, dtype=bool)
+    for k in range(m):
+        ok &= words[k : len(words) - m + 1 + k] == run[k]
+    return np.flatnonzero(ok)
 
 
-def document_frequency(docs: DataFrame) -> tuple[int, dict[str, int]]:
+def vocabulary(templates=TEMPLATES) -> list[str]:
+    return sorted({w for _, body, _ in templates for w in body.split()})
+
+
+def document_frequency(docs: DataFrame, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
     """Number of documents and, of them, how many hold each template word."""
-    names = vocabulary()
+    names = vocabulary(templates)
     hashes = _hash(names)
     order = np.argsort(hashes)
 
@@ -90,18 +102,21 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     `score` is the best share of a matched template's words that stand in their place, and 0.5 at least
     where a base phrase stands.
     """
-    total, frequency = document_frequency(docs)
-    idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) for w in vocabulary()}
-    index = {int(h): w for h, w in zip(_hash(list(idf)), idf, strict=True)}
-    keys = np.array(sorted(index), np.uint64)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, body, _) in enumerate(templates):
-        for q, w in enumerate(body.split()):
-            postings.setdefault(w, []).append((t, q))
+    total, frequency = document_frequency(docs, templates)
+    idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) for w in vocabulary(templates)}
+    names, hashes = list(idf), _hash(list(idf))
+    order = np.argsort(hashes)
+    keys = hashes[order]
+    rank = {names[k]: r for r, k in enumerate(order.tolist())}
     bodies = [body.split() for _, body, _ in templates]
+    postings: list[list[tuple[int, int]]] = []  # of each template: its chosen words, as places in `keys`, with their positions
+    for body in bodies:
+        chosen = sorted(set(body), key=lambda w: (-idf[w], w))[:RARE]
+        postings.append([(rank[w], q) for q, w in enumerate(body) if w in chosen])
     phrases = [(p.split(), label) for p, label in PHRASES.items()]
     phrase_hash = [_hash(p) for p, _ in phrases]
     needed = [key.split() for _, _, key in templates]
+    needed_hash = [_hash(key) for key in needed]
 
     def job(batches):
         for batch in batches:
@@ -113,38 +128,30 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
                 base: list[list[tuple[int, str]]] = [[] for _ in range(n)]
                 for (spelled, label), hs in zip(phrases, phrase_hash, strict=True):
                     m = len(hs)
-                    if len(h) < m:
-                        continue
-                    ok = np.ones(len(h) - m + 1, dtype=bool)
-                    for k in range(m):
-                        ok &= h[k : len(h) - m + 1 + k] == hs[k]
-                    for a in np.flatnonzero(ok):
+                    for a in _runs(h, hs):
                         row = int(np.searchsorted(first, a, side="right")) - 1
                         if a + m <= first[row + 1] and [word(a + k) for k in range(m)] == spelled:
                             base[row].append((int(a - first[row]), label))
                 extra: list[set[str]] = [set() for _ in range(n)]
                 score = np.array([0.5 if b else 0.0 for b in base])
-                hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h) if len(keys) else np.zeros(0, np.int64)
-                rows = np.searchsorted(first, hit, side="right") - 1
-                for row in np.unique(rows):
-                    places = [(int(k), index[int(h[k])]) for k in hit[rows == row]] if len(hit) < 64 else [(int(k), index[int(h[k])]) for k in hit[np.searchsorted(rows, row) : np.searchsorted(rows, row, side="right")]]
-                    chosen = set(sorted({w for _, w in places}, key=lambda w: (-idf[w], w))[:RARE])
-                    votes: dict[tuple[int, int], set[int]] = {}
-                    for k, w in places:
-                        if w in chosen:
-                            for t, q in postings[w]:
-                                votes.setdefault((t, k - int(first[row]) - q), set()).add(q)
-                    stop = int(first[row + 1] - first[row])
-                    for (t, begin), got in votes.items():
-                        of = sum(w in chosen for w in bodies[t])
-                        if 2 * len(got) < of:
-                            continue
-                        here = [word(first[row] + begin + q) if 0 <= begin + q < stop else "" for q in range(len(bodies[t]))]
-                        key = needed[t]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == h)
+                hit = hit[np.argsort(at[hit], kind="stable")]
+                cut = np.searchsorted(at[hit], np.arange(len(keys) + 1))
+                for (label, _, _), body, posted, key, hs in zip(templates, bodies, postings, needed, needed_hash, strict=True):
+                    votes = [hit[cut[k] : cut[k + 1]] - q for k, q in posted]
+                    rows = [np.searchsorted(first, v + q, side="right") - 1 for v, (_, q) in zip(votes, posted, strict=True)]
+                    places, counts = np.unique(np.stack([np.concatenate(rows), np.concatenate(votes)]), axis=1, return_counts=True)
+                    starts_here = set(map(tuple, places[:, 2 * counts >= len(posted)].T.tolist()))
+                    own = next(q for q in range(len(body)) if body[q : q + len(key)] == key)
+                    for a in _runs(h, hs):
+                        starts_here.add((int(np.searchsorted(first, a, side="right")) - 1, int(a) - own))
+                    for row, begin in starts_here:
+                        here = [word(k) if first[row] <= k < first[row + 1] else "" for k in range(begin, begin + len(body))]
                         if not any(here[q : q + len(key)] == key for q in range(len(here))):
                             continue
-                        extra[row].add(templates[t][0])
-                        score[row] = max(score[row], sum(a == b for a, b in zip(here, bodies[t], strict=True)) / len(here))
+                        extra[row].add(label)
+                        score[row] = max(score[row], sum(a == b for a, b in zip(here, body, strict=True)) / len(here))
                 join = lambda x: ",".join(sorted(set(x)))
                 yield pa.RecordBatch.from_arrays(
                     [
