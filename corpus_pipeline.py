@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm import mixing, packing, queries, rules, scratch, simhash, substring
+from spendlake.llm import mixing, near_copies, packing, queries, rules, scratch, substring
 
-#: Near copies: five-word shingles. A pair of similarity 0.8 differs in 78 of 512 bits on average (deviation 8), unrelated texts in 256.
-NEAR = {"shingle": 5, "words": 8, "radius": 17, "wide": 86, "once": True}
+#: Near copies: five-word shingles, Jaccard similarity of 4/5 or more. A pair at 4/5 differs in 78 of 512 bits on average (96 for sets of 4 and 5), unrelated texts in 256.
+NEAR = {"shingle": 5, "share": (4, 5), "words": 8, "radius": 22, "wide": 128}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies."""
-    groups = simhash.groups(docs, **NEAR)
+    groups = near_copies.groups(docs, **NEAR)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(docs.columns)
 

@@ -54,34 +54,20 @@ def _fingerprints(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _once(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each hash once in a row."""
-    row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((hashes, row))
-    row, hashes = row[order], hashes[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], np.bincount(row[new], minlength=len(n))
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, once: bool = False) -> DataFrame:
-    """`doc_id` and `fp0` .. `fp{words-1}`: 64 bits of the SimHash each, as signed longs. `once`: repeats in a text count once."""
-    names = [f"fp{k}" for k in range(words)]
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """`doc_id` and `fp0`: 64 bits of the SimHash, as a signed long."""
 
     def job(batches):
         for batch in batches:
             for part in text.slices(batch):
-                hashes, n = _shingle_hashes(*text.buffers(part.column("text")), shingle)
-                if once:
-                    hashes, n = _once(hashes, n)
-                fps = [_fingerprints(hashes if not k else text.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))), n).view(np.int64) for k in range(words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, fps)], ["doc_id", *names])
+                fps = _fingerprints(*_shingle_hashes(*text.buffers(part.column("text")), shingle))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp0"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(job, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names))
+    return docs.select("doc_id", "text").mapInArrow(job, f"doc_id {kind}, fp0 long")
 
 
-def _compare(a: np.ndarray, b: np.ndarray, radius: int, wide: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def _compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints of two tiles, as a spanning forest of row numbers; rows of b follow those of a."""
     order_a, order_b = (np.argsort(np.bitwise_count(x[:, 0]), kind="stable") for x in (a, b))
     ones_a, ones_b = np.bitwise_count(a[order_a, 0]).astype(int), np.bitwise_count(b[order_b, 0]).astype(int)
@@ -97,9 +83,6 @@ def _compare(a: np.ndarray, b: np.ndarray, radius: int, wide: int, same: bool) -
             x, y = order_a[x + at], order_b[y + begin]
             if same:
                 x, y = x[x != y], y[x != y]
-            if a.shape[1] > 1 and len(x):
-                ok = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= wide
-                x, y = x[ok], y[ok]
             if len(x):
                 u, v = np.concatenate([u, x]), np.concatenate([v, y if same else y + len(a)])
         if len(u) > 1 << 20:
@@ -107,21 +90,16 @@ def _compare(a: np.ndarray, b: np.ndarray, radius: int, wide: int, same: bool) -
     return forest(u, v)
 
 
-def links(nodes: DataFrame, radius: int = 3, wide: int = 0, words: int = 1) -> DataFrame:
-    """Links `(a, b)` of `node` ids that span the same components as all pairs within `radius` bits of `fp0`.
+def pairs_of_tiles(nodes: DataFrame, radius: int, fps: list[str]) -> DataFrame | None:
+    """`tile, other, items, other_items`: each pair of tiles that can hold nodes within `radius` bits of `fp0`; None without nodes.
 
     Fingerprints are dealt into tiles of neighbouring population counts and about `TILE` rows at most. Pairs of tiles whose
-    counts differ by more than `radius` cannot hold a link and are never made; the others are compared
-    exactly, xor and bit count, in numpy. With more than one word, all words together may differ in at
-    most `wide` bits too. A task returns a spanning forest of the links it finds, so a group of g
-    near copies costs about g rows for each pair of tiles, not g squared.
+    counts differ by more than `radius` cannot hold a link and are never made. Items hold all columns of `nodes`.
     """
-    spark = nodes.sparkSession
-    fps = [f"fp{k}" for k in range(words)]
     counted = nodes.withColumn("ones", F.bit_count("fp0").cast("int"))
     sizes = {r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     if not sizes:
-        return spark.createDataFrame([], "a long, b long")
+        return None
     # tiles: neighbouring counts together up to TILE rows, a larger count in parts
     bands: list[list[int]] = []  # lowest count, highest count, rows
     for p in sorted(sizes):
@@ -136,17 +114,28 @@ def links(nodes: DataFrame, radius: int = 3, wide: int = 0, words: int = 1) -> D
     dealt = counted.withColumn("band", band_of[F.col("ones")])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*fps), F.get(n_parts, F.col("band"))).cast("int"))
     tiles = scratch.stored(
-        dealt.groupBy("band", "part").agg(F.collect_list(F.struct("node", *fps)).alias("items")).select(F.concat_ws("-", "band", "part").alias("tile"), "band", "part", "items")
+        dealt.groupBy("band", "part").agg(F.collect_list(F.struct(*nodes.columns)).alias("items")).select(F.concat_ws("-", "band", "part").alias("tile"), "band", "part", "items")
     )
     pairs = tiles.select("tile", "band", "part").withColumn("other_band", F.explode(F.sequence("band", F.get(reach, F.col("band")))))
     pairs = pairs.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.get(n_parts, F.col("other_band")) - 1)))
     pairs = pairs.filter("other_band > band or other_part >= part").select("tile", F.concat_ws("-", "other_band", "other_part").alias("other"))
     other = tiles.select(F.col("tile").alias("other"), F.col("items").alias("other_items"))
-    both = pairs.repartition(F.col("tile"), F.col("other")).join(tiles.select("tile", "items"), "tile").join(other, "other")
+    return pairs.repartition(F.col("tile"), F.col("other")).join(tiles.select("tile", "items"), "tile").join(other, "other").select("tile", "other", "items", "other_items")
+
+
+def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """Links `(a, b)` of `node` ids that span the same components as all pairs within `radius` bits of `fp0`.
+
+    Pairs of tiles are compared exactly, xor and bit count, in numpy. A task returns a spanning forest of
+    the links it finds, so a group of g near copies costs about g rows for each pair of tiles, not g squared.
+    """
+    both = pairs_of_tiles(nodes, radius, ["fp0"])
+    if both is None:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
 
     def unpack(items: pa.ListScalar):
         rows = items.values
-        return rows.field("node").to_numpy(), np.stack([rows.field(f).to_numpy().view(np.uint64) for f in fps], axis=1)
+        return rows.field("node").to_numpy(), rows.field("fp0").to_numpy().view(np.uint64)[:, None]
 
     def job(batches):
         for batch in batches:
@@ -154,23 +143,20 @@ def links(nodes: DataFrame, radius: int = 3, wide: int = 0, words: int = 1) -> D
             for left, right, x, y in zip(batch.column("items"), batch.column("other_items"), batch.column("tile"), batch.column("other"), strict=True):
                 (n1, f1), (n2, f2) = unpack(left), unpack(right)
                 same = x.as_py() == y.as_py()
-                u, v = _compare(f1, f2, radius, wide, same)
+                u, v = _compare(f1, f2, radius, same)
                 names = n1 if same else np.concatenate([n1, n2])
                 a.append(names[u])
                 b.append(names[v])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return both.select("tile", "other", "items", "other_items").mapInArrow(job, "a long, b long")
+    return both.mapInArrow(job, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, wide: int = 0, once: bool = False) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """`doc_id`, `fingerprint` (hex) and `component_id`, the smallest `doc_id` linked directly or through others."""
-    fps = [f"fp{k}" for k in range(words)]
-    rows = scratch.stored(fingerprints(docs, shingle, words, once))
-    node = F.col("fp0") if words == 1 else F.xxhash64(*fps)
-    rows = rows.withColumn("node", node)
-    nodes = scratch.stored(rows.groupBy("node", *fps).agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes, radius, wide, words))
+    rows = scratch.stored(fingerprints(docs, shingle)).withColumn("node", F.col("fp0"))
+    nodes = scratch.stored(rows.groupBy("node", "fp0").agg(F.min("doc_id").alias("first")))
+    found = components(links(nodes.select("node", "fp0"), radius))
     named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(best, "component").select("node", "component_id")

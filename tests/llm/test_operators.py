@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spendlake.llm import classifier, components, hnsw, licenses, mixing, packing, queries, rules, simhash, substring, token_files, tokens
+from spendlake.llm import classifier, components, hnsw, licenses, mixing, near_copies, packing, queries, rules, simhash, substring, token_files, tokens
 from tests import compare
 
 SF = "/root/testdata/sf0.001"
@@ -229,3 +229,42 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() and set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
     assert out.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_near_dedup_decides_on_similarity(spark, edge):
+    rng = np.random.default_rng(5)
+    texts = [None, "", "Same words here", "same  WORDS here", "one two three four five six seven eight", "one two three four five six seven eight nine"]
+    for _ in range(150):
+        words = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(40, 200))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            copy = [w if rng.random() > 0.03 else "edited" for w in words]
+            texts.append(" ".join(copy))
+    texts += texts[6:30]
+    sets = []
+    for t in texts:
+        words = WORD.findall((t or "").lower())
+        sets.append(frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset())
+    group, like = list(range(len(texts))), lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    for b in range(len(texts)):
+        for a in range(b):
+            if group[a] != group[b] and like(sets[a], sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(near_copies.groups(docs).collect()) == dict(enumerate(group))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(set(group))
+    assert near_copies.groups(edge).count() == len(ROWS) and near_copies.groups(edge.limit(0)).count() == 0
+
+
+def test_nearest_forest():
+    rng = np.random.default_rng(6)
+    u, v, w = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.integers(0, 9, 300)
+    u, v, w = u[u != v], v[u != v], w[u != v]
+    label, total = list(range(60)), []
+    for k in np.argsort(w, kind="stable"):
+        p, q = label[u[k]], label[v[k]]
+        if p != q:
+            label, total = [p if x == q else x for x in label], [*total, w[k]]
+    got = near_copies.nearest_forest(u, v, w)
+    assert len(got) == len(total) and w[got].sum() == sum(total)
