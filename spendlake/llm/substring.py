@@ -1,19 +1,25 @@
 """Substring deduplication by seed and extend.
 
-Seeds: of each document's hashes of `SEED_WORDS` consecutive words, winnowing keeps the smallest in every
-`width - SEED_WORDS + 1`. Two documents that share `width` words in a row share the seed of that window.
-Documents are joined on seeds that stand in two of them or more.
-
-Extension: every window of `width` words around a shared seed is looked up among the windows of other
-documents. Windows next to each other that also start in a document of smaller id form the maximal
-repeats, which are removed; the first document keeps its copy. Windows are judged on the input.
-
-Seeds and windows are summed by hash with partial sums, and met again by joins that adaptive execution
-can split, so a passage in a third of all documents is not gathered in one task. Words and windows are
-compared by 64-bit hashes.
-
-Rows: null text has no words. A row of null `doc_id` is kept whole and removes nothing. Rows of one
-`doc_id` do not remove each other's words. An empty table gives an empty result.
+Anchors: of each document's hashes of `SEED_WORDS` consecutive words, winnowing keeps the smallest in every
+`width - SEED_WORDS + 1`. Two documents that share `width` words in a row share the anchor of that window.
+Documents are joined on the anchors that stand in two of them or more.
+
+Extension: around each shared anchor, to the left and to the right, every window of `width` words that the
+anchor belongs to is matched to its first holder, the smallest `doc_id` where it starts. Windows next to
+each other that match the same document on the same diagonal are one maximal repeat (place and length here,
+document and place there), of `width` words at least. The first holder's words of each repeat are then
+brought to the document and compared with its own; only words that are equal in `width` places in a row are
+removed. The first holder keeps its copy. Windows are judged on the input, not on what is left.
+
+A document meets the first holder of a window only, not every other holder, so a passage in a third of all
+documents costs a row for each document that holds it, and no pairs within a group are made. Anchors and
+windows are summed by hash with partial sums and met again by joins that adaptive execution can split.
+Windows are matched by 96 bits; as words are compared, two texts of one hash never remove each other's words.
+
+Rows: null text has no words, an empty one neither. Long texts are treated whole: a text's windows are rows,
+not one value. Ties: equal windows of one document count once as its own. A row of null `doc_id` is kept
+whole and removes nothing. Rows of one `doc_id` do not remove each other's words. Columns of the input
+named as the results are replaced; all others are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,21 +33,24 @@ from pyspark.sql import types as T
 from . import scratch, text
 
 SEED_WORDS = 4
+#: Multiplier of the second window hash, of which 32 bits are used.
+CHECK = 0xA0761D6478BD642F
 
 
 class _Slice:
-    """Word hashes of a slice, its windows of `width` words and their seeds; only windows within one row."""
+    """Words of a slice; on demand its windows of `width` words and their anchors, only windows within one row."""
 
-    def __init__(self, column: pa.Array, width: int):
+    def __init__(self, column: pa.Array):
         data, offsets = text.buffers(column)
         self.data = data
         self.starts, self.ends, self.first = text.spans(data, offsets, text.WORD)
-        words = text.word_hashes(data, self.starts, self.ends)
-        self.windows = text.window_hashes(words, width)
-        n = len(self.windows)
-        self.row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[:n]
-        ok = np.arange(n) + width <= self.first[1:][self.row] if n else np.zeros(0, dtype=bool)
-        self.at = np.flatnonzero(ok)
+
+    def windows(self, width: int, checks: bool = False) -> None:
+        words = text.word_hashes(self.data, self.starts, self.ends)
+        n = max(0, len(words) - width + 1)
+        row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[:n]
+        self.at = np.flatnonzero(np.arange(n) + width <= self.first[1:][row]) if n else np.zeros(0, np.int64)
+        self.row, self.seeds = row[self.at], np.zeros(0, np.uint64)
         if n:
             low = text.window_hashes(words, SEED_WORDS)
             reach, span = 1, width - SEED_WORDS + 1
@@ -50,9 +59,13 @@ class _Slice:
                 low = np.minimum(low[: len(low) - step], low[step:])
                 reach += step
             self.seeds = low[self.at]
-        else:
-            self.seeds = np.zeros(0, np.uint64)
-        self.windows, self.row = self.windows[self.at], self.row[self.at]
+        if checks:
+            self.hashes = text.window_hashes(words, width)[self.at]
+            self.checks = text.window_hashes(words, width, CHECK)[self.at].astype(np.uint32)
+
+    def joined(self, begin: int, end: int) -> str:
+        """The words from `begin` to `end` joined by one space."""
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[begin:end].tolist(), self.ends[begin:end].tolist(), strict=True)).decode()
 
 
 def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,33 +90,94 @@ def _held(lists: pa.Array, row: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
-    """`doc_id` and `windows`, the hashes of its windows that also start in a document of smaller id."""
+    """`doc_id, start, length, source, source_start`: maximal repeats of each document with first holders of its windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
+    docs, tables = docs.select("doc_id", "text").filter("doc_id is not null"), scratch.Tables()
 
-    def emit(name, ids, row, value):
-        row, value = _distinct(row, value)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(value.view(np.int64))], ["doc_id", name])
-
-    def seeds(batches):
+    def anchors(batches):
         for batch in batches:
             for part in text.slices(batch):
-                s = _Slice(part.column("text"), width)
-                yield emit("seed", part.column("doc_id"), s.row, s.seeds)
+                s = _Slice(part.column("text"))
+                s.windows(width)
+                row, seed = _distinct(s.row, s.seeds)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(seed.view(np.int64))], ["doc_id", "seed"])
 
     def extend(batches):
         for batch in batches:
             for part in text.slices(batch):
-                s = _Slice(part.column("text"), width)
-                held = _held(part.column("seeds"), s.row, s.seeds)
-                yield emit("window", part.column("doc_id"), s.row[held], s.windows[held])
+                s = _Slice(part.column("text"))
+                s.windows(width, checks=True)
+                held = np.flatnonzero(_held(part.column("seeds"), s.row, s.seeds))
+                row = s.row[held]
+                place = (s.at[held] - s.first[row]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(row)), pa.array(place), pa.array(s.hashes[held].view(np.int64)), pa.array(s.checks[held].view(np.int32))], ["doc_id", "at", "hash", "check"]
+                )
 
-    found = docs.mapInArrow(seeds, f"doc_id {kind}, seed long")
+    def runs(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = batch.column("found")[k].values
+                at, place = (found.field(f).to_numpy().astype(np.int64) for f in ("at", "place"))
+                source = found.field("low").dictionary_encode()
+                code = source.indices.to_numpy().astype(np.int64)
+                order = np.lexsort((at, at - place, code))
+                at, place, code = at[order], place[order], code[order]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (code[1:] != code[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] > at[:-1] + 1)
+                begin = np.flatnonzero(new)
+                last = np.append(begin[1:], len(at)) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(np.full(len(begin), k))), pa.array(at[begin]), pa.array(at[last] - at[begin] + width), source.dictionary.take(pa.array(code[begin])), pa.array(place[begin])],
+                    ["doc_id", "start", "length", "source", "source_start"],
+                )
+
+    found = docs.mapInArrow(anchors, f"doc_id {kind}, seed long")
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("seed")
-    seeded = found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
-    windows = scratch.stored(docs.join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, f"doc_id {kind}, window long"))
-    earliest = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low")
-    return scratch.stored(windows.join(earliest, "window").filter("doc_id > low").groupBy("doc_id").agg(F.collect_list("window").alias("windows")))
+    seeded = tables.store(found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")))
+    windows = tables.store(docs.join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, f"doc_id {kind}, at int, hash long, check int"))
+    tables.drop(seeded)
+    first = windows.groupBy("hash", "check").agg(F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("place"), F.max("doc_id").alias("high")).filter("low < high")
+    first = tables.store(first.select("hash", "check", "low", "place"))
+    later = windows.join(first, ["hash", "check"]).filter("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("at", "low", "place")).alias("found"))
+    out = scratch.stored(later.mapInArrow(runs, f"doc_id {kind}, start long, length long, source {kind}, source_start long"))
+    tables.drop(windows, first)
+    return out
+
+
+def with_words(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`doc_id` and `repeats`, a list of (start, length, words of the first holder)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = found.select(F.col("source").alias("doc_id"), F.struct(F.col("source_start").alias("at"), "length").alias("asked")).distinct().groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
+
+    def cite(batches):
+        for batch in batches:
+            for part in text.slices(batch):
+                s = _Slice(part.column("text"))
+                for k in range(part.num_rows):
+                    asked = part.column("asked")[k].values
+                    at, length = (asked.field(f).to_numpy() for f in ("at", "length"))
+                    ok = np.flatnonzero(at + length <= s.first[k + 1] - s.first[k])  # another row of the same id may be shorter
+                    for a in range(0, len(ok), 4096):
+                        now = ok[a : a + 4096]
+                        begin = at[now] + s.first[k]
+                        words = [s.joined(b, b + n) for b, n in zip(begin.tolist(), length[now].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(np.full(len(now), k))), pa.array(at[now]), pa.array(length[now]), pa.array(words, pa.string())], ["source", "source_start", "length", "words"])
+
+    cited = scratch.stored(docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(cite, f"source {kind}, source_start long, length long, words string"))
+    joined = found.join(cited, ["source", "source_start", "length"])
+    return scratch.stored(joined.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "words")).alias("repeats")))
+
+
+def _equal(s: _Slice, row: int, start: int, length: int, words: str, width: int) -> list[tuple[int, int]]:
+    """Stretches of `width` words or more of a row, from `start` on, that are the same as `words`."""
+    begin, end = int(s.first[row]) + start, min(int(s.first[row]) + start + length, int(s.first[row + 1]))
+    if end - begin == length and s.joined(begin, end) == words:
+        return [(begin, end)]
+    other = words.split(" ")
+    same = np.array([s.data[s.starts[k] : s.ends[k]].tobytes().decode() == other[k - begin] for k in range(begin, end)], dtype=bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    return [(begin + a, begin + b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= width]
 
 
 def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
@@ -114,17 +188,19 @@ def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
     figures = ["n_words", "n_removed", "kept_text", "spans"]
     names = [c for c in docs.columns if c not in {prefix + f for f in figures}]
     rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")), F.lit(0).alias("_")).alias("_row"))
-    joined = rows.join(repeats(docs, width), "doc_id", "left")
+    joined = rows.join(with_words(docs, repeats(docs, width)), "doc_id", "left")
 
     def job(batches):
         for batch in batches:
             for part in text.slices(batch):
-                s = _Slice(part.column("text"), width)
-                held = _held(part.column("windows"), s.row, s.windows)
+                s = _Slice(part.column("text"))
                 n = len(s.starts)
                 change = np.zeros(n + 1, np.int64)
-                np.add.at(change, s.at[held], 1)
-                np.add.at(change, s.at[held] + width, -1)
+                for k, found in enumerate(part.column("repeats")):
+                    for item in found.values if found.is_valid else ():
+                        for a, b in _equal(s, k, item["start"].as_py(), item["length"].as_py(), item["words"].as_py(), width):
+                            change[a] += 1
+                            change[b] -= 1
                 gone = np.cumsum(change)[:n] > 0
                 removed = np.concatenate([[0], np.cumsum(gone)])[s.first]
                 keep = np.flatnonzero(~gone)
@@ -151,6 +227,6 @@ def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
                     ["doc_id", "text", "_row", "n_words", "n_removed", "kept_text", "spans"],
                 )
 
-    schema = joined.drop("windows").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", T.ArrayType(T.LongType()))
-    out = joined.select("doc_id", "text", "_row", "windows").mapInArrow(job, schema)
+    schema = joined.drop("repeats").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", T.ArrayType(T.LongType()))
+    out = joined.select("doc_id", "text", "_row", "repeats").mapInArrow(job, schema)
     return out.select(*(c if c in ("doc_id", "text") else F.col(f"_row.`{c}`") for c in names), *(F.col(f).alias(prefix + f) for f in figures))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -22,7 +23,9 @@ WORD = ~_SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C55, dtype=np.uint64))
+#: Words longer than this many bytes are hashed one by one with XXH3, shorter ones eight bytes at a time for a whole slice.
+LONG_WORD = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -80,24 +83,34 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; equal bytes, equal hash, in every batch and task."""
+    """A 64-bit hash of each span's bytes; equal bytes, equal hash, in every batch and task.
+
+    A word of up to eight bytes goes through one-to-one steps of its bytes and length.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
     lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(total) - np.repeat(first, lengths)
-    values = data[np.repeat(starts, lengths) + inside].astype(np.uint64) + np.uint64(1)
-    values *= _POWERS[inside & 0xFFFF]
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
-
-
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of `width` consecutive word hashes."""
+    out = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[starts] & _KEEP[np.minimum(lengths, 8)]))
+    todo, at = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD)), 8
+    while len(todo):
+        rest = lengths[todo] - at
+        out[todo] = mix((out[todo] + np.uint64(0xD1B54A32D192ED03)) ^ (eight[starts[todo] + at] & _KEEP[np.minimum(rest, 8)]))
+        at += 8
+        todo = todo[rest > 8]
+    for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
+def window_hashes(words: np.ndarray, width: int, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """Hash of every run of `width` consecutive word hashes; another odd `factor`, another hash."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for k in range(width):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
+        h = h * np.uint64(factor) + words[k : k + n]
     return mix(h)
