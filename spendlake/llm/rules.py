@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words(text: str = "text") -> Column:
@@ -31,12 +31,11 @@ def words(text: str = "text") -> Column:
 
 
 def _lines(text: str) -> Column:
-    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def n_symbols(text: str = "text") -> Column:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS)).cast("long")
 
 
 def _let(value: Column, body) -> Column:
@@ -64,10 +63,19 @@ def _covered(grams: Column) -> Column:
     return _let(F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))), counted)
 
 
+def _grams(w: Column) -> Column:
+    gram = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    return F.transform(F.sequence(F.lit(0), F.size(w) - 3), gram)
+
+
+def n_dup_grams(w: Column) -> Column:
+    """Three-word windows of the word array `w` beyond the first of each kind."""
+    return F.when(F.size(w) >= 4, _let(_grams(w), lambda g: F.size(g) - F.size(F.array_distinct(g)))).otherwise(0).cast("long")
+
+
 def n_repeat_words(w: Column) -> Column:
     """Words in three-word windows that occur twice or more in the word array `w`."""
-    gram = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), gram)
+    grams = _grams(w)
     repeats = lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), _covered(g)).otherwise(F.lit(0).cast("long"))
     return F.when(F.size(w) >= 4, _let(grams, repeats)).otherwise(F.lit(0).cast("long"))
 
@@ -87,24 +95,29 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 #: Work of a figure for each word, character and line of a text, in units of about 10 ns; words are split before.
-WORK = {"n_words": (0.1, 0, 0), "word_chars": (3, 0.2, 0), "n_symbols": (0, 0.5, 0), "n_dup_lines": (0, 0.6, 20), "n_repeat_words": (60, 0, 0)}
+WORK = {"n_words": (0.1, 0, 0), "word_chars": (3, 0.2, 0), "n_symbols": (0, 0.5, 0), "n_dup_lines": (0, 0.2, 20), "n_dup_grams": (20, 0, 0), "n_repeat_words": (60, 0, 0)}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if `fails` of its figures is true; `sql` is the same condition in SQL."""
+    """A document fails if `fails` of its figures is true; `sql` is the same condition in SQL.
+
+    Where `spared` holds for the cheaper figures `first`, it cannot fail, and the dearer ones are not computed.
+    """
 
     name: str
     figures: tuple[str, ...]
     fails: Callable[..., Column] = field(repr=False)
-    sql: str = ""
+    sql: str
+    first: tuple[str, ...] = ()
+    spared: Callable[..., Column] | None = field(default=None, repr=False)
 
 
 #: Limits are set so that ordinary prose in any of the languages passes.
 BASE = (
     Rule("few_words", ("n_words",), lambda n: n < 50, "n_words < 50"),
-    Rule("repeated_trigrams", ("n_repeat_words", "n_words"), lambda r, n: 100 * r > 50 * n, "100 * n_repeat_words > 50 * n_words"),
-)
+    Rule("repeated_trigrams", ("n_repeat_words", "n_words"), lambda r, n: 100 * r > 50 * n, "100 * n_repeat_words > 50 * n_words", ("n_dup_grams", "n_words"), lambda d, n: 12 * d <= n),
+)  # d windows beyond the first of their kind belong to 2 d windows at most, which cover 6 d words at most
 EXTRA = (
     Rule("symbols", ("n_symbols", "n_words"), lambda s, n: s > 0.2 * n, "n_symbols > 0.2 * n_words"),
     Rule("repeated_lines", ("n_dup_lines", "n_words"), lambda d, n: (d >= 5) & (d * 10 > n), "n_dup_lines >= 5 and n_dup_lines * 10 > n_words"),
@@ -130,7 +143,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> l
     taken = measured(docs.select("text").sample(min(1.0, sample / max(n, 1)), 11))
     mask = sum((F.when(_failed(r), 1 << k).otherwise(0) for k, r in enumerate(rules)), F.lit(0))
     body = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.char_length(body) - F.char_length(F.translate(body, "\n", "")) + 1
+    lines = F.regexp_count(body, F.lit("\n")) + 1
     counts = taken.groupBy(mask.alias("mask")).agg(F.count("*"), F.sum("n_words"), F.sum(F.char_length(body)), F.sum(lines)).collect()  # 2 ** len(rules) rows at most
     left, out, known = [(r[0], r[1], r[2:]) for r in counts], [], set()
     while len(out) < len(rules):
@@ -138,32 +151,40 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> l
         units = [sum(x[k] for _, _, x in left) / reach if reach else 0.0 for k in range(3)]
 
         def judged(k: int) -> tuple[float, float]:
-            work = 1e-6 + sum(w * u for f in rules[k].figures if f not in known for w, u in zip(WORK[f], units, strict=True))  # noqa: B023
+            work = 1e-6 + sum(w * u for f in (rules[k].first or rules[k].figures) if f not in known for w, u in zip(WORK[f], units, strict=True))  # noqa: B023
             return sum(c for m, c, _ in left if m >> k & 1) / reach if reach else 0.0, work  # noqa: B023
 
         open_ = [k for k in range(len(rules)) if rules[k] not in [r for r, _, _ in out]]
         best = min(open_, key=lambda k: (-judged(k)[0] / judged(k)[1], judged(k)[1], rules[k].name))  # noqa: B023
         out.append((rules[best], *judged(best)))
-        left, known = [x for x in left if not x[0] >> best & 1], known | set(rules[best].figures)
+        left, known = [x for x in left if not x[0] >> best & 1], known | set(rules[best].first or rules[best].figures)
     return out
 
 
 def cascade(rules: list[Rule], text: str = "text") -> Column:
     """True if no rule fails a text; figures are computed when a rule needs them, once, and not after a rule has failed."""
 
+    def given(names: tuple[str, ...], have: dict[str, Column], w: Column, then: Callable[[dict[str, Column]], Column]) -> Column:
+        missing = next((f for f in names if f not in have), None)
+        return _let(figures[missing](w), lambda x: given(names, have | {missing: x}, w, then)) if missing else then(have)
+
     def judge(k: int, have: dict[str, Column], w: Column) -> Column:
         if k == len(rules):
             return F.lit(True)
-        missing = next((f for f in rules[k].figures if f not in have), None)
-        if missing:
-            return _let(figures[missing](w), lambda x: judge(k, have | {missing: x}, w))
-        return F.when(rules[k].fails(*(have[f] for f in rules[k].figures)), F.lit(False)).otherwise(judge(k + 1, have, w))
+        rule = rules[k]
+        fails = lambda h: rule.fails(*(h[f] for f in rule.figures))
+        after = lambda h: F.when(fails(h), F.lit(False)).otherwise(judge(k + 1, h, w))
+        if rule.spared is None:
+            return given(rule.figures, have, w, after)
+        dear = lambda h: F.when(rule.spared(*(h[f] for f in rule.first)), F.lit(False)).otherwise(given(rule.figures, h, w, fails))
+        return given(rule.first, have, w, lambda h: F.when(dear(h), F.lit(False)).otherwise(judge(k + 1, h, w)))
 
     figures = {
         "n_words": lambda w: F.size(w).cast("long"),
         "word_chars": lambda w: F.char_length(F.array_join(w, "")).cast("long"),
         "n_symbols": lambda w: n_symbols(text),
         "n_dup_lines": lambda w: n_dup_lines(text),
+        "n_dup_grams": n_dup_grams,
         "n_repeat_words": n_repeat_words,
     }
     return _let(words(text), lambda w: judge(0, {}, w))
