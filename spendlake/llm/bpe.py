@@ -13,8 +13,11 @@ A tokenizer file of the `tokenizers` library is compiled in two parts.
   last token. States and transitions are determinised when first met and kept in numpy tables.
 
 Text runs through the tables in chunks of equal length, all chunks in step. A chunk's map from the
-state it is entered in to (state left in, tokens emitted) is constant from its first piece start on;
-the part before it is completed once the chunk before has its exit state, in rounds of a prefix scan.
+state it is entered in to (state left in, tokens emitted) is constant from its first piece start on.
+What lies before that start, or the whole chunk where there is none, is run from every state that the
+chunk before may leave; states soon agree, so these maps have few entries. Maps are then composed by a
+parallel prefix scan, each step of which doubles the number of chunks a map spans, so a run of n chunks
+without a start takes log2(n) steps.
 
 Texts that hold special strings or characters outside the probed planes are encoded by the library
 itself. So is a sample of texts in each batch, as an audit: when one differs, the batch is redone by
@@ -34,6 +37,8 @@ LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 3, 4, 0
 CHUNK = 256
 MAX_STATES, MAX_KNOWN = 1 << 16, 1 << 19
 FEW = 64
+#: Rounds in which chunks are run from guessed states before only the true ones are followed.
+ROUNDS = 24
 #: Text encoded at a time: the arrays for it take some 60 bytes each.
 ENCODE_BYTES = 1 << 20
 PLANE = 0x10000
@@ -278,25 +283,65 @@ class Transducer:
                 state[known], emitted[k, known] = self.advance(state[known] * at_start[k, known], cols[k, known])
                 if want_ids:
                     last[k, known] = self.last[state[known]]
-        # prefix scan: heads take the exit state of the chunk before, as soon as that is known
-        ready = head < CHUNK
         todo = np.flatnonzero(head > 0)
-        while len(todo):
-            now = todo[ready[todo - 1] | (todo == 0)]
-            entry = state[now - 1]
-            for k in range(int(head[now].max())):
-                going = np.flatnonzero(head[now] > k)
-                lane = now[going]
+        if len(todo):
+            entry = self.entries(head, todo, state, cols)
+            for k in range(int(head[todo].max())):
+                going = np.flatnonzero(head[todo] > k)
+                lane = todo[going]
                 entry[going], emitted[k, lane] = self.advance(entry[going], cols[k, lane])
                 if want_ids:
                     last[k, lane] = self.last[entry[going]]
-            whole = head[now] == CHUNK
-            state[now[whole]] = entry[whole]
-            ready[now] = True
-            todo = np.setdiff1d(todo, now, assume_unique=True)
         flat = emitted.T.reshape(-1)[:n]
         return flat, last.T.reshape(-1)[:n] if want_ids else None
 
+    def entries(self, head: np.ndarray, todo: np.ndarray, state: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """State that each chunk of `todo` is entered in; `state`: what chunks with a start leave, whatever their entry.
+
+        A node stands for a chunk and a state it may be entered in, and points to the node of the next chunk
+        that it leads to. Nodes are added until every node's next one is there.
+        """
+        whole = head == CHUNK  # no start within: leaves what its entry leads to
+        chunk, at = todo, np.where(whole[todo - 1], 0, state[todo - 1])  # after a whole chunk: a first guess
+        true = np.flatnonzero(~whole[todo - 1] | (todo == 0))
+        at[todo == 0] = 0
+        keys, after, new = chunk.astype(np.int64) << 32 | at, np.zeros(0, np.int64), slice(0, len(todo))
+        rounds = 0
+        while True:
+            c, left = keys[new] >> 32, (keys[new] & 0xFFFFFFFF).astype(np.int32)
+            through = np.flatnonzero(whole[c])
+            for k in range(CHUNK if len(through) else 0):
+                left[through], _ = self.advance(left[through], cols[k, c[through]])
+            leads = whole[c] & (c + 1 < len(head)) & (head[np.minimum(c + 1, len(head) - 1)] > 0)
+            after = np.concatenate([after, np.where(leads, (c + 1) << 32 | left, -1)])
+            rounds += 1
+            more = np.setdiff1d(after[after >= 0], keys)
+            if rounds > ROUNDS and len(more):  # states do not agree: follow the true ones only
+                more = np.intersect1d(more, after[_reached(keys, after, keys[true])])
+            if not len(more):
+                break
+            new = slice(len(keys), len(keys) + len(more))
+            keys = np.concatenate([keys, more])
+        hit = keys[_reached(keys, after, keys[true])]
+        return (hit[np.argsort(hit, kind="stable")] & 0xFFFFFFFF).astype(np.int32)
+
+
+def _reached(keys: np.ndarray, after: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Nodes on the ways from `begin`, by jumps of doubling length."""
+    order = np.argsort(keys)
+    place = np.minimum(np.searchsorted(keys[order], after), len(keys) - 1)
+    jump = np.where((after >= 0) & (keys[order[place]] == after), order[place], len(keys))
+    jump = np.append(jump, len(keys))
+    mark = np.zeros(len(keys) + 1, dtype=bool)
+    mark[:-1] = np.isin(keys, begin)
+    while True:
+        before = mark.sum()
+        mark[jump[mark]] = True
+        mark[-1] = False
+        if mark.sum() == before and (jump[:-1] == len(keys)).all():
+            return np.flatnonzero(mark[:-1])
+        jump = jump[jump]
+
 
 class Encoder:
     """Token counts and ids of Arrow text columns, as the library gives them for the file `source`."""
