@@ -62,3 +62,29 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+#: Nodes from here on stand for texts or vectors of null id only; ids of rows lie below.
+UNNAMED = 0x7000000000000000
+
+
+def numbered(nodes: DataFrame, first: str, kind: str) -> tuple[DataFrame, bool]:
+    """`nodes` with `node`, and whether that is their smallest id, so that components bear the smallest id without being gathered.
+
+    It is where ids are whole numbers and no two nodes have one in common; else it is `mark`.
+    """
+    plain = kind in ("tinyint", "smallint", "int", "bigint")
+    if plain:
+        n, distinct = nodes.agg(F.count(first), F.count_distinct(first)).first()
+        plain = n == distinct
+    spare = F.lit(UNNAMED) + F.pmod(F.col("mark"), F.lit(1 << 56))
+    return nodes.withColumn("node", F.coalesce(F.col(first).cast("long"), spare) if plain else F.col("mark")), plain
+
+
+def named(nodes: DataFrame, links: DataFrame, first: str, plain: bool) -> DataFrame:
+    """`nodes` with `component_id`, the smallest id in the component of each; links are between nodes of `numbered`."""
+    found = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if plain:
+        return found.withColumn("component_id", F.when(F.col("component") < UNNAMED, F.col("component")).cast(nodes.schema[first].dataType)).drop("component")
+    best = found.groupBy("component").agg(F.min(first).alias("component_id"))
+    return found.join(best, "component").drop("component")

@@ -8,7 +8,9 @@ joins nodes of one part already, and groups are those of all similar candidates,
 near copies costs about g links for each pair of tiles.
 
 Rows: null or wordless text has the empty set, which is like itself only. Null `doc_id`s keep their row;
-a group's id is its smallest non-null `doc_id`. An empty table gives an empty result.
+a group's id is its smallest non-null `doc_id`. Repeated rows and texts of the same set of shingles share a
+group; ties of similarity at the limit count as alike. Texts of any length are compared whole. Other columns are
+not looked at, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, simhash, text
-from .components import components
+from .components import components, named, numbered
 
 #: Candidates kept in memory by a task before they are cut to their forest.
 HELD = 1 << 20
@@ -36,7 +38,7 @@ def _once(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """`doc_id`, `node` (a hash of the set of shingles), `same` (a hash of the text), `n` shingles in the set and `fp0` .. `fp{words-1}`."""
+    """`doc_id`, `mark` (a hash of the set of shingles), `same` (a hash of the text), `n` shingles in the set and `fp0` .. `fp{words-1}`."""
     names = [f"fp{k}" for k in range(words)]
 
     def job(batches):
@@ -47,10 +49,10 @@ def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 ends = np.cumsum(n)
                 node = text.mix(total[ends] - total[ends - n] + n.astype(np.uint64))
                 fps = [simhash._fingerprints(hashes if not k else text.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))), n) for k in range(words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node.view(np.int64)), part.column("same"), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in fps)], ["doc_id", "node", "same", "n", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node.view(np.int64)), part.column("same"), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in fps)], ["doc_id", "mark", "same", "n", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(job, f"doc_id {kind}, node long, same long, n long, " + ", ".join(f"{x} long" for x in names))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(job, f"doc_id {kind}, mark long, same long, n long, " + ", ".join(f"{x} long" for x in names))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -162,8 +164,10 @@ def groups(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), w
     Candidates differ in at most `radius` of the first 64 bits and `wide` of all.
     """
     fps = [f"fp{k}" for k in range(words)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = scratch.stored(sketches(docs, shingle, words))
-    nodes = scratch.stored(rows.groupBy("node", "n", *fps).agg(F.min("doc_id").alias("first"), F.min("same").alias("same")))
+    nodes = rows.groupBy("mark", "n", *fps).agg(F.min("doc_id").alias("first"), F.min("same").alias("same"))
+    nodes, plain = numbered(scratch.stored(nodes), "first", kind)
 
     def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -180,7 +184,5 @@ def groups(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), w
     touched = forest.select(F.col("a").alias("node")).unionByName(forest.select(F.col("b").alias("node"))).distinct()
     open_ = nodes.join(touched, "node", "left_semi").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node"))
     rest = scratch.stored(candidates(scratch.stored(open_.drop("component")), radius, wide, words, share, True).join(forest, ["a", "b"], "left_anti"))
-    found = components(near.unionByName(verified(rest)))
-    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(best, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    found = named(nodes.select("node", "mark", "first"), near.unionByName(verified(rest)), "first", plain)
+    return rows.join(found.select("mark", "component_id"), "mark").select("doc_id", "component_id")

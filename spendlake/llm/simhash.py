@@ -2,7 +2,8 @@
 
 Rows: every document gets a result. Null or wordless text has fingerprint zero and links like any other.
 Repeated rows, also of one `doc_id`, keep a row each. Null `doc_id`s keep their row; a group's id is its
-smallest non-null `doc_id`. An empty table gives an empty result. Other columns are not looked at.
+smallest non-null `doc_id`. Ties do not arise: links depend on fingerprints only. Texts of any length are
+hashed whole. An empty table gives an empty result. Other columns are not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text
-from .components import components, forest
+from .components import forest, named, numbered
 
 TILE = 16384
 SEED = 42
@@ -120,7 +121,7 @@ def pairs_of_tiles(nodes: DataFrame, radius: int, fps: list[str]) -> DataFrame |
     pairs = pairs.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.get(n_parts, F.col("other_band")) - 1)))
     pairs = pairs.filter("other_band > band or other_part >= part").select("tile", F.concat_ws("-", "other_band", "other_part").alias("other"))
     other = tiles.select(F.col("tile").alias("other"), F.col("items").alias("other_items"))
-    return pairs.repartition(F.col("tile"), F.col("other")).join(tiles.select("tile", "items"), "tile").join(other, "other").select("tile", "other", "items", "other_items")
+    return pairs.join(tiles.select("tile", "items"), "tile").join(other, "other").select("tile", "other", "items", "other_items")
 
 
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
@@ -154,10 +155,9 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """`doc_id`, `fingerprint` (hex) and `component_id`, the smallest `doc_id` linked directly or through others."""
-    rows = scratch.stored(fingerprints(docs, shingle)).withColumn("node", F.col("fp0"))
-    nodes = scratch.stored(rows.groupBy("node", "fp0").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes.select("node", "fp0"), radius))
-    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(best, "component").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = scratch.stored(fingerprints(docs, shingle))
+    nodes = scratch.stored(rows.groupBy("fp0").agg(F.min("doc_id").alias("first")))
+    nodes, plain = numbered(nodes.withColumn("mark", F.col("fp0")), "first", kind)
+    found = named(nodes, links(nodes.select("node", "fp0"), radius), "first", plain).select("fp0", "component_id")
+    return rows.join(found, "fp0").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
