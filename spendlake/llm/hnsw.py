@@ -7,12 +7,16 @@ audited against brute force on the shard; below `RECALL` of its links the whole
 up to the whole shard. Candidates are verified by cosine in double precision; components are united from
 spanning forests.
 
-Within a task all queries move in step in numpy. Work grows as rows times shards; the number of shards
-is `SHARDS` until a shard would exceed `SHARD_ROWS`.
+Within a task all queries move in step in numpy. A shard's graph goes to `PARTS` tasks, and every block to one
+of them for each shard, so what is shuffled is the rows times the number of shards and `PARTS`. That number
+is `SHARDS` until a shard would exceed `SHARD_BYTES`; as every query asks every shard, work grows as rows times
+shards. A task holds one graph and one block of queries at a time.
 
 Rows: vectors that are null, zero, or hold null or non-finite components link with nothing, and so do
 vectors of another length. Equal vectors link with each other. A null `vec_id` counts as a link and keeps
-its row; its component is that of its vector. An empty table gives an empty result.
+its row; its component is that of its vector. Repeated rows keep a row each and link with each other. Ties of
+cosine at the threshold link. Labels and other columns are not looked at, so their names cannot clash. Vectors
+of any length are compared whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .components import components, forest
+from .components import forest, named, numbered
 
-SHARDS, SHARD_ROWS, BLOCK = 8, 50_000, 2048
+SHARDS, SHARD_BYTES, PARTS, BLOCK = 8, 1 << 25, 4, 2048
 LINKS, BUILD_BEAM, BEAM, WIDTH = 12, 32, 32, 4
 AUDIT, RECALL = 64, 0.99
 
@@ -160,8 +164,9 @@ def linked(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarr
             wide.append(part[(sims[:, -1] >= close) & (beam < len(graph.unit))])
         todo, beam = np.concatenate(wide), beam * 2
         if not len(todo):
-            got = sum(len(np.intersect1d(out[r], t, assume_unique=True)) for r, t in zip(audit, truth, strict=True))
-            if got < RECALL * sum(map(len, truth)) and beam < 2 * len(graph.unit):
+            # each audited query with links counts alike, however many it has
+            shares = [len(np.intersect1d(out[r], t, assume_unique=True)) / len(t) for r, t in zip(audit, truth, strict=True) if len(t)]
+            if shares and np.mean(shares) < RECALL and beam < 2 * len(graph.unit):
                 todo = np.arange(len(queries))
     return out
 
@@ -172,13 +177,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     value = F.col("embedding").cast("array<double>")
     usable = F.coalesce(F.forall(value, finite) & F.exists(value, lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", F.when(usable, value).alias("v"))
-    nodes = scratch.stored(
-        rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).select(F.xxhash64("v").alias("node"), "first", "copies", "v", F.size("v").alias("dim"))
-    )
-    n = nodes.count()
-    shards = max(SHARDS, -(-n // SHARD_ROWS))
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    nodes = rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    nodes, plain = numbered(scratch.stored(nodes.withColumns({"mark": F.xxhash64("v"), "dim": F.size("v")})), "first", kind)
+    n, dim = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    shards, block = max(SHARDS, -(-n * dim * 8 // SHARD_BYTES)), max(1, min(BLOCK, SHARD_BYTES // (8 * dim)))
+    n_blocks = max(1, -(-n // block))
+    parts = min(PARTS, n_blocks)
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)))
-    blocks = nodes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(max(1, -(-n // BLOCK)))))
+    blocks = nodes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(4)), F.lit(n_blocks)))
 
     def matrix(items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = items.values
@@ -200,12 +207,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 )
 
     def query(batches):
+        where, graph = None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, copies, full = matrix(batch.column("items")[k])
-                layers = np.frombuffer(batch.column("layers")[k].as_buffer(), "<i4").reshape(-1, len(ids), 2 * LINKS)
-                graph = Graph(unit(full), list(layers), np.zeros(0), batch.column("entry")[k].as_py())
-                q_ids, _, q_full = matrix(batch.column("block_items")[k])
+                here = tuple(batch.column(c)[k].as_py() for c in ("dim", "shard"))
+                if batch.column("layers")[k].is_valid:  # the graph comes before its blocks
+                    ids, copies, full = matrix(batch.column("items")[k])
+                    layers = np.frombuffer(batch.column("layers")[k].as_buffer(), "<i4").reshape(-1, len(ids), 2 * LINKS)
+                    where, graph = here, Graph(unit(full), list(layers), np.zeros(0), batch.column("entry")[k].as_py())
+                    continue
+                if here != where:  # no vector of this length in the shard
+                    continue
+                q_ids, _, q_full = matrix(batch.column("items")[k])
                 found = linked(graph, unit(q_full), threshold)
                 x = np.repeat(np.arange(len(q_ids)), [len(f) for f in found])
                 y = np.concatenate(found) if len(x) else np.zeros(0, np.int64)
@@ -223,18 +236,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 )
 
     item = F.struct("node", "copies", "v")
-    shards_ = dealt.groupBy("dim", "shard").agg(F.collect_list(item).alias("items"))  # SHARD_ROWS rows or so
+    shards_ = dealt.groupBy("dim", "shard").agg(F.collect_list(item).alias("items"))  # SHARD_BYTES or so
     graphs = scratch.stored(shards_.mapInArrow(build, T.StructType([*shards_.schema.fields]).add("layers", "binary").add("entry", "long")))
-    packed = blocks.groupBy("dim", "block").agg(F.collect_list(item).alias("block_items"))  # BLOCK rows or so
-    pairs = graphs.select("dim", "shard").join(packed.select("dim", "block"), "dim").repartition("shard", "block")
-    ready = pairs.join(graphs, ["dim", "shard"]).join(packed, ["dim", "block"])
-    found = scratch.stored(ready.select("items", "layers", "entry", "block_items").mapInArrow(query, "node long, other long, n long"))
-    united = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    packed = blocks.groupBy("dim", "block").agg(F.collect_list(item).alias("items"))  # BLOCK rows or so
+    part = F.pmod(F.col("block"), F.lit(parts)).cast("int")
+    asked = packed.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), part.alias("part"), "block", "items")
+    asked = asked.select("dim", "shard", "part", "block", "items", F.lit(None).cast("binary").alias("layers"), F.lit(None).cast("long").alias("entry"))
+    held = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).cast("long").alias("block"), "items", "layers", "entry")
+    ready = held.unionByName(asked).repartition(2 * parts * shards, "dim", "shard", "part").sortWithinPartitions("dim", "shard", "part", "block")
+    found = scratch.stored(ready.select("dim", "shard", "items", "layers", "entry").mapInArrow(query, "node long, other long, n long"))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    named = nodes.join(united, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(best, "component").select("v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = named.withColumn("_has", F.lit(True))
-    out = rows.join(named, "v", "left")
+    links = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    united = named(nodes, links, "first", plain).join(counts, "node", "left")
+    united = united.select("v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("_has"))
+    out = rows.join(united, "v", "left")
     component = F.when(F.col("_has"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
