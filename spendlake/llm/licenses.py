@@ -1,6 +1,6 @@
 """License scans by a positional index of rare words.
 
-Each template is a short licence notice. Its words are posted with their positions. Over the corpus, the
+Each template is a licence notice. Its words are posted with their positions. Over the corpus, the
 number of documents that hold each template word gives its inverse document frequency. Of each template,
 the `RARE` words of highest IDF are looked up, however common; the posting of a word at template position
 q, found at file position f, votes for the template to begin at f - q. A beginning that gets the votes of
@@ -8,8 +8,9 @@ half of the template's words so chosen, or where the template's mandatory key ph
 is compared word by word, and counts if the key phrase stands there. So every file that holds a key phrase
 gets its label, whatever else it holds. Phrase places ("base") are found for all files besides.
 
-Rows: null text has no words. Repeated rows get a result each, null `doc_id`s are kept. An empty table
-gives an empty result. Long texts are scanned whole.
+Rows: null and empty texts have no words. Repeated rows get a result each, null `doc_id`s are kept. Of words of
+equal IDF the first by spelling are chosen. Long texts are scanned whole. Other columns are not looked at, so
+their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,48 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 #: Notices, their labels and a phrase that has to stand in them.
 TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software"
+        " without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons"
+        " to whom the software is furnished to do so subject to the following conditions",
+        "hereby granted free of charge",
+    ),
     ("apache", "licensed under the apache license version 2 0", "apache license version 2"),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        " http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+        " without warranties or conditions of any kind either express or implied",
+        "apache license version 2",
+    ),
     ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+        " either version 3 of the license or at your option any later version",
+        "gnu general public license",
+    ),
+    (
+        "lgpl",
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"
+        " either version 2 1 of the license or at your option any later version",
+        "gnu lesser general public license",
+    ),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistribution and use in source and binary forms",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"
+        " and this permission notice appear in all copies",
+        "for any purpose with or without fee",
+    ),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unencumbered software released into the public domain"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
 )
