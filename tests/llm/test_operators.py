@@ -175,14 +175,15 @@ def test_license_notice_in_a_third_of_rows(spark):
         for n in (1, 3, 30):
             rows = [(k, body.upper() if k % 3 == 0 else f"plain text {k}") for k in range(n)]
             got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-            assert got == {k: (label, 1.0) if k % 3 == 0 else ("", 0.0) for k in range(n)}, (body, n)
+            held = ",".join(sorted({label} | {x for p, x in licenses.PHRASES.items() if p in body}))
+            assert got == {k: (held, 1.0) if k % 3 == 0 else ("", 0.0) for k in range(n)}, (body, n)
 
 
 def test_license_labels_of_several_notices(spark):
     rng, templates = np.random.default_rng(4), licenses.TEMPLATES
     filler = sorted({w for _, body, _ in templates for w in body.split()})
     texts = [templates[1][1] + " Licensed under CC BY-NC 4.0"]
-    for _ in range(200):
+    for _ in range(60):
         parts = [templates[k][1].split() for k in rng.permutation(len(templates))[: rng.integers(0, 5)]]
         parts = [[w for w in p if rng.random() > 0.05] for p in parts]
         texts.append(" ".join(w for p in parts for w in [*rng.choice(filler, rng.integers(0, 40)), *p]))
@@ -206,7 +207,7 @@ def test_license_labels_of_several_notices(spark):
                     labels, score = labels | {label}, max(score, sum(a == b for a, b in zip(here, body, strict=True)) / len(body))
         assert got[k] == (",".join(sorted(labels)), score), texts[k]
         labelled += len(labels) > 1
-    assert got[0][0] == "cc-by-nc,mit" and labelled > 50
+    assert got[0][0] == "cc-by-nc,mit" and labelled > 15
 
 
 def test_rules(spark, edge):
