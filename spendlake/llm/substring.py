@@ -14,7 +14,8 @@ removed. The first holder keeps its copy. Windows are judged on the input, not o
 A document meets the first holder of a window only, not every other holder, so a passage in a third of all
 documents costs a row for each document that holds it, and no pairs within a group are made. Anchors and
 windows are summed by hash with partial sums and met again by joins that adaptive execution can split.
-Windows are matched by 96 bits; as words are compared, two texts of one hash never remove each other's words.
+Windows are matched by 64 bits. As words are compared, texts of one hash never remove each other's words; where
+two such texts meet by chance, once in 2^64 pairs, a window of the later one may stay.
 
 Rows: null text has no words, an empty one neither. Long texts are treated whole: a text's windows are rows,
 not one value. Ties: equal windows of one document count once as its own. A row of null `doc_id` is kept
@@ -33,8 +34,6 @@ from pyspark.sql import types as T
 from . import scratch, text
 
 SEED_WORDS = 4
-#: Multiplier of the second window hash, of which 32 bits are used.
-CHECK = 0xA0761D6478BD642F
 
 
 class _Slice:
@@ -45,7 +44,7 @@ class _Slice:
         self.data = data
         self.starts, self.ends, self.first = text.spans(data, offsets, text.WORD)
 
-    def windows(self, width: int, checks: bool = False) -> None:
+    def windows(self, width: int) -> None:
         words = text.word_hashes(self.data, self.starts, self.ends)
         n = max(0, len(words) - width + 1)
         row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[:n]
@@ -59,9 +58,7 @@ class _Slice:
                 low = np.minimum(low[: len(low) - step], low[step:])
                 reach += step
             self.seeds = low[self.at]
-        if checks:
-            self.hashes = text.window_hashes(words, width)[self.at]
-            self.checks = text.window_hashes(words, width, CHECK)[self.at].astype(np.uint32)
+        self.hashes = text.window_hashes(words, width)[self.at]
 
     def joined(self, begin: int, end: int) -> str:
         """The words from `begin` to `end` joined by one space."""
@@ -106,12 +103,12 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         for batch in batches:
             for part in text.slices(batch):
                 s = _Slice(part.column("text"))
-                s.windows(width, checks=True)
+                s.windows(width)
                 held = np.flatnonzero(_held(part.column("seeds"), s.row, s.seeds))
                 row = s.row[held]
                 place = (s.at[held] - s.first[row]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), pa.array(place), pa.array(s.hashes[held].view(np.int64)), pa.array(s.checks[held].view(np.int32))], ["doc_id", "at", "hash", "check"]
+                    [part.column("doc_id").take(pa.array(row)), pa.array(place), pa.array(s.hashes[held].view(np.int64))], ["doc_id", "at", "hash"]
                 )
 
     def runs(batches):
@@ -135,11 +132,11 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     found = docs.mapInArrow(anchors, f"doc_id {kind}, seed long")
     shared = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("seed")
     seeded = tables.store(found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")))
-    windows = tables.store(docs.join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, f"doc_id {kind}, at int, hash long, check int"))
+    windows = tables.store(docs.join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, f"doc_id {kind}, at int, hash long"))
     tables.drop(seeded)
-    first = windows.groupBy("hash", "check").agg(F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("place"), F.max("doc_id").alias("high")).filter("low < high")
-    first = tables.store(first.select("hash", "check", "low", "place"))
-    later = windows.join(first, ["hash", "check"]).filter("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("at", "low", "place")).alias("found"))
+    first = windows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("place"), F.max("doc_id").alias("high")).filter("low < high")
+    first = tables.store(first.select("hash", "low", "place"))
+    later = windows.join(first, "hash").filter("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("at", "low", "place")).alias("found"))
     out = scratch.stored(later.mapInArrow(runs, f"doc_id {kind}, start long, length long, source {kind}, source_start long"))
     tables.drop(windows, first)
     return out
