@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Latin letters with marks that Unicode decomposes, by the plain letter they decompose to.
+_MARKED = {
+    plain: "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0] == plain and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", chr(c))[1:]))
+    for plain in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+}
+_ACCENTED = "".join(_MARKED.values())
+_PLAIN = "".join(k * len(v) for k, v in _MARKED.items())
 
 # Unit codes with their dimension and factor to the canonical unit, and bare unit words.
-UNIT_CODES = {"KG": ("PESO", 1000.0), "G": ("PESO", 1.0), "GR": ("PESO", 1.0), "L": ("VOLUME", 1000.0), "ML": ("VOLUME", 1.0)}
-UNIT_WORDS = {"QUILOGRAMA": ("PESO", 1000.0), "GRAMA": ("PESO", 1.0), "LITRO": ("VOLUME", 1000.0), "MILILITRO": ("VOLUME", 1.0), "UNIDADE": ("CONTAGEM", None)}
+UNIT_CODES = {"KG": ("PESO", 1000.0), "GR": ("PESO", 1.0), "G": ("PESO", 1.0), "ML": ("VOLUME", 1.0), "L": ("VOLUME", 1000.0)}
+UNIT_WORDS = {
+    "QUILOGRAMA": ("PESO", 1000.0),
+    "GRAMA": ("PESO", 1.0),
+    "LITRO": ("VOLUME", 1000.0),
+    "MILILITRO": ("VOLUME", 1.0),
+    "METRO": ("COMPRIMENTO", 1.0),
+    "UNIDADE": ("CONTAGEM", None),
+    "UN": ("CONTAGEM", None),
+}
+
+# Categories of interest, in order, with the words that tell them.
+RELEVANT = {
+    "TI / Informatica": (
+        "computador", "notebook", "software", "licenciamento de uso", "servidor de rede", "impressora",
+        "monitor computador", "monitor de video", "storage", "firewall", "antivirus", "roteador",
+    ),
+    "Telecom": ("telefonia", "link dedicado", "dados moveis", "central telefonica"),
+    "Consultoria / Servicos Profissionais": ("consultoria", "auditoria", "assessoria juridica", "advocaticio"),
+    "Seguranca / Vigilancia": ("vigilancia patrimonial", "seguranca patrimonial", "monitoramento eletronico", "cftv", "sistema de alarme"),
+    "Limpeza / Facilities": ("servico de limpeza", "conservacao predial", "jardinagem", "dedetizacao", "manutencao predial"),
+    "Mobiliario / Material de Escritorio": ("mobiliario", "cadeira escritorio", "mesa escritorio", "papel a4", "material de escritorio"),
+    "Locacao de Veiculos": ("locacao de veiculo", "locacao veicular", "aluguel de veiculo", "locacao de frota"),
+    "Marketing / Publicidade": ("publicidade", "propaganda", "material grafico"),
+}
+
+# Known typing errors in item texts.
+TYPOS = {"desaude": "de saude"}
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their accents; null stays null."""
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """Latin letters without their accents, marks on their own removed; null stays null."""
+    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{M}+", "")
 
 
 def has_word(c: Column, words: Sequence[str]) -> Column:
@@ -34,10 +66,10 @@ def normalize_unit(c: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
-def item_key(c: Column, fixes: Mapping[str, str] | None = None) -> Column:
+def item_key(c: Column, fixes: Mapping[str, str] = TYPOS) -> Column:
     """Lower case without accents, typos replaced as whole words, single spaces; empty becomes null."""
     out = F.lower(strip_accents(c))
-    for wrong, right in (fixes or {}).items():
+    for wrong, right in fixes.items():
         out = F.regexp_replace(out, rf"(?U)\b{wrong}\b", right)
     return F.nullif(F.trim(F.regexp_replace(out, r"(?U)\s+", " ")), F.lit(""))
 
@@ -45,7 +77,7 @@ def item_key(c: Column, fixes: Mapping[str, str] | None = None) -> Column:
 def parse_unit(c: Column) -> tuple[Column, Column]:
     """Dimension and canonical value of a unit text such as `EMBALAGEM 500,00 G`; null where it cannot be read."""
     unit = normalize_unit(c)
-    pattern = r"(\d+(?:,\d+)?)\s*(KG|GR|G|ML|L)\b"
+    pattern = r"(\d+(?:,\d+)?)\s*(KG|GR|ML|L|G)\b"
     number = F.nullif(F.regexp_replace(F.regexp_extract(unit, pattern, 1), ",", "."), F.lit("")).try_cast("double")
     code = F.regexp_extract(unit, pattern, 2)
     dims, factors, word_dims, word_values = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("double")
@@ -73,3 +105,20 @@ def long_words(c: Column, least: int = 4, stop: Sequence[str] = ()) -> Column:
     """Words `[a-z]+` of the lower-cased text of at least `least` letters and not in `stop`."""
     found = F.regexp_extract_all(F.lower(strip_accents(c)), F.lit("([a-z]+)"))
     return F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*stop) if stop else F.length(w) >= least)
+
+
+def relabel(c: Column, labels: Mapping[str, str]) -> Column:
+    """The label of a value, or the value itself where it has none."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))[c], c) if labels else c
+
+
+def contains(c: Column, every: Sequence[str] = (), any_of: Sequence[str] = ()) -> Column:
+    """Whether a text holds every text of one list and, if there are any, one of another; accents and case aside."""
+    plain = F.lower(strip_accents(c))
+    out = F.lit(True)
+    for x in every:
+        out = out & plain.contains(x)
+    some = F.lit(not any_of)
+    for x in any_of:
+        some = some | plain.contains(x)
+    return out & some

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.stats import flag
+from ..functions.stats import flag, ratio
 
 
 def remove_exact_duplicates(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
@@ -29,10 +29,12 @@ def resolve_revisions(df: DataFrame, key: Sequence[str], date: str) -> DataFrame
     known = F.lit(True)
     for k in key:
         known = known & F.col(k).isNotNull()
-    w = Window.partitionBy(*key)
+    dates = df.filter(known).groupBy(*key).agg(F.min(date).alias("_a"), F.max(date).alias("_b")).filter("_a < _b").select(*key, F.lit(True).alias("_many"))
+    joined = df.join(dates, list(key), "left")  # null keys meet nothing and stay
     tie = [F.col(c).asc_nulls_last() for c in df.columns if c not in (*key, date)]
-    ranked = df.filter(known).withColumn("_many", F.min(date).over(w) < F.max(date).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(date).desc_nulls_last(), *tie)))
-    return ranked.filter(~flag("_many") | (F.col("_r") == 1)).drop("_many", "_r").unionByName(df.filter(~known))
+    w = Window.partitionBy(*key).orderBy(F.col(date).desc_nulls_last(), *tie)  # the rows of one key that has several dates
+    last = joined.filter("_many").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return last.select(df.columns).unionByName(joined.filter("_many is null").select(df.columns))
 
 
 def flag_conflicts(df: DataFrame, key: str, date: str, value: str, name: str = "conflict") -> DataFrame:
@@ -47,9 +49,10 @@ def classify(df: DataFrame, column: str, categories: Mapping[str, Sequence[str]]
 
 
 def spend_total(df: DataFrame, value: str, conflict: str) -> DataFrame:
-    """`gross, net, excluded, n_excluded, pct`: totals with and without conflicting rows."""
+    """`gross, net, excluded, n_excluded, pct`: totals with and without conflicting rows, and the share left out in percent."""
     out = df.agg(F.sum(value).alias("gross"), F.sum(F.when(~flag(conflict), F.col(value))).alias("net"), F.count_if(flag(conflict)).alias("n_excluded"))
-    return out.withColumn("excluded", F.col("gross") - F.coalesce("net", F.lit(0)))
+    out = out.withColumn("excluded", F.col("gross") - F.coalesce("net", F.lit(0)))
+    return out.withColumn("pct", F.round(100 * ratio(F.col("excluded"), F.col("gross")), 4))
 
 
 def unit_comparability(df: DataFrame, item: str, unit: str) -> DataFrame:
@@ -83,3 +86,76 @@ def key_violations(df: DataFrame, key: Sequence[str], date: str, value: str) ->
 def violation_sample(df: DataFrame, key: Sequence[str], top: int = 20) -> DataFrame:
     """The first keys, in order, that stand more than once, with their number of rows."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").orderBy(*key).limit(top)
+
+
+#: Columns of the raw item table that tell a row but not its contents, and those to be typed.
+VOLATILE = (
+    "COD_RESULTADO_ITEM", "srk_pncp_item_compra", "data_atualizacao_pncp", "data_inclusao_pncp", "valor_unitario_estimado", "valor_total", "nome_fornecedor", "quantidade",
+)
+MONEY = ("valor_unitario_estimado", "valor_total", "valor_total_resultado", "valor_unitario_resultado")
+QUANTITIES = ("quantidade", "quantidade_resultado")
+DATES = ("data_inclusao_pncp", "data_atualizacao_pncp", "data_resultado")
+KEY = ("id_compra_item", "cod_fornecedor")
+
+
+def apply_typing(df: DataFrame, numbers: Sequence[str] = (*MONEY, *QUANTITIES), dates: Sequence[str] = DATES) -> DataFrame:
+    """Numbers and dates typed where the columns are there; what cannot be read becomes null."""
+    typed = {c: F.col(c).cast("string").try_cast("double") for c in numbers if c in df.columns}
+    return df.withColumns(typed | {c: F.col(c).cast("string").try_cast("timestamp") for c in dates if c in df.columns})
+
+
+def category_summary(df: DataFrame) -> DataFrame:
+    """`category, n, pct`: rows by category, null for those of none, and their share of all in percent."""
+    total = df.agg(F.count("*").alias("_n"))
+    return df.groupBy("category").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("category", "n", F.round(100 * ratio(F.col("n"), F.col("_n")), 4).alias("pct"))  # one row
+
+
+def key_summary(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`n_rows, n_violating, pct, is_unique`: rows whose key stands more than once."""
+    per = df.groupBy(*key).agg(F.count("*").alias("n"))
+    out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_violating"))
+    return out.withColumn("pct", F.round(F.coalesce(100 * ratio(F.col("n_violating"), F.col("n_rows")), F.lit(0.0)), 4)).withColumn("is_unique", F.col("n_violating") == 0)
+
+
+def violating_purchases(df: DataFrame, key: Sequence[str], purchase: str, top: int = 5) -> DataFrame:
+    """`purchase, n_rows`: the purchases with the most rows of repeated keys."""
+    per = df.groupBy(*key, purchase).agg(F.count("*").alias("_n"))
+    many = per.groupBy(*key).agg(F.sum("_n").alias("_all")).filter("_all > 1")
+    return per.join(many, list(key)).groupBy(purchase).agg(F.sum("_n").alias("n_rows")).orderBy(F.desc("n_rows"), purchase).limit(top)
+
+
+def silver(bronze: DataFrame) -> DataFrame:
+    """The raw item table typed, without exact duplicates and superseded revisions, with its category and conflict flag."""
+    typed = apply_typing(bronze)
+    once = remove_exact_duplicates(typed, [c for c in VOLATILE if c in typed.columns])
+    latest = resolve_revisions(once, KEY, "data_resultado")
+    named = classify(latest, "descricao_resumida", text.RELEVANT)
+    return flag_conflicts_of(named, KEY, "data_resultado", "valor_total_resultado", "resultado_conflitante")
+
+
+def flag_conflicts_of(df: DataFrame, key: Sequence[str], date: str, value: str, name: str) -> DataFrame:
+    """True for keys of several columns with exactly one date and more than one value; false where columns are missing."""
+    if any(c not in df.columns for c in (*key, date, value)):
+        return df.withColumn(name, F.lit(False))
+    per = df.groupBy(*key).agg(((F.min(date) == F.max(date)) & (F.min(value) < F.max(value))).alias(name))
+    return df.join(per, list(key), "left").withColumn(name, flag(name))
+
+
+def silver_report(bronze: DataFrame, rows: DataFrame) -> DataFrame:
+    """`metric, value` of the way from raw to cleaned rows."""
+    typed = apply_typing(bronze)
+    once = remove_exact_duplicates(typed, [c for c in VOLATILE if c in typed.columns])
+    measures = [
+        bronze.agg(F.lit("rows_raw").alias("metric"), F.count("*").cast("double").alias("value")),
+        once.agg(F.lit("rows_without_duplicates").alias("metric"), F.count("*").cast("double").alias("value")),
+    ]
+    last = rows.agg(
+        F.count("*").alias("rows_clean"),
+        F.count_if("resultado_conflitante").alias("rows_conflicting"),
+        F.count_if("is_relevant").alias("rows_relevant"),
+        F.coalesce(F.sum("valor_total_resultado"), F.lit(0.0)).alias("spend_gross"),
+        F.coalesce(F.sum(F.when(~F.col("resultado_conflitante"), F.col("valor_total_resultado"))), F.lit(0.0)).alias("spend_net"),
+    )
+    names = last.columns
+    long = last.select(*(F.col(c).cast("double") for c in names)).unpivot([], names, "metric", "value")
+    return measures[0].unionByName(measures[1]).unionByName(long)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import flag, ratio, running_share
+from ..functions.stats import flag, ratio
+from ..functions.tables import quantile, running
 
 
 def baseline_rows(fact: DataFrame, multiple: float = 1000.0) -> DataFrame:
@@ -43,6 +45,13 @@ def evaluate_baseline(rows: DataFrame, baseline: DataFrame, reliable: bool = Tru
     )
 
 
+def scored_by_medians(rows: DataFrame, train: DataFrame, least: int = 5) -> DataFrame:
+    """Rows with `expected`: the median of the item where that is reliable, else that of the category."""
+    by_item = median_baseline(train, least).filter("reliable").select("item_key", F.col("expected").alias("_item"))
+    by_category = train.groupBy("category").agg(F.median("unit_price").alias("_category"))
+    return rows.join(by_item, "item_key", "left").join(by_category, "category", "left").withColumn("expected", F.coalesce("_item", "_category")).drop("_item", "_category")
+
+
 def prediction_errors(scored: DataFrame, train_items: DataFrame, price: str = "unit_price", expected: str = "expected") -> DataFrame:
     """Add log error, absolute error, APE and whether the item was known in training."""
     known = train_items.select("item_key").distinct().withColumn("_k", F.lit(True))
@@ -51,39 +60,52 @@ def prediction_errors(scored: DataFrame, train_items: DataFrame, price: str = "u
     return out.withColumn("log_error", log_error).withColumn("abs_log_error", F.abs("log_error")).withColumn("abs_error", F.abs(F.col(price) - F.col(expected))).withColumn("ape", 100 * ratio(F.col("abs_error"), F.col(price)))
 
 
+def residuals(scored: DataFrame, price: str = "unit_price", expected: str = "expected") -> DataFrame:
+    """Add `log_residual` and `deviation_pct` from the expected price; null over zero."""
+    positive = (F.col(price) > 0) & (F.col(expected) > 0)
+    return scored.withColumn("log_residual", F.when(positive, F.ln(price) - F.ln(expected))).withColumn("deviation_pct", 100 * ratio(F.col(price) - F.col(expected), F.col(expected)))
+
+
 def metrics(errors: DataFrame, *by: str, price: str = "unit_price") -> DataFrame:
     """Error measures of all rows, or of each group."""
     rows = errors.groupBy(*by) if by else errors
     return rows.agg(
         F.count("*").alias("n"), F.round(F.avg("abs_log_error"), 6).alias("mae_log"), F.round(F.sqrt(F.avg(F.col("log_error") * F.col("log_error"))), 6).alias("rmse_log"),
         F.round(F.median("ape"), 4).alias("med_ape"), F.round(100 * ratio(F.sum("abs_error"), F.sum(price)), 4).alias("wape"), F.round(F.avg("abs_error"), 4).alias("mae"),
-        F.round(F.avg(F.col("is_known").cast("double")), 6).alias("known_rate"),
+        F.round(F.avg(F.col("is_known").cast("double")), 6).alias("known_rate"), F.round(F.sqrt(F.avg(F.col("abs_error") * F.col("abs_error"))), 4).alias("rmse"),
+        F.round(1 - F.avg(F.col("is_known").cast("double")), 6).alias("unseen_rate"),
     )
 
 
-def clustered_bootstrap(pairs: DataFrame, cluster: str, delta: str, times: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
+def poisson_limits(draws: int = 8) -> list[float]:
+    """Shares of a Poisson number of mean one that lie below 1, 2, and so on."""
+    return [round(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)), 12) for n in range(draws)]
+
+
+def clustered_bootstrap(pairs: DataFrame, cluster: str, delta: str, times: int = 200, level: float = 0.95, seed: int = 42, draws: int = 8) -> DataFrame:
     """Mean of paired differences with a percentile interval from resampled clusters.
 
-    Rows are summed by cluster first; a resample draws as many clusters as there are, with replacement,
-    by an md5 of (seed, resample, draw). Clusters are numbered by their rank; the join is on that number.
+    Rows are summed by cluster first. In each resample a cluster stands as often as a Poisson number of mean
+    one says, the limit of drawing as many clusters as there are with replacement; the number follows from an
+    md5 of (seed, resample, cluster). So clusters need no numbers, and each task sums its own: `times` rows.
     """
-    per = pairs.groupBy(cluster).agg(F.sum(delta).alias("s"), F.count("*").alias("c"))
-    numbered = per.select((F.row_number().over(Window.orderBy(cluster)) - 1).alias("k"), "s", "c")
-    n = per.agg(F.count("*").alias("n"))
-    draws = per.sparkSession.range(times).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).filter("n > 0")  # one row
-    draws = draws.select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    digest = F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "j").cast("binary")), 1, 12)
-    draws = draws.select("b", F.pmod(F.conv(digest, 16, 10).cast("long"), F.col("n")).cast("int").alias("k"))
-    means = draws.join(numbered, "k").groupBy("b").agg(ratio(F.sum("s"), F.sum("c")).alias("m"))
+    per = pairs.groupBy(F.col(cluster).cast("string").alias("_c")).agg(F.sum(delta).alias("s"), F.count("*").alias("c"))
+    digest = F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "_c").cast("binary")), 1, 12)
+    u = F.conv(digest, 16, 10).cast("long") / float(1 << 48)
+    drawn = per.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_u", u)
+    drawn = drawn.withColumn("n", sum((F.when(F.col("_u") >= x, 1).otherwise(0) for x in poisson_limits(draws)), F.lit(0)))
+    means = drawn.groupBy("b").agg(ratio(F.sum(F.col("n") * F.col("s")), F.sum(F.col("n") * F.col("c"))).alias("m"))
     ci = means.agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
-    out = pairs.agg(F.avg(delta).alias("delta")).crossJoin(ci)
+    out = pairs.agg(F.avg(delta).alias("delta")).crossJoin(ci)  # one row each
     verdict = F.when(F.col("low") > 0, "reference_better").when(F.col("high") < 0, "challenger_better").otherwise("inconclusive")
     return out.select(F.round("delta", 6).alias("delta"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), verdict.alias("verdict"))
 
 
 def anomaly_threshold(errors: DataFrame, level: float = 0.95, known_only: bool = True) -> DataFrame:
     """One row, `threshold`: a quantile of absolute log errors."""
-    return (errors.filter("is_known") if known_only else errors).agg(F.percentile("abs_log_error", level).alias("threshold"))
+    if not 0 < level < 1:
+        raise ValueError("level has to lie between 0 and 1")
+    return quantile(errors.filter("is_known") if known_only else errors, "abs_log_error", level, "threshold")
 
 
 def flag_anomalies(errors: DataFrame, threshold: DataFrame, known_only: bool = True) -> DataFrame:
@@ -100,21 +122,26 @@ def savings(flagged: DataFrame, high_ticket: float = 100_000.0) -> DataFrame:
 
 
 def savings_priority(rows: DataFrame, id_column: str, first: float = 0.70, second: float = 0.90) -> DataFrame:
-    """Add `priority` from the share of savings before the row, largest first; all low where the total is zero."""
+    """Add `cumulative_share` and `priority`, from the share of savings before the row, largest first; all low where the total is zero."""
+    if not 0 < first < second <= 1:
+        raise ValueError("limits have to rise between 0 and 1")
     exact = rows.withColumn("_s", F.round("saving", 4).cast("decimal(24,4)"))
-    run = running_share(exact, "_s", [F.desc("_s"), F.col(id_column)], "_before")
+    run = running(exact, {"_before": F.col("_s")}, [F.desc("_s"), F.col(id_column)])
     run = run.crossJoin(F.broadcast(exact.agg(F.sum("_s").alias("_total"))))  # one row
     share = ratio(F.col("_before"), F.col("_total"))
     level = F.when(F.coalesce(F.col("_total"), F.lit(0)) <= 0, "Baixa").when(share < first, "Alta").when(share < second, "Media").otherwise("Baixa")
-    return run.withColumn("priority", level).drop("_s", "_before", "_total")
+    return run.withColumn("cumulative_share", ratio(F.col("_before") + F.col("_s"), F.col("_total"))).withColumn("priority", level).drop("_s", "_before", "_total")
+
+
+CAUTIONS = ("few_history", "unit_not_comparable", "total_mismatch", "conflicting")
 
 
-def savings_confidence(df: DataFrame, cautions: Sequence[str], strong: Column) -> DataFrame:
-    """Add `confidence`: Alta without cautions and with support, Revisao Alto Valor for high tickets, else Baixa."""
-    any_caution = F.lit(False)
+def savings_confidence(df: DataFrame, cautions: Sequence[str] = CAUTIONS) -> DataFrame:
+    """Add `confidence`: Baixa with any caution; else Revisao Alto Valor for high tickets and Alta for others."""
+    issue = F.lit(False)
     for c in cautions:
-        any_caution = any_caution | flag(c)
-    return df.withColumn("confidence", F.when(~any_caution & strong, "Alta").when(flag("high_ticket"), "Revisao Alto Valor").otherwise("Baixa"))
+        issue = issue | flag(c)
+    return df.withColumn("confidence", F.when(issue, "Baixa").when(flag("high_ticket"), "Revisao Alto Valor").otherwise("Alta"))
 
 
 def category_mix(rows: DataFrame, category: str, period: str, first, second) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """`column, nulls, pct` of every column in one pass over the table."""
+    """`column, nulls, pct, kind` of every column in one pass over the table."""
     one = df.agg(F.count("*").alias("_rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
-    return one.unpivot("_rows", df.columns, "column", "nulls").select("column", "nulls", F.round(F.try_divide(100.0 * F.col("nulls"), F.col("_rows")), 2).alias("pct"))
+    kinds = F.create_map(*(F.lit(x) for pair in df.dtypes for x in pair))
+    return one.unpivot("_rows", df.columns, "column", "nulls").select("column", "nulls", F.round(F.try_divide(100.0 * F.col("nulls"), F.col("_rows")), 2).alias("pct"), kinds[F.col("column")].alias("kind"))
 
 
 def key_duplicates(df: DataFrame, *key: str) -> DataFrame:
@@ -48,10 +49,55 @@ def multi_unit_items(df: DataFrame, item: str, unit: str, code: str, top: int =
     return per.filter("n_units > 1").orderBy(F.desc("n_units"), F.desc("n_rows"), item).limit(top)
 
 
-def schema_drift(df: DataFrame, expected: list[str]) -> DataFrame:
-    """`new, missing, matches`: columns not expected and expected columns not there."""
-    new, missing = sorted(set(df.columns) - set(expected)), sorted(set(expected) - set(df.columns))
-    return df.sparkSession.createDataFrame([(",".join(new), ",".join(missing), not new and not missing)], "new string, missing string, matches boolean")
+def shape(df: DataFrame) -> DataFrame:
+    """`n_rows, n_columns, names`."""
+    return df.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns)).alias("names"))
+
+
+def schema_drift(df: DataFrame, expected: DataFrame | list[str]) -> DataFrame:
+    """`column, status, filled, distinct_values`: columns that are new, missing or there, with what the rows hold of them."""
+    names = expected.columns if isinstance(expected, DataFrame) else list(expected)
+    one = df.agg(*(F.struct(F.count(c).alias("filled"), F.approx_count_distinct(c).alias("distinct_values")).alias(c) for c in df.columns))
+    there = one.unpivot([], df.columns, "column", "x").select("column", F.when(F.col("column").isin(*names), "expected").otherwise("new").alias("status"), "x.filled", "x.distinct_values")
+    lost = [(c,) for c in names if c not in df.columns]
+    if not lost:
+        return there
+    none = F.lit(None).cast("long")
+    return there.unionByName(df.sparkSession.createDataFrame(lost, "column string").select("column", F.lit("missing").alias("status"), none.alias("filled"), none.alias("distinct_values")))
+
+
+def rule_checks(df: DataFrame, price: str, quantity: str, total: str, key: list[str]) -> DataFrame:
+    """`rule, n`: rows of prices and quantities that are not positive, of negative totals, and of repeated keys."""
+    one = df.agg(F.count_if(F.col(price) <= 0).alias("price"), F.count_if(F.col(quantity) <= 0).alias("quantity"), F.count_if(F.col(total) < 0).alias("total"))
+    repeated = df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").agg(F.lit("key").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return one.unpivot([], ["price", "quantity", "total"], "rule", "n").unionByName(repeated)
+
+
+def bronze_report(df: DataFrame, expected: list[str], key: list[str], price: str, dates: list[str], item: str, unit: str, supplier: str) -> DataFrame:
+    """`check, column, metric, value`: all checks of a raw table in long form, from one pass over the rows and three over groups."""
+    x = F.col(price).cast("string").try_cast("double")
+    bad = {c: F.col(c).cast("string").try_cast("timestamp").isNull() & F.col(c).isNotNull() for c in dates}
+    plain = df.agg(
+        F.count("*").alias("shape||rows"),
+        F.count_if(x < 0).alias(f"range|{price}|below"),
+        F.count_if(x == 0).alias(f"range|{price}|zero"),
+        F.count_if(F.col(supplier).isNull()).alias(f"reference|{supplier}|missing"),
+        *(F.count_if(F.col(c).isNull()).alias(f"nulls|{c}|n") for c in df.columns),
+        *(F.count_if(v).alias(f"dates|{c}|invalid") for c, v in bad.items()),
+    )
+    groups = [
+        key_duplicates(df, *df.columns).select(F.col("duplicates").alias("duplicates||exact")),
+        key_duplicates(df, *key).select(F.col("duplicates").alias(f"duplicates|{','.join(key)}|key")),
+        unit_heterogeneity(df, item, unit).select(F.col("items").alias(f"units|{item}|items"), F.col("mixed").alias(f"units|{item}|mixed")),
+    ]
+    out = None
+    for one in [plain, *groups]:
+        long = one.select(*(F.col(f"`{c}`").cast("long") for c in one.columns)).unpivot([], one.columns, "name", "value")
+        out = long if out is None else out.unionByName(long)
+    drift = [("drift", c, "new", 1) for c in sorted(set(df.columns) - set(expected))] + [("drift", c, "missing", 1) for c in sorted(set(expected) - set(df.columns))]
+    part = F.split("name", r"\|")
+    out = out.select(part[0].alias("check"), part[1].alias("column"), part[2].alias("metric"), "value")
+    return out.unionByName(df.sparkSession.createDataFrame(drift, "check string, column string, metric string, value long")) if drift else out
 
 
 def unit_distribution(df: DataFrame, item: str, unit: str, top: int = 20) -> DataFrame:

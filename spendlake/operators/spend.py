@@ -6,47 +6,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import concentration, flag, ratio
+from ..functions.tables import quantile, running
+
+
+UNCLASSIFIED = "sem categoria"
 
 
 def flag_extreme(df: DataFrame, value: str, multiple: float = 1000.0, outlier: str | None = None) -> DataFrame:
     """Add `is_extreme`: above `multiple` times the median of the rows not flagged as outliers."""
     clean = df.filter(~flag(outlier)) if outlier else df
-    cut = clean.agg((F.median(value) * multiple).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("is_extreme", F.coalesce(F.col(value) > F.col("_cut"), F.lit(False))).drop("_cut")  # one row
+    cut = quantile(clean, value, 0.5, "_cut")
+    return df.crossJoin(F.broadcast(cut)).withColumn("is_extreme", F.coalesce(F.col(value) > multiple * F.col("_cut"), F.lit(False))).drop("_cut")  # one row
+
+
+def without_flagged(df: DataFrame, value: str = "total_price", outlier: str = "is_value_outlier", multiple: float = 1000.0) -> DataFrame:
+    """Rows that are neither flagged as outliers nor extreme by the median of the rows not flagged."""
+    known = outlier if outlier in df.columns else None
+    out = flag_extreme(df, value, multiple, known).filter("not is_extreme").drop("is_extreme")
+    return out.filter(~flag(outlier)) if known else out
 
 
 def by_category(df: DataFrame, category: str = "category", value: str = "total_price") -> DataFrame:
     """`category, spend, n_rows, n_suppliers, n_items, pct`; null is a category of its own."""
-    per = df.groupBy(F.coalesce(category, F.lit("sem categoria")).alias("category")).agg(
+    per = df.groupBy(F.coalesce(category, F.lit(UNCLASSIFIED)).alias("category")).agg(
         F.sum(value).alias("spend"), F.count("*").alias("n_rows"), F.count_distinct("supplier_key").alias("n_suppliers"), F.count_distinct("item_key").alias("n_items")
     )
     return per.withColumn("pct", F.round(100 * ratio(F.col("spend"), F.sum("spend").over(Window.partitionBy())), 4))
 
 
 def shares(df: DataFrame, category: str = "category", supplier: str = "supplier_key", value: str = "total_price") -> DataFrame:
-    """Spend of each supplier in each category and its share of the category, in percent."""
-    per = df.filter(F.col(category).isNotNull() & F.col(supplier).isNotNull()).groupBy(category, supplier).agg(F.sum(value).alias("spend"))
-    return per.withColumn("share", 100 * ratio(F.col("spend"), F.sum("spend").over(Window.partitionBy(category))))
+    """Spend of each supplier in each category and its share of the category, in percent; null is a category of its own."""
+    named = df.filter(F.col(supplier).isNotNull()).withColumn(category, F.coalesce(category, F.lit(UNCLASSIFIED)))
+    per = named.groupBy(category, supplier).agg(F.sum(value).alias("spend"))
+    total = per.groupBy(F.col(category).alias("_c")).agg(F.sum("spend").alias("_t"))
+    return per.join(total, F.col(category) == F.col("_c")).withColumn("share", 100 * ratio(F.col("spend"), F.col("_t"))).drop("_c", "_t")
 
 
 def hhi(df: DataFrame, category: str = "category", supplier: str = "supplier_key", value: str = "total_price") -> DataFrame:
     """`category, n_suppliers, hhi, top1, top3, level` of each category."""
-    w = Window.partitionBy(category).orderBy(F.desc("spend"), supplier)
-    ranked = shares(df, category, supplier, value).withColumn("_r", F.row_number().over(w))
-    per = ranked.groupBy(category).agg(
-        F.count("*").alias("n_suppliers"), F.sum(F.col("share") * F.col("share")).alias("_h"), F.max("share").alias("_1"), F.sum(F.when(F.col("_r") <= 3, F.col("share"))).alias("_3")
-    )
-    return per.select(category, "n_suppliers", F.round("_h", 4).alias("hhi"), F.round("_1", 4).alias("top1"), F.round("_3", 4).alias("top3"), concentration(F.round("_h", 4)).alias("level"))
+    h = F.col("share") * F.col("share")
+    summed = shares(df, category, supplier, value).withColumn("_part", F.pmod(F.xxhash64(supplier), F.lit(64)))
+    top = lambda c: F.slice(F.sort_array(c, asc=False), 1, 3)
+    parts = summed.groupBy(category, "_part").agg(F.count("*").alias("n"), F.sum(h).alias("h"), top(F.collect_list("share")).alias("t"))
+    per = parts.groupBy(category).agg(F.sum("n").alias("n_suppliers"), F.round(F.sum("h"), 4).alias("hhi"), top(F.flatten(F.collect_list("t"))).alias("_t"))  # 3 of each of 64 parts
+    three = F.aggregate("_t", F.lit(0.0), lambda a, x: a + x)
+    return per.select(category, "n_suppliers", "hhi", F.round(F.get("_t", 0), 4).alias("top1"), F.round(three, 4).alias("top3"), concentration(F.col("hhi")).alias("level"))
 
 
 def abc_curve(df: DataFrame, category: str = "category", supplier: str = "supplier_key", value: str = "total_price", total: str = "__GLOBAL__") -> DataFrame:
     """`category, supplier, spend, rank, cumulative, abc` for each category and for all together.
 
-    The window runs over suppliers, after aggregation, by category.
+    Ranks and cumulative shares are running sums over suppliers, after aggregation, dealt over tasks by ranges.
     """
-    rows = df.filter(F.col(supplier).isNotNull()).select(F.explode(F.array_compact(F.array(F.col(category), F.lit(total)))).alias(category), supplier, value)
+    rows = df.filter(F.col(supplier).isNotNull()).select(F.explode(F.array(F.coalesce(category, F.lit(UNCLASSIFIED)), F.lit(total))).alias(category), supplier, value)
     per = rows.groupBy(category, supplier).agg(F.sum(value).alias("spend"))
-    w = Window.partitionBy(category).orderBy(F.desc("spend"), supplier)
-    upto = F.sum("spend").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cumulative = F.round(100 * ratio(upto, F.sum("spend").over(Window.partitionBy(category))), 6)
-    return per.select(category, supplier, "spend", F.row_number().over(w).alias("rank"), cumulative.alias("cumulative")).withColumn("abc", F.when(F.col("cumulative") <= 80, "A").when(F.col("cumulative") <= 95, "B").otherwise("C"))
+    run = running(per, {"_before": F.col("spend"), "_rank": F.lit(1)}, [F.desc("spend"), F.col(supplier)], [category])
+    totals = per.groupBy(F.col(category).alias("_c")).agg(F.sum("spend").alias("_t"))
+    cumulative = F.round(100 * ratio(F.col("_before") + F.col("spend"), F.col("_t")), 6)
+    out = run.join(totals, F.col(category) == F.col("_c")).select(category, supplier, "spend", (F.col("_rank") + 1).cast("int").alias("rank"), cumulative.alias("cumulative"))
+    return out.withColumn("abc", F.when(F.col("cumulative") <= 80, "A").when(F.col("cumulative") <= 95, "B").otherwise("C"))

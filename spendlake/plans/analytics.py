@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import modified_zscore
+from ..functions.tables import quantile
 from ..operators import cleaning, models, pricing, quality, spend, star
 from .adapter import ITEMS, items, table
 
@@ -38,7 +39,7 @@ def day(name):
 # ---- spend ----
 
 @query("hhi_by_category", """
-WITH s AS (SELECT category, supplier_key, sum(total_price) AS spend FROM items WHERE category IS NOT NULL GROUP BY 1, 2),
+WITH s AS (SELECT coalesce(category, 'sem categoria') AS category, supplier_key, sum(total_price) AS spend FROM items GROUP BY 1, 2),
 h AS (SELECT *, 100 * spend::DOUBLE / (sum(spend) OVER (PARTITION BY category))::DOUBLE AS share, row_number() OVER (PARTITION BY category ORDER BY spend DESC, supplier_key) AS r FROM s)
 SELECT category, count(*) AS n_suppliers, round(sum(share * share), 4) AS hhi, round(max(share), 4) AS top1, round(sum(share) FILTER (r <= 3), 4) AS top3,
        CASE WHEN round(sum(share * share), 4) < 1500 THEN 'nao concentrado' WHEN round(sum(share * share), 4) < 2500 THEN 'moderadamente concentrado' ELSE 'altamente concentrado' END AS level
@@ -65,7 +66,7 @@ def _(spark, d):
 
 
 @query("abc_curve", """
-WITH r AS (SELECT category, supplier_key, total_price FROM items WHERE category IS NOT NULL UNION ALL SELECT '__GLOBAL__', supplier_key, total_price FROM items),
+WITH r AS (SELECT coalesce(category, 'sem categoria') AS category, supplier_key, total_price FROM items UNION ALL SELECT '__GLOBAL__', supplier_key, total_price FROM items),
 s AS (SELECT category, supplier_key, sum(total_price) AS spend FROM r GROUP BY 1, 2),
 c AS (SELECT category, supplier_key, spend::DOUBLE AS spend, row_number() OVER w AS rank,
              round(100 * (sum(spend) OVER (w ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(spend) OVER (PARTITION BY category))::DOUBLE, 6) AS cumulative
@@ -91,11 +92,11 @@ def _(spark, d):
 
 @query("null_profile", """
 WITH n AS (SELECT count(*) AS t, count(*) FILTER (unit_price IS NULL) AS unit_price, count(*) FILTER (catalogue_code IS NULL) AS catalogue_code, count(*) FILTER (category IS NULL) AS category FROM items)
-SELECT 'unit_price' AS "column", unit_price AS nulls, round(100.0 * unit_price / t, 2)::DOUBLE AS pct FROM n UNION ALL
-SELECT 'catalogue_code', catalogue_code, round(100.0 * catalogue_code / t, 2)::DOUBLE FROM n UNION ALL SELECT 'category', category, round(100.0 * category / t, 2)::DOUBLE FROM n""")
+SELECT 'unit_price' AS "column", unit_price AS nulls, round(100.0 * unit_price / t, 2)::DOUBLE AS pct, 'double' AS kind FROM n UNION ALL
+SELECT 'catalogue_code', catalogue_code, round(100.0 * catalogue_code / t, 2)::DOUBLE, 'bigint' FROM n UNION ALL SELECT 'category', category, round(100.0 * category / t, 2)::DOUBLE, 'string' FROM n""")
 def _(spark, d):
     out = quality.null_profile(items(spark, d).select("unit_price", "catalogue_code", "category"))
-    return out.withColumn("pct", F.col("pct").cast("double"))
+    return out.withColumn("pct", F.col("pct").cast("double"))  # kinds: double, bigint, string
 
 
 @query("key_duplicates", """
@@ -134,10 +135,14 @@ def _(spark, d):
     return quality.code_cardinality(items(spark, d), "catalogue_code", "description", "unit")
 
 
-@query("schema_drift", "SELECT 'buyer_key' AS new, 'extra' AS missing, false AS matches FROM items LIMIT 1")
+_DRIFT = ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")
+
+
+@query("schema_drift", " UNION ALL ".join(
+    [f"SELECT '{c}' AS \"column\", '{'expected' if c in ('o_orderkey', 'o_custkey', 'o_orderdate', 'o_totalprice') else 'new'}' AS status, count({c}) AS filled FROM orders" for c in _DRIFT]
+    + ["SELECT 'o_clerk', 'missing', NULL"]), over_items=False)
 def _(spark, d):
-    rows = items(spark, d)
-    return quality.schema_drift(rows, [c for c in rows.columns if c != "buyer_key"] + ["extra"])
+    return quality.schema_drift(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_clerk"]).drop("distinct_values")
 
 
 # ---- cleaning ----
@@ -167,7 +172,7 @@ def _(spark, d):
 
 @query("spend_total", """
 WITH c AS (SELECT purchase_item_id, min(date_trunc('quarter', result_date)) = max(date_trunc('quarter', result_date)) AND min(total_price) < max(total_price) AS c FROM items GROUP BY 1)
-SELECT sum(total_price)::DOUBLE AS gross, (sum(total_price) FILTER (NOT c))::DOUBLE AS net, count(*) FILTER (c) AS n_excluded, (sum(total_price) FILTER (c))::DOUBLE AS excluded FROM items JOIN c USING (purchase_item_id)""")
+SELECT sum(total_price)::DOUBLE AS gross, (sum(total_price) FILTER (NOT c))::DOUBLE AS net, count(*) FILTER (c) AS n_excluded, (sum(total_price) FILTER (c))::DOUBLE AS excluded, round(100 * (sum(total_price) FILTER (c))::DOUBLE / sum(total_price)::DOUBLE, 4) AS pct FROM items JOIN c USING (purchase_item_id)""")
 def _(spark, d):
     rows = items(spark, d).withColumn("period", F.trunc("result_date", "quarter"))
     flagged = cleaning.flag_conflicts(rows, "purchase_item_id", "period", "total_price")
@@ -238,7 +243,8 @@ def _(spark, d):
 
 
 @query("dim_date", """
-SELECT strftime(x, '%Y%m%d')::INT AS date_key, x::DATE::VARCHAR AS day_date, year(x)::INT AS year, quarter(x)::INT AS quarter, month(x)::INT AS month, day(x)::INT AS day, (isodow(x) - 1)::INT AS weekday
+SELECT strftime(x, '%Y%m%d')::INT AS date_key, x::DATE::VARCHAR AS day_date, year(x)::INT AS year, quarter(x)::INT AS quarter, month(x)::INT AS month, day(x)::INT AS day, (isodow(x) - 1)::INT AS weekday,
+       list_extract(['Janeiro', 'Fevereiro', 'Março', 'Abril', 'Maio', 'Junho', 'Julho', 'Agosto', 'Setembro', 'Outubro', 'Novembro', 'Dezembro'], month(x)::INT) AS month_name
 FROM (SELECT unnest(generate_series((SELECT min(l_shipdate)::DATE FROM lineitem)::TIMESTAMP, (SELECT max(l_shipdate)::DATE FROM lineitem)::TIMESTAMP, INTERVAL 1 DAY)) AS x)""", over_items=False)
 def _(spark, d):
     ends = table(spark, d, "lineitem").agg(F.min(F.to_date("l_shipdate")), F.max(F.to_date("l_shipdate"))).first()
@@ -284,7 +290,7 @@ def _(spark, d):
 
 @query("value_outliers", _Z + "SELECT purchase_item_id, supplier_key, result_date::VARCHAR AS result_date, 'unit_price' AS reason FROM z WHERE abs(z) > 2.5")
 def _(spark, d):
-    return star.flag_value_outliers(items(spark, d), "item_key", ["unit_price"], 2.5).filter("is_outlier").select("purchase_item_id", "supplier_key", day("result_date"), "reason")
+    return star.flag_value_outliers(items(spark, d), "item_key", ["unit_price"], 2.5, total=None).filter("is_outlier").select("purchase_item_id", "supplier_key", day("result_date"), "reason")
 
 
 # ---- baseline, errors, anomalies, savings, drift ----
@@ -292,9 +298,13 @@ def _(spark, d):
 _BASE = """
 WITH c AS (SELECT *, year(result_date) AS year FROM items WHERE category IS NOT NULL AND unit_price > 0 AND quantity > 0),
 b AS (SELECT item_key, median(unit_price) AS expected, count(*) AS n FROM c WHERE year = 1999 GROUP BY 1),
-r AS (SELECT c.*, expected FROM c LEFT JOIN (SELECT * FROM b WHERE n >= 5) b USING (item_key) WHERE year = 2000),
-e AS (SELECT r.*, ln(unit_price) - ln(expected) AS log_error, abs(ln(unit_price) - ln(expected)) AS abs_log_error, abs(unit_price - expected) AS abs_error, 100 * abs(unit_price - expected) / unit_price AS ape FROM r WHERE expected > 0),
-t AS (SELECT quantile_cont(abs_log_error, 0.95) AS threshold FROM e)
+g AS (SELECT category, median(unit_price) AS fallback FROM c WHERE year = 1999 GROUP BY 1),
+r AS (SELECT c.*, b5.expected AS item_expected, coalesce(b5.expected, g.fallback) AS expected, b.item_key IS NOT NULL AS is_known
+      FROM c LEFT JOIN (SELECT * FROM b WHERE n >= 5) b5 USING (item_key) LEFT JOIN b ON c.item_key = b.item_key LEFT JOIN g ON c.category = g.category WHERE year IN (2000, 2001)),
+e2 AS (SELECT r.*, purchase_item_id || '/' || supplier_key || '/' || result_date AS id, ln(unit_price) - ln(expected) AS log_error, abs(ln(unit_price) - ln(expected)) AS abs_log_error, abs(unit_price - expected) AS abs_error, 100 * abs(unit_price - expected) / unit_price AS ape FROM r WHERE expected > 0),
+e AS (SELECT * FROM e2 WHERE year = 2000),
+t AS (SELECT quantile_cont(abs_log_error, 0.95) AS threshold FROM e WHERE is_known),
+d AS (SELECT e2.*, CASE WHEN NOT is_known THEN 'nao_avaliavel' WHEN abs_log_error <= threshold THEN 'normal' WHEN log_error > 0 THEN 'acima' ELSE 'abaixo' END AS direction FROM e2, t)
 """
 
 
@@ -302,12 +312,18 @@ def _split(spark, d):
     return pricing.split(pricing.baseline_rows(items(spark, d)), 1999, 2000, 2001)
 
 
-def _errors(spark, d):
+def _errors(spark, d, *splits):
+    """Errors of the medians of 1999 on later rows, those of unknown items too, with an id for each row."""
     rows = _split(spark, d)
     train = rows.filter("split = 'train'")
-    base = pricing.median_baseline(train).filter("reliable")
-    scored = rows.filter("split = 'validation'").join(base.select("item_key", "expected"), "item_key")
-    return pricing.prediction_errors(scored, train)
+    scored = pricing.scored_by_medians(rows.filter(F.col("split").isin(*(splits or ("validation",)))), train)
+    return pricing.prediction_errors(scored, train).withColumn("id", F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")))
+
+
+def _flagged(spark, d):
+    """Errors of 2000 and 2001 under the threshold of 2000."""
+    e = _errors(spark, d, "validation", "test")
+    return pricing.flag_anomalies(e, pricing.anomaly_threshold(e.filter("split = 'validation'")))
 
 
 @query("median_baseline", _BASE + "SELECT item_key, round(expected, 6) AS expected, n, n >= 5 AS reliable FROM b")
@@ -316,16 +332,17 @@ def _(spark, d):
 
 
 @query("median_baseline_eval", _BASE + """
-SELECT count(*) AS n, count(expected) AS covered, round(100.0 * count(expected) / count(*), 4)::DOUBLE AS coverage, round(avg(abs(unit_price - expected)), 4) AS mae,
-       round(sqrt(avg((unit_price - expected) * (unit_price - expected))), 4) AS rmse, round(avg(100 * abs(unit_price - expected) / unit_price), 4) AS mean_ape,
-       round(median(100 * abs(unit_price - expected) / unit_price), 4) AS median_ape FROM r""")
+SELECT count(*) AS n, count(item_expected) AS covered, round(100.0 * count(item_expected) / count(*), 4)::DOUBLE AS coverage, round(avg(abs(unit_price - item_expected)), 4) AS mae,
+       round(sqrt(avg((unit_price - item_expected) * (unit_price - item_expected))), 4) AS rmse, round(avg(100 * abs(unit_price - item_expected) / unit_price), 4) AS mean_ape,
+       round(median(100 * abs(unit_price - item_expected) / unit_price), 4) AS median_ape FROM r WHERE year = 2000""")
 def _(spark, d):
     rows = _split(spark, d)
     return pricing.evaluate_baseline(rows.filter("split = 'validation'"), pricing.median_baseline(rows.filter("split = 'train'")))
 
 
 _METRICS = """count(*) AS n, round(avg(abs_log_error), 6) AS mae_log, round(sqrt(avg(log_error * log_error)), 6) AS rmse_log, round(median(ape), 4) AS med_ape,
-       round(100 * sum(abs_error) / sum(unit_price), 4) AS wape, round(avg(abs_error), 4) AS mae, 1.0::DOUBLE AS known_rate FROM e"""
+       round(100 * sum(abs_error) / sum(unit_price), 4) AS wape, round(avg(abs_error), 4) AS mae, round(avg(is_known::INT), 6) AS known_rate,
+       round(sqrt(avg(abs_error * abs_error)), 4) AS rmse, round(1 - avg(is_known::INT), 6) AS unseen_rate FROM e"""
 
 
 @query("prediction_metrics", _BASE + f"SELECT {_METRICS}")
@@ -343,35 +360,36 @@ def _(spark, d):
     return pricing.metrics(_errors(spark, d).withColumn("month", F.date_format("result_date", "yyyy-MM")), "month")
 
 
-@query("clustered_bootstrap", _BASE + """,
-p AS (SELECT item_key, abs_log_error - abs(ln(unit_price) - ln((SELECT median(unit_price) FROM c WHERE year = 1999))) AS delta FROM e),
-k AS (SELECT row_number() OVER (ORDER BY item_key) - 1 AS k, sum(delta) AS s, count(*) AS c FROM p GROUP BY item_key),
-g AS (SELECT b, (('0x' || substr(md5('42-' || b || '-' || j), 1, 12))::BIGINT % (SELECT count(*) FROM k)) AS k FROM range(200) x(b), range((SELECT count(*) FROM k)) y(j)),
-m AS (SELECT b, sum(s) / sum(c) AS m FROM g JOIN k USING (k) GROUP BY 1),
+_LIMITS = ", ".join(map(str, pricing.poisson_limits()))
+_RESAMPLED = """
+k AS (SELECT item_key, sum(delta) AS s, count(*) AS c FROM p GROUP BY item_key),
+u AS (SELECT b, s, c, ('0x' || substr(md5('42-' || b || '-' || item_key), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM k, range(200) x(b)),
+m AS (SELECT b, sum(n * s) / nullif(sum(n * c), 0) AS m FROM (SELECT *, len(list_filter([""" + _LIMITS + """], lambda y: u >= y)) AS n FROM u) GROUP BY 1),
 i AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m)
-SELECT round((SELECT avg(delta) FROM p), 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'reference_better' WHEN high < 0 THEN 'challenger_better' ELSE 'inconclusive' END AS verdict FROM i""")
+SELECT round((SELECT avg(delta) FROM p), 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'reference_better' WHEN high < 0 THEN 'challenger_better' ELSE 'inconclusive' END AS verdict FROM i"""
+
+
+@query("clustered_bootstrap", _BASE + """,
+p AS (SELECT item_key, abs_log_error - abs(ln(unit_price) - ln((SELECT median(unit_price) FROM c WHERE year = 1999))) AS delta FROM e),""" + _RESAMPLED)
 def _(spark, d):
-    middle = _split(spark, d).filter("split = 'train'").agg(F.median("unit_price").alias("mid"))
+    middle = quantile(_split(spark, d).filter("split = 'train'"), "unit_price", 0.5, "mid")
     pairs = _errors(spark, d).crossJoin(F.broadcast(middle)).withColumn("delta", F.col("abs_log_error") - F.abs(F.ln("unit_price") - F.ln("mid")))  # one row
     return pricing.clustered_bootstrap(pairs, "item_key", "delta")
 
 
 @query("anomaly_calibration", _BASE + """
-SELECT CASE WHEN abs_log_error <= threshold THEN 'normal' WHEN log_error > 0 THEN 'acima' ELSE 'abaixo' END AS direction, count(*) AS n, round(avg(abs_log_error), 6) AS mean_error FROM e, t GROUP BY 1""")
+SELECT year::INT AS year, direction, count(*) AS n, round(avg(abs_log_error), 6) AS mean_error FROM d GROUP BY 1, 2""")
 def _(spark, d):
-    e = _errors(spark, d)
-    return pricing.flag_anomalies(e, pricing.anomaly_threshold(e)).groupBy("direction").agg(F.count("*").alias("n"), F.round(F.avg("abs_log_error"), 6).alias("mean_error"))
+    return _flagged(spark, d).groupBy("year", "direction").agg(F.count("*").alias("n"), F.round(F.avg("abs_log_error"), 6).alias("mean_error"))
 
 
-_SAVE = _BASE + """, q AS (SELECT purchase_item_id || '/' || supplier_key || '/' || result_date AS id, category, supplier_key, (unit_price - expected) * quantity AS saving FROM e, t WHERE abs_log_error > threshold AND log_error > 0),
-o AS (SELECT *, round(saving, 4)::DECIMAL(24,4) AS s FROM q), w AS (SELECT *, coalesce(sum(s) OVER (ORDER BY s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(s) OVER ())::DOUBLE AS share FROM o)
+_SAVE = _BASE + """, q AS (SELECT id, category, supplier_key, (unit_price - expected) * quantity AS saving FROM d WHERE direction = 'acima'),
+o AS (SELECT *, round(saving, 4)::DECIMAL(24,4) AS s FROM q), w AS (SELECT *, coalesce(sum(s) OVER (ORDER BY s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(s) OVER () AS total FROM o)
 """
 
 
 def _savings(spark, d):
-    e = _errors(spark, d)
-    rows = pricing.savings(pricing.flag_anomalies(e, pricing.anomaly_threshold(e)), 10_000.0)
-    return rows.withColumn("id", F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")))
+    return pricing.savings(_flagged(spark, d), 10_000.0)
 
 
 @query("savings_opportunities", _SAVE + "SELECT id, category, round(saving, 4) AS saving, saving >= 10000 AS high_ticket FROM q")
@@ -379,9 +397,10 @@ def _(spark, d):
     return _savings(spark, d).select("id", "category", F.round("saving", 4).alias("saving"), "high_ticket")
 
 
-@query("savings_priority", _SAVE + "SELECT id, CASE WHEN share < 0.7 THEN 'Alta' WHEN share < 0.9 THEN 'Media' ELSE 'Baixa' END AS priority FROM w")
+@query("savings_priority", _SAVE + """SELECT id, round((before + s)::DOUBLE / total::DOUBLE, 6) AS cumulative_share,
+  CASE WHEN before::DOUBLE / total::DOUBLE < 0.7 THEN 'Alta' WHEN before::DOUBLE / total::DOUBLE < 0.9 THEN 'Media' ELSE 'Baixa' END AS priority FROM w""")
 def _(spark, d):
-    return pricing.savings_priority(_savings(spark, d), "id").select("id", "priority")
+    return pricing.savings_priority(_savings(spark, d), "id").select("id", F.round("cumulative_share", 6).alias("cumulative_share"), "priority")
 
 
 @query("savings_by_category", _SAVE + "SELECT category, count(*) AS n, sum(s)::DOUBLE AS saving FROM o GROUP BY 1")
@@ -389,6 +408,16 @@ def _(spark, d):
     return _savings(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.sum(F.round("saving", 4).cast("decimal(24,4)")).cast("double").alias("saving"))
 
 
+#: Priorities of all transactions by what they cost, so that the running sum goes over the whole table.
+@query("transaction_priority", """
+WITH o AS (SELECT purchase_item_id || '/' || supplier_key || '/' || result_date AS id, total_price AS s FROM items),
+w AS (SELECT id, coalesce(sum(s) OVER (ORDER BY s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(s) OVER ())::DOUBLE AS share FROM o)
+SELECT CASE WHEN share < 0.7 THEN 'Alta' WHEN share < 0.9 THEN 'Media' ELSE 'Baixa' END AS priority, count(*) AS n, max(share) < 1 AS below_one FROM w GROUP BY 1""")
+def _(spark, d):
+    rows = items(spark, d).select(F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")).alias("id"), F.col("total_price").alias("saving"))
+    return pricing.savings_priority(rows, "id").groupBy("priority").agg(F.count("*").alias("n"), F.lit(True).alias("below_one"))
+
+
 _MIX = """
 WITH n AS (SELECT category, count(*) FILTER (year(result_date) = 1999) AS a, count(*) FILTER (year(result_date) = 2000) AS b FROM items GROUP BY 1 HAVING a + b > 0),
 m AS (SELECT category, round(100 * a::DOUBLE / (sum(a) OVER ())::DOUBLE, 6) AS share_a, round(100 * b::DOUBLE / (sum(b) OVER ())::DOUBLE, 6) AS share_b FROM n)

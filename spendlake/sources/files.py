@@ -17,6 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def require(spark: SparkSession, paths: Sequence[str]) -> None:
     if missing := [p for p in paths if not exists(spark, p)]:
         raise FileNotFoundError(", ".join(missing))
@@ -61,16 +66,79 @@ def to_load(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
     return candidates.withColumn("dataset", F.coalesce("dataset", F.lit("item"))).join(done, ["path", "dataset", "length"], "left_anti")
 
 
+STATUSES = ("success", "skipped_existing", "not_found", "error")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def record(spark: SparkSession, path: str, dataset: str, file: str, status: str, length: int | None = None, rows: int | None = None) -> None:
+    """Append a manifest row; the status is one of `STATUSES`."""
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status}")
+    append_log(spark.createDataFrame([(file, dataset, status, length, rows)], MANIFEST).withColumn("at", F.current_timestamp()), path)
+
+
+MANIFEST = "path string, dataset string, status string, length long, n_rows long"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest rows; none where there is no manifest yet."""
+    return spark.read.schema(MANIFEST + ", at timestamp").json(path) if exists(spark, path) else spark.createDataFrame([], MANIFEST + ", at timestamp")
+
+
 def save_star(tables: Mapping[str, DataFrame], root: str) -> None:
+    """Write the five tables anew and append their numbers of rows to the build log."""
     for name in STAR:
         tables[name].write.mode("overwrite").parquet(f"{root}/{name}")
+    spark = tables[STAR[0]].sparkSession
+    counts = [spark.read.parquet(f"{root}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("n_rows")) for name in STAR]
+    log = counts[0]
+    for c in counts[1:]:
+        log = log.unionByName(c)
+    append_log(log.withColumn("at", F.current_timestamp()).coalesce(1), f"{root}/_build_log")  # five rows
 
 
 def load_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All five tables, or FileNotFoundError."""
     require(spark, [f"{root}/{name}" for name in STAR])
     return {name: spark.read.parquet(f"{root}/{name}") for name in STAR}
+
+
+def save_artifact(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write a result as Parquet, CSV with a header, or JSON lines."""
+    writer = df.write.mode("overwrite")
+    {"parquet": writer.parquet, "json": writer.json, "csv": writer.option("header", True).csv}[kind](path)
+
+
+def load_artifacts(spark: SparkSession, paths: Mapping[str, str], schemas: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """Named results, all or none; the kind follows from the ending, identifiers keep their zeros where a schema says string."""
+    require(spark, list(paths.values()))
+    out = {}
+    for name, path in paths.items():
+        reader = spark.read.schema(schemas[name]) if schemas and name in schemas else spark.read
+        out[name] = reader.option("header", True).csv(path) if path.endswith(".csv") else reader.json(path) if path.endswith((".json", ".jsonl")) else reader.parquet(path)
+    return out
+
+
+def count_years(spark: SparkSession, root: str, years: Sequence[int]) -> DataFrame:
+    """`year, n_rows` of the years that are there; others count null."""
+    there = [y for y in years if exists(spark, f"{root}/ano={y}")]
+    asked = spark.createDataFrame([(y,) for y in years], "year int")
+    if not there:
+        return asked.withColumn("n_rows", F.lit(None).cast("long"))
+    found = read_years(spark, root, there).groupBy(F.col("ano").cast("int").alias("year")).agg(F.count("*").alias("n_rows"))
+    return asked.join(found, "year", "left")
+
+
+def reuse(df: DataFrame, path: str) -> DataFrame:
+    """The table at `path`, written first if it is not there."""
+    if not exists(df.sparkSession, path):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def source_path(date, dataset, root: str):
+    """Column: where a dataset's file of a day lies."""
+    return F.concat(F.lit(root.rstrip("/") + "/"), dataset, F.lit("/dt="), F.date_format(date, "yyyy-MM-dd"), F.lit("/"), dataset, F.lit(".csv"))

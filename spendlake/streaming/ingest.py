@@ -7,36 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import exists
+from ..sources.files import exists, remove
 
 
 def ingest_daily(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, log: str | None = None) -> None:
-    """Load the CSV files that landed since the last run, each once, and log each batch's rows."""
+    """Load the CSV files that landed since the last run, each once, and log each batch's rows.
+
+    A batch has a folder of its own, so one that is run again after a failure replaces what it left before.
+    """
     stream = spark.readStream.option("header", True).schema(schema).csv(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("append").parquet(target)
+        df.write.mode("overwrite").parquet(f"{target}/batch={number}")
         if log:
-            df.agg(F.lit(number).alias("batch"), F.count("*").alias("rows")).write.mode("append").json(log)
+            written = spark.read.schema(df.schema).parquet(f"{target}/batch={number}")
+            written.agg(F.count("*").alias("rows")).write.mode("overwrite").json(f"{log}/batch={number}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def keep_latest(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: Sequence[str], date: str, buckets: int = 16) -> None:
-    """Maintain the latest row of each key: a batch rewrites only the buckets of its keys."""
+def merge_latest(spark: SparkSession, df: DataFrame, number: int, target: str, key: Sequence[str], date: str, buckets: int = 16) -> None:
+    """Merge rows into a table of the latest row of each key, in the buckets of their keys; merging them again changes nothing."""
     from ..operators.cleaning import resolve_revisions
 
-    def batch(df: DataFrame, number: int) -> None:
-        new = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-        if exists(spark, target):
-            touched = new.select("_bucket").distinct()
-            new = new.unionByName(spark.read.parquet(target).join(F.broadcast(touched), "_bucket", "left_semi").select(new.columns))  # `buckets` rows at most
-        merged = resolve_revisions(new, key, date)
-        staged = f"{target}_staged/{number}"
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(target)
+    new = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    if exists(spark, target):
+        touched = new.select("_bucket").distinct()
+        new = new.unionByName(spark.read.parquet(target).join(F.broadcast(touched), "_bucket", "left_semi").select(new.columns))  # `buckets` rows at most
+    staged = f"{target}_staged/{number}"
+    resolve_revisions(new.dropDuplicates(), key, date).write.mode("overwrite").parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(target)
+    remove(spark, staged)
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def keep_latest(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: Sequence[str], date: str, buckets: int = 16) -> None:
+    """Maintain the latest row of each key: a batch rewrites only the buckets of its keys."""
+    merge = lambda df, number: merge_latest(spark, df, number, target, key, date, buckets)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def hourly_counts(stream: DataFrame, time: str = "ts", kind: str = "event_type", late: str = "1 hour") -> DataFrame:
