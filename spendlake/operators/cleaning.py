@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import flag, ratio
+from ..functions.tables import stored
 
 
 def remove_exact_duplicates(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
@@ -127,8 +128,8 @@ def violating_purchases(df: DataFrame, key: Sequence[str], purchase: str, top: i
 def silver(bronze: DataFrame) -> DataFrame:
     """The raw item table typed, without exact duplicates and superseded revisions, with its category and conflict flag."""
     typed = apply_typing(bronze)
-    once = remove_exact_duplicates(typed, [c for c in VOLATILE if c in typed.columns])
-    latest = resolve_revisions(once, KEY, "data_resultado")
+    once = stored(remove_exact_duplicates(typed, [c for c in VOLATILE if c in typed.columns]))
+    latest = stored(resolve_revisions(once, KEY, "data_resultado"))
     named = classify(latest, "descricao_resumida", text.RELEVANT)
     return flag_conflicts_of(named, KEY, "data_resultado", "valor_total_resultado", "resultado_conflitante")
 

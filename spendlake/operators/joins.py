@@ -23,3 +23,11 @@ def same_keys(left: DataFrame, right: DataFrame, on: list[str]) -> bool:
     """Whether both tables hold the same set of keys."""
     a, b = left.select(*on).distinct(), right.select(*on).distinct()
     return not a.join(b, on, "left_anti").limit(1).count() and not b.join(a, on, "left_anti").limit(1).count()
+
+
+def key_guards(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """`missing, shared, unused`: distinct keys of the left side that the right lacks, that both have, and that only the right has."""
+    a = left.select(*on).distinct().withColumn("_a", F.lit(True))
+    b = right.select(*on).distinct().withColumn("_b", F.lit(True))
+    both = a.join(b, on, "full")
+    return both.agg(F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a") & F.col("_b")).alias("shared"), F.count_if(F.col("_a").isNull()).alias("unused"))

@@ -155,3 +155,10 @@ def category_mix(rows: DataFrame, category: str, period: str, first, second) ->
 def variation_distance(mix: DataFrame) -> DataFrame:
     """One row: half the sum of absolute share deltas, and the category of the largest shift."""
     return mix.agg(F.round(F.sum(F.abs("delta_pp")) / 2, 4).alias("tvd"), F.max_by(F.coalesce("category", F.lit("sem categoria")), F.abs("delta_pp")).alias("largest"))
+
+
+def histogram(rows: DataFrame, value: str, bins: int, *by: str) -> DataFrame:
+    """`bin, n` of equal ranges from the least to the greatest value, the last with its upper end; by group if wanted."""
+    ends = rows.agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    at = F.least(F.floor(ratio(F.col(value) - F.col("_a"), F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))
+    return rows.crossJoin(F.broadcast(ends)).filter(F.col(value).isNotNull()).groupBy(*by, F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))  # one row

@@ -107,3 +107,13 @@ def unit_distribution(df: DataFrame, item: str, unit: str, top: int = 20) -> Dat
 def code_cardinality(df: DataFrame, code: str, description: str, unit: str) -> DataFrame:
     """For each catalogue code: rows, descriptions, units."""
     return df.filter(F.col(code).isNotNull()).groupBy(code).agg(F.count("*").alias("n_rows"), F.count_distinct(description).alias("n_descriptions"), F.count_distinct(unit).alias("n_units"))
+
+
+def described(df: DataFrame, value: str, *by: str, extra: tuple | list = ()) -> DataFrame:
+    """`n, mean, std, least, p25, p50, p99, most` of a column, of all rows or by group."""
+    p = lambda x, name: F.round(F.percentile(value, x), 4).alias(name)
+    rows = df.groupBy(*by) if by else df
+    return rows.agg(
+        *extra, F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.min(value).alias("least"),
+        p(0.25, "p25"), p(0.5, "p50"), p(0.99, "p99"), F.max(value).alias("most"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import flag, modified_zscore
+from ..functions.tables import stored
 from ..functions.text import item_key
 from ..sources.files import read_years, require_columns
 from .cleaning import unit_comparability
@@ -128,4 +129,4 @@ def fact_of_silver(silver: DataFrame, buyers: DataFrame, items: DataFrame) -> Da
         F.col("valor_total_resultado").alias("total_price"),
         "resultado_conflitante",
     )
-    return flag_value_outliers(fact, "item_key")
+    return flag_value_outliers(stored(fact), "item_key")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.stats import modified_zscore
-from ..functions.tables import quantile
+from ..functions.tables import quantile, stored
 from ..operators import cleaning, models, pricing, quality, spend, star
 from .adapter import ITEMS, items, table
 
@@ -322,7 +322,7 @@ def _errors(spark, d, *splits):
 
 def _flagged(spark, d):
     """Errors of 2000 and 2001 under the threshold of 2000."""
-    e = _errors(spark, d, "validation", "test")
+    e = stored(_errors(spark, d, "validation", "test"))  # read for the threshold and for the rows
     return pricing.flag_anomalies(e, pricing.anomaly_threshold(e.filter("split = 'validation'")))
 
 
