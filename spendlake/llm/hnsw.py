@@ -33,10 +33,15 @@ from .components import forest, named, numbered
 SHARDS, SHARD_BYTES, PARTS, BLOCK = 8, 1 << 25, 4, 2048
 LINKS, BUILD_BEAM, BEAM, WIDTH = 12, 32, 32, 4
 AUDIT, RECALL = 64, 0.99
+#: A search follows this many of the best nodes of its beam, and others within this distance of the threshold; what that misses, the audit shows.
+FRONT, NEAR = 10, 0.15
 
 
-def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best `beam` nodes and similarities for each query, best first; -1 where fewer were found."""
+def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Best `beam` nodes and similarities for each query, best first; -1 where fewer were found.
+
+    Beyond the `FRONT` best of the beam, only nodes of similarity `floor` or more are followed.
+    """
     q, n = len(queries), len(unit)
     rows = np.arange(q)
     seen = np.zeros((q, n), dtype=bool)
@@ -48,6 +53,7 @@ def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry:
     active, take = rows, min(WIDTH, beam)
     while len(active):
         waiting = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
+        waiting[:, FRONT:][waiting[:, FRONT:] < floor] = -np.inf
         pick = np.argpartition(-waiting, take - 1, axis=1)[:, :take] if take < beam else np.tile(np.arange(beam), (len(active), 1))
         value = np.take_along_axis(waiting, pick, axis=1)
         live = np.isfinite(value)
@@ -139,12 +145,12 @@ class Graph:
             at = beam_search(self.unit, self.layers[k], queries, at, 2)[0][:, 0]
         return at
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         if beam >= len(self.unit):
             sims = queries @ self.unit.T
             ids = np.argsort(-sims, axis=1)
             return ids, np.take_along_axis(sims, ids, axis=1)
-        return beam_search(self.unit, self.layers[0], queries, self._descend(queries, 0), beam)
+        return beam_search(self.unit, self.layers[0], queries, self._descend(queries, 0), beam, floor)
 
 
 def linked(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
@@ -158,7 +164,7 @@ def linked(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarr
         wide = []
         for a in range(0, len(todo), 256):
             part = todo[a : a + 256]
-            ids, sims = graph.search(queries[part], beam)
+            ids, sims = graph.search(queries[part], beam, close - NEAR)
             for k, r in enumerate(part):
                 out[r] = ids[k][sims[k] >= close]
             wide.append(part[(sims[:, -1] >= close) & (beam < len(graph.unit))])
