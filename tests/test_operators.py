@@ -3,8 +3,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from spendlake.functions import stats, text
-from spendlake.operators import cleaning, joins, pricing, quality, spend, star
+from spendlake.functions import stats, tables, text
+from spendlake.operators import cleaning, comparison, joins, models, pricing, quality, spend, star
 from spendlake.sources import files
 from spendlake.streaming import ingest
 
@@ -58,7 +58,7 @@ def test_quality(spark):
     df = spark.createDataFrame([(1, 10.0), (1, -5.0), (2, 0.0), (3, None)], "k int, v double")
     assert one(quality.key_duplicates(df, "k"))["duplicates"] == 1
     assert one(quality.value_range(df, "v")) == {"below": 1, "zero": 1, "missing": 1}
-    assert one(quality.schema_drift(df, ["k", "c"])) == {"new": "v", "missing": "c", "matches": False}
+    assert {(r.column, r.status, r.filled) for r in quality.schema_drift(df, ["k", "c"]).collect()} == {("k", "expected", df.filter("k is not null").count()), ("v", "new", df.filter("v is not null").count()), ("c", "missing", None)}
     assert quality.null_profile(df.limit(0)).collect()[0].pct is None
 
 
@@ -77,9 +77,101 @@ def test_savings_priority(spark):
     assert pricing.savings_priority(df.limit(0), "id").count() == 0
 
 
-def test_running_share_over_many_partitions(spark):
-    df = spark.range(1000).select("id", F.lit(1).alias("v"))
-    assert stats.running_share(df, "v", [F.col("id")]).filter("before <> id").count() == 0
+def test_running_sum_over_many_wide_partitions(spark):
+    wide = spark.range(200_000).select((F.col("id") % 1000).alias("v"), "id", *(F.sha2(F.concat("id", F.lit(k)), 256).alias(f"w{k}") for k in range(3)))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        out = tables.running(wide, {"before": F.col("v"), "rank": F.lit(1)}, [F.desc("v"), F.col("id")]).select("v", "id", "before", "rank").toPandas()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    out = out.sort_values(["v", "id"], ascending=[False, True])
+    assert len(out) == 200_000 and (out["before"].to_numpy() == out.v.cumsum().to_numpy() - out.v.to_numpy()).all() and (out["rank"].to_numpy() == range(200_000)).all()
+    by = tables.running(spark.createDataFrame([("a", 1), ("a", 2), (None, 5), (None, 7)], "k string, v int"), {"s": F.col("v")}, [F.col("v")], ["k"])
+    assert sorted(((r.k or "", r.v, r.s) for r in by.collect())) == [("", 5, 0), ("", 7, 5), ("a", 1, 0), ("a", 2, 1)]
+
+
+def test_quantile_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FEW", 50)
+    monkeypatch.setattr(tables, "RANGES", 16)
+    df = spark.range(5001).select(F.when(F.col("id") < 2000, 0.0).otherwise(F.pow(F.col("id") % 977, F.lit(2))).alias("x"))
+    for level in (0.0, 0.3, 0.5, 0.95, 1.0):
+        assert abs(tables.quantile(df, "x", level, "q").first()[0] - df.agg(F.percentile("x", level)).first()[0]) < 1e-6
+    assert tables.quantile(df.limit(0), "x", 0.5, "q").first()[0] is None
+
+
+def test_permuted_keeps_values(spark):
+    df = spark.range(3000).select("id", (F.col("id") * 2).alias("x"))
+    out = models.permuted(df, "x", "id").toPandas()
+    assert sorted(out.x) == sorted(2 * k for k in range(3000)) and (out.x != 2 * out.id).mean() > 0.9
+
+
+def test_bronze_to_gold(spark):
+    names = (
+        "id_compra_item cod_fornecedor nome_fornecedor cod_item_catalogo descricao_resumida material_ou_servico_nome unidade_medida quantidade quantidade_resultado"
+        " valor_unitario_resultado valor_total_resultado data_inclusao_pncp data_resultado id_compra orgao_entidade_cnpj COD_RESULTADO_ITEM"
+    ).split()
+    rows = [
+        ("A", "F1", "Fornecedor A", "1", "Notebook Dell", "Material", "Unidade", "10", "10", "2900.0", "29000.0", "2025-01-01", "2025-01-02", "p1", "00394502000144", "R1"),
+        ("A", "F1", "Fornecedor A", "1", "Notebook Dell", "Material", "Unidade", "10", "10", "2900.0", "29000.0", "2025-01-01", "2025-01-02", "p1", "00394502000144", "R2"),
+        ("B", "F2", "Fornecedor B", None, "Mouse Optico", "Material", "Unidade", "5", "5", "50.0", "250.0", "2025-01-01", "2025-01-01", "p1", "00394502000144", "R3"),
+        ("B", "F2", "Fornecedor B", None, "Mouse Optico", "Material", "Unidade", "5", "5", "55.0", "275.0", "2025-01-01", "2025-01-05", "p1", "00394502000144", "R4"),
+        ("C", "F3", "Fornecedor C", None, "Consultoria TI", "Serviço", "Unidade", "1", "1", "200.0", "200.0", "2025-01-01", "2025-01-03", "p1", "00394502000144", "R5"),
+        ("C", "F3", "Fornecedor C", None, "Consultoria TI", "Serviço", "Unidade", "1", "1", "210.0", "210.0", "2025-01-01", "2025-01-03", "p1", "00394502000144", "R6"),
+        ("D", "F4", "Fornecedor D", "2", "Cadeira Escritorio", "Material", "Unidade", "2", "2", "480.0", "960.0", "2025-02-01", "2025-02-02", "p3", "00394502000144", "R7"),
+        ("E", "F5", None, None, "Fruta", "Material", "Quilograma", "100", None, None, None, "2025-03-01", None, "p1", "00394502000144", None),
+    ]
+    bronze = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    headers = spark.createDataFrame([("p1", "00394502000144", "COMANDO DA MARINHA", "RJ", "Rio de Janeiro", 6, "Pregão - Eletrônico")], "id_compra string, orgao_entidade_cnpj string, orgao_entidade_razao_social string, unidade_orgao_uf_sigla string, unidade_orgao_municipio_nome string, codigo_modalidade int, modalidade_nome string")
+    silver = cleaning.silver(bronze)
+    report = {r.metric: r.value for r in cleaning.silver_report(bronze, silver).collect()}
+    assert (report["rows_raw"], report["rows_without_duplicates"], report["rows_clean"], report["rows_conflicting"]) == (8, 7, 6, 2)
+    assert {r.descricao_resumida: r.category for r in silver.collect()} == {"Notebook Dell": "TI / Informatica", "Consultoria TI": "Consultoria / Servicos Profissionais", "Cadeira Escritorio": "Mobiliario / Material de Escritorio", "Mouse Optico": None, "Fruta": None}
+    buyers = star.dim_buyer(headers)
+    assert star.buyer_grain(buyers).first().is_valid
+    with pytest.raises(ValueError):
+        star.dim_buyer(headers.drop("modalidade_nome"))
+    keyed = silver.withColumn("item_key", text.item_key(F.col("descricao_resumida")))
+    items = star.dim_item(keyed, code="cod_item_catalogo", modes={"material_ou_servico_nome": "kind"}, unit="unidade_medida")
+    fact = star.fact_of_silver(silver, buyers, items).cache()
+    assert items.count() == 5 and fact.count() == 5 and fact.filter("date_key is null or item_key is null").count() == 0
+    assert fact.filter("unidade_orgao_uf_sigla is null").select("purchase_item_id", "buyer_key").collect() == [("D", "00394502000144")]
+    assert fact.filter("purchase_item_id = 'B'").first().unit_price == 55.0 and star.join_audit(silver.filter("valor_unitario_resultado is not null"), buyers, "id_compra").first().unmatched == 1
+    grain = star.grain_violations(fact, ["purchase_item_id", "supplier_key"], "resultado_conflitante").first()
+    assert (grain.violating_rows, grain.unflagged_groups) == (2, 0)
+
+
+def test_merging_a_batch_again_changes_nothing(spark, tmp_path):
+    rows = [("a", "2024-01-01", 1), ("a", "2024-01-01", 2), ("b", "2024-01-01", 3), ("b", "2024-01-02", 4)]
+    batch, target = spark.createDataFrame(rows, "k string, d string, v int"), str(tmp_path / "latest")
+    for _ in range(3):
+        ingest.merge_latest(spark, batch, 0, target, ["k"], "d")
+    assert sorted((r.k, r.d, r.v) for r in spark.read.parquet(target).collect()) == [("a", "2024-01-01", 1), ("a", "2024-01-01", 2), ("b", "2024-01-02", 4)]
+
+
+def test_savings_confidence_and_guards(spark):
+    rows = [(False, False, False, False, False), (True, False, False, False, False), (True, True, False, False, False), (False, None, None, None, None)]
+    df = spark.createDataFrame(rows, "high_ticket boolean, few_history boolean, unit_not_comparable boolean, total_mismatch boolean, conflicting boolean")
+    assert [r.confidence for r in pricing.savings_confidence(df).collect()] == ["Alta", "Revisao Alto Valor", "Baixa", "Alta"]
+    with pytest.raises(ValueError):
+        pricing.savings_priority(df, "id", 0.9, 0.7)
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "y", 2.0)], "id int, c string, abs_log_error double")
+    assert comparison.paired(a, a, "id", "c").agg(F.sum("delta")).first()[0] == 0
+    with pytest.raises(ValueError):
+        comparison.paired(a, a.filter("id = 1"), "id", "c")
+    same = pricing.clustered_bootstrap(comparison.paired(a, a.withColumn("abs_log_error", F.col("abs_log_error") + 1), "id", "c"), "c", "delta").first()
+    assert (same.delta, same.low, same.verdict) == (1.0, 1.0, "reference_better")
+
+
+def test_manifest(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    assert files.read_manifest(spark, path).count() == 0
+    files.record(spark, path, "item", "dt=1", "success", 10, 3)
+    assert [(r.path, r.status, r.length) for r in files.read_manifest(spark, path).collect()] == [("dt=1", "success", 10)]
+    with pytest.raises(ValueError):
+        files.record(spark, path, "item", "dt=1", "done")
 
 
 def test_checked_join(spark):
