@@ -3,9 +3,11 @@
 Texts with the same set of distinct shingles are one node. Tiles of nodes are compared twice. The first
 time a pair of tiles returns a spanning forest of its candidates, nearest first; these links are verified
 by the exact Jaccard similarity, and those that pass give parts. The second time it returns every
-candidate that joins two parts, and these are verified as well. So each candidate is either verified or
-joins nodes of one part already, and groups are those of all similar candidates, while a group of g
-near copies costs about g links for each pair of tiles.
+candidate within a closer radius (`close`) that joins two parts, and these are verified as well. So each of
+these is either verified or joins nodes of one part already, while a group of g near copies costs about g
+links for each pair of tiles. Beyond the closer radius lie many pairs that are not alike and, of pairs at the
+limit of similarity, one in 25; such a pair is missed only where it is not the nearest of its nodes either and
+no other pair joins their parts.
 
 Rows: null or wordless text has the empty set, which is like itself only. Null `doc_id`s keep their row;
 a group's id is its smallest non-null `doc_id`. Repeated rows and texts of the same set of shingles share a
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from . import scratch, simhash, text
 from .components import components, named, numbered
 
+#: Sets of fewer shingles are estimated too roughly for the closer radius.
+FEW = 16
 #: Candidates kept in memory by a task before they are cut to their forest.
 HELD = 1 << 20
 
@@ -68,7 +72,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(job, "node long, items array<long>")
 
 
-def _candidates(a: dict, b: dict, radius: int, wide: int, share: tuple[int, int], same: bool):
+def _candidates(a: dict, b: dict, radius: int, wide: int, close: int, share: tuple[int, int], same: bool):
     """Row numbers in two tiles and distances of pairs that may be alike, block by block; each pair once."""
     order_a, order_b = (np.argsort(np.bitwise_count(x["fps"][:, 0]), kind="stable") for x in (a, b))
     a, b = ({k: v[o] for k, v in x.items()} for x, o in ((a, order_a), (b, order_b)))
@@ -86,7 +90,7 @@ def _candidates(a: dict, b: dict, radius: int, wide: int, share: tuple[int, int]
                 ok &= x < y
             x, y = x[ok], y[ok]
             bits = np.bitwise_count(a["fps"][x] ^ b["fps"][y]).sum(axis=1, dtype=np.int64)
-            ok = bits <= wide
+            ok = bits <= np.where(np.minimum(a["n"][x], b["n"][y]) < FEW, wide, close)
             if ok.any():
                 yield order_a[x[ok]], order_b[y[ok]], bits[ok]
 
@@ -121,7 +125,7 @@ def nearest_forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(taken))
 
 
-def candidates(nodes: DataFrame, radius: int, wide: int, words: int, share: tuple[int, int], every: bool) -> DataFrame:
+def candidates(nodes: DataFrame, radius: int, wide: int, close: int, words: int, share: tuple[int, int], every: bool) -> DataFrame:
     """Candidate links `(a, b)` between nodes of different `label`: all of them, or a nearest spanning forest for each pair of tiles."""
     fps = [f"fp{k}" for k in range(words)]
     both = simhash.pairs_of_tiles(nodes.select("node", "n", "label", *fps), radius, fps)
@@ -140,7 +144,7 @@ def candidates(nodes: DataFrame, radius: int, wide: int, words: int, share: tupl
                 shift = 0 if same else len(a["node"])
                 names = a["node"] if same else np.concatenate([a["node"], b["node"]])
                 held, size = [], 0
-                for u, v, w in _candidates(a, b, radius, wide, share, same):
+                for u, v, w in _candidates(a, b, radius, wide, close, share, same):
                     held.append(np.stack([u, v + shift, w]))
                     size += len(u)
                     if size > HELD:
@@ -158,10 +162,10 @@ def candidates(nodes: DataFrame, radius: int, wide: int, words: int, share: tupl
     return both.mapInArrow(job, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def groups(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), words: int = 8, radius: int = 22, wide: int = 128) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), words: int = 8, radius: int = 22, wide: int = 128, close: int = 92) -> DataFrame:
     """`doc_id` and `component_id`, the smallest `doc_id` linked directly or through others by a similarity of `share` or more.
 
-    Candidates differ in at most `radius` of the first 64 bits and `wide` of all.
+    Candidates differ in at most `radius` of the first 64 bits and `wide` of all, in the second pass `close`.
     """
     fps = [f"fp{k}" for k in range(words)]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -178,11 +182,11 @@ def groups(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), w
         shared, both = F.size(F.array_intersect("items_a", "items_b")), F.size("items_a") + F.size("items_b")
         return scratch.stored(pairs.join(left, "a").join(right, "b").filter(share[1] * shared >= share[0] * (both - shared)).select("a", "b"))
 
-    forest = scratch.stored(candidates(nodes.withColumn("label", F.col("node")), radius, wide, words, share, False).distinct())
+    forest = scratch.stored(candidates(nodes.withColumn("label", F.col("node")), radius, wide, wide, words, share, False).distinct())
     near = verified(forest)
     parts = scratch.stored(components(near))
     touched = forest.select(F.col("a").alias("node")).unionByName(forest.select(F.col("b").alias("node"))).distinct()
     open_ = nodes.join(touched, "node", "left_semi").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    rest = scratch.stored(candidates(scratch.stored(open_.drop("component")), radius, wide, words, share, True).join(forest, ["a", "b"], "left_anti"))
+    rest = scratch.stored(candidates(scratch.stored(open_.drop("component")), radius, wide, close, words, share, True).join(forest, ["a", "b"], "left_anti"))
     found = named(nodes.select("node", "mark", "first"), near.unionByName(verified(rest)), "first", plain)
     return rows.join(found.select("mark", "component_id"), "mark").select("doc_id", "component_id")
