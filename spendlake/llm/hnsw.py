@@ -3,8 +3,8 @@
 Equal vectors are one node first. Nodes are dealt into shards by hash, and a graph is built for each.
 Blocks of nodes then query every shard: greedy descent through the upper layers, a beam search in the
 lowest. A query whose beam holds nothing but links gets a beam twice as wide. A part of each block is
-audited against brute force on the shard; below `RECALL` of its links the whole block gets wider beams,
-up to the whole shard. Candidates are verified by cosine in double precision; components are united from
+audited against brute force on the shard; below `RECALL` of their links the beams of the whole block are
+widened to the whole shard. Candidates are verified by cosine in double precision; components are united from
 spanning forests.
 
 Within a task all queries move in step in numpy. A shard's graph goes to `PARTS` tasks, and every block to one
@@ -33,15 +33,12 @@ from .components import forest, named, numbered
 SHARDS, SHARD_BYTES, PARTS, BLOCK = 8, 1 << 25, 4, 2048
 LINKS, BUILD_BEAM, BEAM, WIDTH = 12, 32, 32, 4
 AUDIT, RECALL = 64, 0.99
-#: A search follows this many of the best nodes of its beam, and others within this distance of the threshold; what that misses, the audit shows.
-FRONT, NEAR = 10, 0.15
+#: A beam of more than one node in so many of the shard is widened to the whole shard at once, which then costs less than following the graph.
+WHOLE = 16
 
 
-def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """Best `beam` nodes and similarities for each query, best first; -1 where fewer were found.
-
-    Beyond the `FRONT` best of the beam, only nodes of similarity `floor` or more are followed.
-    """
+def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best `beam` nodes and similarities for each query, best first; -1 where fewer were found."""
     q, n = len(queries), len(unit)
     rows = np.arange(q)
     seen = np.zeros((q, n), dtype=bool)
@@ -53,7 +50,6 @@ def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry:
     active, take = rows, min(WIDTH, beam)
     while len(active):
         waiting = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
-        waiting[:, FRONT:][waiting[:, FRONT:] < floor] = -np.inf
         pick = np.argpartition(-waiting, take - 1, axis=1)[:, :take] if take < beam else np.tile(np.arange(beam), (len(active), 1))
         value = np.take_along_axis(waiting, pick, axis=1)
         live = np.isfinite(value)
@@ -145,12 +141,8 @@ class Graph:
             at = beam_search(self.unit, self.layers[k], queries, at, 2)[0][:, 0]
         return at
 
-    def search(self, queries: np.ndarray, beam: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        if beam >= len(self.unit):
-            sims = queries @ self.unit.T
-            ids = np.argsort(-sims, axis=1)
-            return ids, np.take_along_axis(sims, ids, axis=1)
-        return beam_search(self.unit, self.layers[0], queries, self._descend(queries, 0), beam, floor)
+    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        return beam_search(self.unit, self.layers[0], queries, self._descend(queries, 0), beam)
 
 
 def linked(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
@@ -164,16 +156,20 @@ def linked(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarr
         wide = []
         for a in range(0, len(todo), 256):
             part = todo[a : a + 256]
-            ids, sims = graph.search(queries[part], beam, close - NEAR)
+            if beam * WHOLE >= len(graph.unit):
+                for r, s in zip(part, queries[part] @ graph.unit.T, strict=True):
+                    out[r] = np.flatnonzero(s >= close)
+                continue
+            ids, sims = graph.search(queries[part], beam)
             for k, r in enumerate(part):
                 out[r] = ids[k][sims[k] >= close]
-            wide.append(part[(sims[:, -1] >= close) & (beam < len(graph.unit))])
-        todo, beam = np.concatenate(wide), beam * 2
-        if not len(todo):
+            wide.append(part[sims[:, -1] >= close])
+        todo, beam = np.concatenate(wide) if wide else todo[:0], beam * 2
+        if not len(todo) and beam < 2 * len(graph.unit):
             # each audited query with links counts alike, however many it has
             shares = [len(np.intersect1d(out[r], t, assume_unique=True)) / len(t) for r, t in zip(audit, truth, strict=True) if len(t)]
-            if shares and np.mean(shares) < RECALL and beam < 2 * len(graph.unit):
-                todo = np.arange(len(queries))
+            if shares and np.mean(shares) < RECALL:
+                todo, beam = np.arange(len(queries)), len(graph.unit)
     return out
 
 
