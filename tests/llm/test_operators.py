@@ -6,13 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spendlake.llm import classifier, components, hnsw, licenses, mixing, near_copies, packing, queries, rules, simhash, substring, token_files, tokens
+from spendlake.llm import bpe, classifier, components, hnsw, licenses, mixing, near_copies, packing, queries, rules, simhash, substring, token_files, tokens
 from tests import compare
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +80,8 @@ def test_packing_plan_uses_every_piece_once():
         np.add.at(used, items, n)
     assert {k: v for k, v in enumerate(used.tolist()) if v} == histogram
     assert len(runs) < 20_000
+    thirds = {k: 1000 for k in range(330, 360)}
+    assert sum(n for n, _ in packing.plan(thirds, 1024)) <= 11_200  # best fit alone takes a tenth more
 
 
 def test_token_files(edge):
@@ -113,6 +116,25 @@ def test_substring(edge, docs):
     assert substring.dedup(edge.limit(0)).count() == 0
 
 
+def test_substring_words_of_one_polynomial_hash(spark):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    tail = " " + " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, word + tail), (2, word.translate(str.maketrans("ab", "ba")) + tail), (3, word + tail)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_runs_without_a_piece_start():
+    source = open(queries.BYTE_BPE, "rb").read()
+    encoder = bpe.Encoder(source, *bpe.probe(source))
+    rng = np.random.default_rng(7)
+    texts = ["a" * n for n in (255, 256, 257, 512, 5000)] + ["ab" * 3000, "é" * 3000, "".join(rng.choice(list("abcdefgh"), 4000)), "x" * 700 + " " + "y" * 900]
+    counts, got = encoder.encode(pa.array(texts))
+    want = encoder.by_library(texts)
+    assert counts.tolist() == [len(w) for w in want] and np.array_equal(got, np.concatenate(want))
+
+
 def test_simhash(spark, edge):
     def fingerprint(t):
         words = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
