@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import running
+from ..functions.stats import ratio
+from ..functions.tables import running, stored
+from ..sources import files
+from .pricing import metrics, prediction_errors
 
 CATEGORIES = ("category", "uf")
+#: Tuning candidates, set before results are seen: depth of a tree and least rows of a leaf.
+CANDIDATES = ((5, 10), (5, 20), (5, 50), (6, 10), (6, 20), (6, 50), (7, 20), (7, 50))
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -45,6 +53,60 @@ def trees(train: DataFrame, rounds: int = 20, depth: int = 5, step: float = 0.1)
     return Pipeline(stages=stages).fit(train)
 
 
+def tuned(train: DataFrame, validation: DataFrame, candidates: Sequence[tuple[int, int]] = CANDIDATES, first: tuple[int, int] = (5, 1), rounds: int = 20, step: float = 0.1) -> DataFrame:
+    """`depth, least, rounds, mae_log, gain_pct, rank` of boosted trees by candidate, best first.
+
+    Each stops when the validation error no longer falls; the gain is over the configuration `first`, which is a row too.
+    Equal errors rank by depth and least rows. The split is by time, so no folds are drawn.
+    """
+    stages = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in CATEGORIES]
+    stages += [VectorAssembler(inputCols=["log_quantity", "prior", *(f"{c}_i" for c in CATEGORIES)], outputCol="features")]
+    shared = Pipeline(stages=stages).fit(train)
+    rows = lambda df, held: shared.transform(df).select("features", "log_price", F.lit(held).alias("held"))
+    both = stored(rows(train, False).unionByName(rows(validation, True)))  # read by each fit
+    found = []
+    for depth, least in dict.fromkeys([first, *candidates]):
+        model = GBTRegressor(featuresCol="features", labelCol="log_price", maxIter=rounds, maxDepth=depth, minInstancesPerNode=least, stepSize=step, maxBins=64, seed=42, validationIndicatorCol="held").fit(both)
+        mae = F.avg(F.abs(F.col("prediction") - F.col("log_price"))).alias("mae_log")
+        found.append(model.transform(both.filter("held")).agg(F.lit(depth).alias("depth"), F.lit(least).alias("least"), F.lit(model.getNumTrees).alias("rounds"), mae))
+    out = reduce(DataFrame.unionByName, found)
+    of_first = F.max(F.when((F.col("depth") == first[0]) & (F.col("least") == first[1]), F.col("mae_log"))).over(Window.partitionBy())  # a row for each candidate
+    out = out.withColumn("gain_pct", F.round(100 * ratio(of_first - F.col("mae_log"), of_first), 4))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy("mae_log", "depth", "least"))).orderBy("rank")
+
+
+def out_of_time(fitted_on: DataFrame, test: DataFrame, id_column: str, fit: Callable[[DataFrame], PipelineModel] = trees) -> DataFrame:
+    """The final protocol: fit on all earlier rows, score the test rows once: `sample` (all, known, unseen) and its metrics.
+
+    Rows are engineered ones without a prior. Raises ValueError if an id repeats or is on both sides. A sample without rows has null metrics.
+    """
+    for name, df in (("fitted", fitted_on), ("test", test)):
+        if df.groupBy(id_column).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+            raise ValueError(f"{id_column} repeats in the {name} rows")
+    if test.join(fitted_on.select(id_column), id_column, "left_semi").limit(1).count():
+        raise ValueError(f"{id_column} is on both sides")
+    errors = fitted_errors(fitted_on, test, fit)
+    samples = {"all": errors, "known": errors.filter("is_known"), "unseen": errors.filter("not is_known")}
+    return reduce(DataFrame.unionByName, (metrics(df).withColumn("sample", F.lit(name)) for name, df in samples.items()))
+
+
+def fitted_errors(train: DataFrame, later: DataFrame, fit: Callable[[DataFrame], PipelineModel]) -> DataFrame:
+    """Errors on `later` of a model fitted on `train`; priors come from `train` alone."""
+    prior = target_mean(train)
+    default = train.agg(F.avg("log_price")).first()[0] or 0.0
+    model = fit(with_prior(train, prior, default))
+    return prediction_errors(score(model, with_prior(later, prior, default)), train)
+
+
+def validation_run(name: str, train: DataFrame, validation: DataFrame, fit: Callable[[DataFrame], PipelineModel], root: str, id_column: str) -> DataFrame:
+    """Write a model's errors and metrics under `root/name`, both anew, and return its metrics as read back."""
+    spark = train.sparkSession
+    errors = fitted_errors(train, validation, fit).select(id_column, "item_key", "category", "unit_price", "expected", "log_error", "abs_log_error", "abs_error", "ape", "is_known")
+    files.save_artifact(errors, f"{root}/{name}/errors.parquet")
+    files.save_artifact(metrics(spark.read.parquet(f"{root}/{name}/errors.parquet")).withColumn("model", F.lit(name)), f"{root}/{name}/metrics.parquet")
+    return spark.read.parquet(f"{root}/{name}/metrics.parquet")
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Rows with `expected`, the predicted price."""
     return model.transform(df).withColumn("expected", F.exp("prediction"))

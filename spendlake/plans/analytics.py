@@ -513,3 +513,22 @@ def _(spark, d):
 def _(spark, d):
     train, validation, known = _model_rows(spark, d)
     return pricing.metrics(pricing.prediction_errors(models.score(models.trees(train), validation), known))
+
+
+def _observations(spark, d):
+    """Engineered rows, one for each id."""
+    rows = _split(spark, d).withColumn("id", F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")))
+    once = rows.groupBy("id").agg(F.min(F.struct("unit_price", "quantity", "item_key", "category", "uf", "split")).alias("o"))
+    return models.engineer(once.select("id", "o.*"))
+
+
+@query("price_model_tuning")
+def _(spark, d):
+    train, validation, _known = _model_rows(spark, d)
+    return models.tuned(train, validation, rounds=5)
+
+
+@query("price_model_out_of_time")
+def _(spark, d):
+    rows = stored(_observations(spark, d))  # read by the guards, the fit and the scores
+    return models.out_of_time(rows.filter("split <> 'test'"), rows.filter("split = 'test'"), "id", models.ridge)

@@ -108,6 +108,41 @@ def test_permuted_keeps_values(spark):
     assert sorted(out.x) == sorted(2 * k for k in range(3000)) and (out.x != 2 * out.id).mean() > 0.9
 
 
+def _priced(spark, first, last):
+    """Prices that follow the item and fall with the quantity, with a little noise."""
+    k = F.col("id")
+    rows = spark.range(first, last).select("id", F.concat(F.lit("i"), k % 7).alias("item_key"), F.concat(F.lit("c"), k % 7 % 3).alias("category"), F.lit("SP").alias("uf"), (1.0 + k % 11).alias("quantity"))
+    return models.engineer(rows.withColumn("unit_price", F.exp(1 + F.substring("item_key", 2, 1).cast("double") - 0.1 * F.log1p("quantity") + 0.01 * (F.abs(F.xxhash64("id")) % 100) / 100)))
+
+
+def test_tuning_ranks_candidates(spark):
+    prior = models.target_mean(_priced(spark, 0, 300))
+    train, later = (models.with_prior(_priced(spark, *r), prior, 0.0) for r in ((0, 300), (300, 400)))
+    out = models.tuned(train, later, candidates=((1, 10), (3, 10)), first=(1, 150), rounds=3).toPandas()
+    assert sorted(zip(out.depth, out.least)) == [(1, 10), (1, 150), (3, 10)] and list(out["rank"]) == [1, 2, 3]
+    assert (out.depth[0], out.least[0]) == (3, 10) and list(out.mae_log) == sorted(out.mae_log) and out.gain_pct[0] > 0
+    assert out[out.least == 150].gain_pct.iloc[0] == 0 and out.rounds.between(1, 3).all()
+
+
+def test_out_of_time_protocol(spark):
+    train, test = _priced(spark, 0, 300), _priced(spark, 300, 400).withColumn("item_key", F.when(F.col("id") < 310, F.lit("i9")).otherwise(F.col("item_key")))
+    out = {r["sample"]: r for r in models.out_of_time(train, test, "id", models.ridge).collect()}
+    assert (out["all"]["n"], out["known"]["n"], out["unseen"]["n"]) == (100, 90, 10)
+    assert out["known"]["mae_log"] < 0.3 < out["unseen"]["mae_log"]
+    none = {r["sample"]: r for r in models.out_of_time(train, test.filter("id >= 310"), "id", models.ridge).collect()}
+    assert none["unseen"]["n"] == 0 and none["unseen"]["mae_log"] is None
+    for a, b in ((train, _priced(spark, 299, 310)), (train.unionByName(train.limit(1)), test), (train, test.unionByName(test.limit(1)))):
+        with pytest.raises(ValueError):
+            models.out_of_time(a, b, "id", models.ridge)
+
+
+def test_validation_run_is_repeatable(spark, tmp_path):
+    train, later = _priced(spark, 0, 300), _priced(spark, 300, 400)
+    runs = [models.validation_run("ridge", train, later, models.ridge, str(tmp_path), "id").collect() for _ in range(2)]
+    assert runs[0] == runs[1] and runs[0][0]["n"] == 100 and runs[0][0]["model"] == "ridge"
+    assert spark.read.parquet(f"{tmp_path}/ridge/errors.parquet").count() == 100
+
+
 def test_bronze_to_gold(spark):
     names = (
         "id_compra_item cod_fornecedor nome_fornecedor cod_item_catalogo descricao_resumida material_ou_servico_nome unidade_medida quantidade quantidade_resultado"
