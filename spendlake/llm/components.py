@@ -64,27 +64,33 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-#: Nodes from here on stand for texts or vectors of null id only; ids of rows lie below.
+#: Spare numbers begin here, for nodes of null id beside ids that all lie below.
 UNNAMED = 0x7000000000000000
 
 
-def numbered(nodes: DataFrame, first: str, kind: str) -> tuple[DataFrame, bool]:
-    """`nodes` with `node`, and whether that is their smallest id, so that components bear the smallest id without being gathered.
+def numbered(nodes: DataFrame, first: str, kind: str) -> tuple[DataFrame, str]:
+    """`nodes`, stored, with `node`, a number of each, and which of the numbers are ids: "all", "below" `UNNAMED` or "none".
 
-    It is where ids are whole numbers and no two nodes have one in common; else it is `mark`.
+    A node bears its smallest id, so that components bear the smallest id without being gathered, where ids are
+    whole numbers and no two nodes have one in common. Nodes of null id get spare numbers beyond the ids; where
+    ids reach into these, or are of another type or not unique, all nodes get numbers of the row.
     """
-    plain = kind in ("tinyint", "smallint", "int", "bigint")
-    if plain:
-        n, distinct = nodes.agg(F.count(first), F.count_distinct(first)).first()
-        plain = n == distinct
-    spare = F.lit(UNNAMED) + F.pmod(F.col("mark"), F.lit(1 << 56))
-    return nodes.withColumn("node", F.coalesce(F.col(first).cast("long"), spare) if plain else F.col("mark")), plain
-
-
-def named(nodes: DataFrame, links: DataFrame, first: str, plain: bool) -> DataFrame:
+    nodes = scratch.stored(nodes.withColumn("_spare", F.monotonically_increasing_id()))
+    ids = "none"
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        n, own, distinct, high = nodes.agg(F.count("*"), F.count(first), F.count_distinct(first), F.max(first)).first()
+        if own == distinct:
+            ids = "all" if own == n else "below" if own == 0 or high < UNNAMED else "none"
+    spare = {"all": F.lit(None), "below": F.lit(UNNAMED) + F.col("_spare"), "none": F.col("_spare")}[ids]
+    own_id = F.lit(None) if ids == "none" else F.col(first)
+    return nodes.withColumn("node", F.coalesce(own_id.cast("long"), spare.cast("long"))).drop("_spare"), ids
+
+
+def named(nodes: DataFrame, links: DataFrame, first: str, ids: str) -> DataFrame:
     """`nodes` with `component_id`, the smallest id in the component of each; links are between nodes of `numbered`."""
     found = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    if plain:
-        return found.withColumn("component_id", F.when(F.col("component") < UNNAMED, F.col("component")).cast(nodes.schema[first].dataType)).drop("component")
+    if ids != "none":
+        known = F.lit(True) if ids == "all" else F.col("component") < UNNAMED
+        return found.withColumn("component_id", F.when(known, F.col("component")).cast(nodes.schema[first].dataType)).drop("component")
     best = found.groupBy("component").agg(F.min(first).alias("component_id"))
     return found.join(best, "component").drop("component")

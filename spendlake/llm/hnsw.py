@@ -181,7 +181,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = vectors.select("vec_id", F.when(usable, value).alias("v"))
     kind = vectors.schema["vec_id"].dataType.simpleString()
     nodes = rows.filter("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    nodes, plain = numbered(scratch.stored(nodes.withColumns({"mark": F.xxhash64("v"), "dim": F.size("v")})), "first", kind)
+    nodes, known = numbered(nodes.withColumn("dim", F.size("v")), "first", kind)
     n, dim = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
     shards, block = max(SHARDS, -(-n * dim * 8 // SHARD_BYTES)), max(1, min(BLOCK, SHARD_BYTES // (8 * dim)))
     n_blocks = max(1, -(-n // block))
@@ -249,7 +249,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     found = scratch.stored(ready.select("dim", "shard", "items", "layers", "entry").mapInArrow(query, "node long, other long, n long"))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     links = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    united = named(nodes, links, "first", plain).join(counts, "node", "left")
+    united = named(nodes, links, "first", known).join(counts, "node", "left")
     united = united.select("v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("_has"))
     out = rows.join(united, "v", "left")
     component = F.when(F.col("_has"), F.col("component_id")).otherwise(F.col("vec_id"))

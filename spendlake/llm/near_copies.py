@@ -171,7 +171,7 @@ def groups(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), w
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = scratch.stored(sketches(docs, shingle, words))
     nodes = rows.groupBy("mark", "n", *fps).agg(F.min("doc_id").alias("first"), F.min("same").alias("same"))
-    nodes, plain = numbered(scratch.stored(nodes), "first", kind)
+    nodes, ids = numbered(nodes, "first", kind)
 
     def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -188,5 +188,5 @@ def groups(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (4, 5), w
     touched = forest.select(F.col("a").alias("node")).unionByName(forest.select(F.col("b").alias("node"))).distinct()
     open_ = nodes.join(touched, "node", "left_semi").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node"))
     rest = scratch.stored(candidates(scratch.stored(open_.drop("component")), radius, wide, close, words, share, True).join(forest, ["a", "b"], "left_anti"))
-    found = named(nodes.select("node", "mark", "first"), near.unionByName(verified(rest)), "first", plain)
-    return rows.join(found.select("mark", "component_id"), "mark").select("doc_id", "component_id")
+    found = named(nodes.select("node", "mark", "n", *fps, "first"), near.unionByName(verified(rest)), "first", ids)
+    return rows.join(found.select("mark", "n", *fps, "component_id"), ["mark", "n", *fps]).select("doc_id", "component_id")

@@ -157,7 +157,6 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """`doc_id`, `fingerprint` (hex) and `component_id`, the smallest `doc_id` linked directly or through others."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = scratch.stored(fingerprints(docs, shingle))
-    nodes = scratch.stored(rows.groupBy("fp0").agg(F.min("doc_id").alias("first")))
-    nodes, plain = numbered(nodes.withColumn("mark", F.col("fp0")), "first", kind)
-    found = named(nodes, links(nodes.select("node", "fp0"), radius), "first", plain).select("fp0", "component_id")
+    nodes, ids = numbered(rows.groupBy("fp0").agg(F.min("doc_id").alias("first")), "first", kind)
+    found = named(nodes, links(nodes.select("node", "fp0"), radius), "first", ids).select("fp0", "component_id")
     return rows.join(found, "fp0").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
