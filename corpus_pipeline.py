@@ -8,7 +8,7 @@ rows of null `doc_id` pass the near-dedup stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlake.llm import mixing, near_copies, packing, queries, rules, scratch, substring
@@ -17,6 +17,11 @@ from spendlake.llm import mixing, near_copies, packing, queries, rules, scratch,
 NEAR = {"shingle": 5, "share": (4, 5), "words": 8, "radius": 22, "wide": 128}
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    """The columns of `docs` in order, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return rules.keep(docs)
@@ -26,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies."""
     groups = near_copies.groups(docs, **NEAR)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(_own(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +41,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_doc_id")
     joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(docs.columns)
+    return joined.select(*_own(docs), F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(_own(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
