@@ -114,3 +114,16 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
     return mix(h)
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[str]:
+    """Text of each row: its spans joined by one space; `first` is the first span of each row."""
+    size = ends - starts + 1
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    body = np.full(offsets[-1], 0x20, np.uint8)
+    letter = np.ones(offsets[-1], dtype=bool)
+    letter[offsets[1:] - 1] = False
+    source = np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])
+    body[letter] = data[source[letter]]
+    raw, at = body.tobytes(), offsets[first].tolist()
+    return [raw[a : max(a, b - 1)].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
