@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, hnsw, licenses, mixing, packing, periodic, rules, simhash, substring, token_files, tokens
+from . import classifier, hnsw, licenses, mixing, packing, periodic, rules, search, simhash, substring, token_files, tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,10 @@ def op10_quality_classifier(spark, sf_dir):
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic.digest(periodic.planted(_table(spark, sf_dir, "documents")))
 
@@ -74,8 +78,9 @@ QUERIES = {
         op8_token_counts,
         op9_quality_rules,
         op10_quality_classifier,
+        op11_ranked_search,
         op13_periodic_runs,
     )
 }
 
-SQL = {"op9_quality_rules": rules.SQL}
+SQL = {"op9_quality_rules": rules.SQL, "op11_ranked_search": search.SQL}
