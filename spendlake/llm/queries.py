@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, hnsw, licenses, mixing, packing, periodic, rules, search, simhash, substring, token_files, tokens
+from . import classifier, hnsw, licenses, mixing, packing, periodic, pii, rules, search, simhash, substring, token_files, tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,10 @@ def op11_ranked_search(spark, sf_dir):
     return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark, sf_dir):
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic.digest(periodic.planted(_table(spark, sf_dir, "documents")))
 
@@ -79,6 +83,7 @@ QUERIES = {
         op9_quality_rules,
         op10_quality_classifier,
         op11_ranked_search,
+        op12_personal_data,
         op13_periodic_runs,
     )
 }
