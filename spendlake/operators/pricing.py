@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,30 +76,6 @@ def metrics(errors: DataFrame, *by: str, price: str = "unit_price") -> DataFrame
     )
 
 
-def poisson_limits(draws: int = 8) -> list[float]:
-    """Shares of a Poisson number of mean one that lie below 1, 2, and so on."""
-    return [round(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)), 12) for n in range(draws)]
-
-
-def clustered_bootstrap(pairs: DataFrame, cluster: str, delta: str, times: int = 200, level: float = 0.95, seed: int = 42, draws: int = 8) -> DataFrame:
-    """Mean of paired differences with a percentile interval from resampled clusters.
-
-    Rows are summed by cluster first. In each resample a cluster stands as often as a Poisson number of mean
-    one says, the limit of drawing as many clusters as there are with replacement; the number follows from an
-    md5 of (seed, resample, cluster). So clusters need no numbers, and each task sums its own: `times` rows.
-    """
-    per = pairs.groupBy(F.col(cluster).cast("string").alias("_c")).agg(F.sum(delta).alias("s"), F.count("*").alias("c"))
-    digest = F.substring(F.md5(F.concat_ws("-", F.lit(seed), "b", "_c").cast("binary")), 1, 12)
-    u = F.conv(digest, 16, 10).cast("long") / float(1 << 48)
-    drawn = per.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("_u", u)
-    drawn = drawn.withColumn("n", sum((F.when(F.col("_u") >= x, 1).otherwise(0) for x in poisson_limits(draws)), F.lit(0)))
-    means = drawn.groupBy("b").agg(ratio(F.sum(F.col("n") * F.col("s")), F.sum(F.col("n") * F.col("c"))).alias("m"))
-    ci = means.agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
-    out = pairs.agg(F.avg(delta).alias("delta")).crossJoin(ci)  # one row each
-    verdict = F.when(F.col("low") > 0, "reference_better").when(F.col("high") < 0, "challenger_better").otherwise("inconclusive")
-    return out.select(F.round("delta", 6).alias("delta"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), verdict.alias("verdict"))
-
-
 def anomaly_threshold(errors: DataFrame, level: float = 0.95, known_only: bool = True) -> DataFrame:
     """One row, `threshold`: a quantile of absolute log errors."""
     if not 0 < level < 1:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.stats import modified_zscore
 from ..functions.tables import quantile, stored
-from ..operators import cleaning, models, pricing, quality, spend, star
+from ..operators import cleaning, models, pricing, quality, resampling, spend, star
 from .adapter import ITEMS, items, table
 
 QUERIES, SQL = {}, {}
@@ -16,12 +16,12 @@ QUERIES, SQL = {}, {}
 CATEGORIES = {"fixacao": ("bolt", "screw", "nail"), "pecas": ("gear", "ring", "valve"), "aparelhos": ("widget", "gadget")}
 
 
-def query(name: str, sql: str | None = None, over_items: bool = True):
+def query(name: str, sql: str | None = None, over_items: bool = True, recursive: bool = False):
     def add(f):
         QUERIES[name] = f
         if sql:
             body = sql.strip()
-            SQL[name] = (f"WITH {ITEMS}" + (f", {body[5:]}" if body.upper().startswith("WITH ") else f"\n{body}")) if over_items else body
+            SQL[name] = (f"WITH {'RECURSIVE ' if recursive else ''}{ITEMS}" + (f", {body[5:]}" if body.upper().startswith("WITH ") else f"\n{body}")) if over_items else body
         return f
 
     return add
@@ -360,21 +360,17 @@ def _(spark, d):
     return pricing.metrics(_errors(spark, d).withColumn("month", F.date_format("result_date", "yyyy-MM")), "month")
 
 
-_LIMITS = ", ".join(map(str, pricing.poisson_limits()))
-_RESAMPLED = """
-k AS (SELECT item_key, sum(delta) AS s, count(*) AS c FROM p GROUP BY item_key),
-u AS (SELECT b, s, c, ('0x' || substr(md5('42-' || b || '-' || item_key), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM k, range(200) x(b)),
-m AS (SELECT b, sum(n * s) / nullif(sum(n * c), 0) AS m FROM (SELECT *, len(list_filter([""" + _LIMITS + """], lambda y: u >= y)) AS n FROM u) GROUP BY 1),
+_RESAMPLED = resampling.resampled_sql("p") + """,
 i AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m)
 SELECT round((SELECT avg(delta) FROM p), 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'reference_better' WHEN high < 0 THEN 'challenger_better' ELSE 'inconclusive' END AS verdict FROM i"""
 
 
 @query("clustered_bootstrap", _BASE + """,
-p AS (SELECT item_key, abs_log_error - abs(ln(unit_price) - ln((SELECT median(unit_price) FROM c WHERE year = 1999))) AS delta FROM e),""" + _RESAMPLED)
+p AS (SELECT item_key, abs_log_error - abs(ln(unit_price) - ln((SELECT median(unit_price) FROM c WHERE year = 1999))) AS delta FROM e),""" + _RESAMPLED, recursive=True)
 def _(spark, d):
     middle = quantile(_split(spark, d).filter("split = 'train'"), "unit_price", 0.5, "mid")
     pairs = _errors(spark, d).crossJoin(F.broadcast(middle)).withColumn("delta", F.col("abs_log_error") - F.abs(F.ln("unit_price") - F.ln("mid")))  # one row
-    return pricing.clustered_bootstrap(pairs, "item_key", "delta")
+    return resampling.clustered_bootstrap(pairs, "item_key", "delta")
 
 
 @query("anomaly_calibration", _BASE + """

@@ -88,13 +88,13 @@ def _(spark, d):
     return out.withColumn("gain_pct", F.col("gain_pct") + 0.0)
 
 
-@query("model_selection", _MODELS + """, p AS (SELECT item_key, abs(ln(unit_price) - ln(fallback)) - abs(ln(unit_price) - ln(expected)) AS delta FROM o),""" + _RESAMPLED.replace("SELECT round((SELECT avg(delta)", "SELECT 'category' AS challenger, round((SELECT avg(delta)"))
+@query("model_selection", _MODELS + """, p AS (SELECT item_key, abs(ln(unit_price) - ln(fallback)) - abs(ln(unit_price) - ln(expected)) AS delta FROM o),""" + _RESAMPLED.replace("SELECT round((SELECT avg(delta)", "SELECT 'category' AS challenger, round((SELECT avg(delta)"), recursive=True)
 def _(spark, d):
     models = _models(spark, d)
     return comparison.compare_models(models["item_or_category"], {"category": models["category"]}, "id", "item_key").select("challenger", "delta", "low", "high", "verdict")
 
 
-@query("baseline_selection", _MODELS + """, p AS (SELECT item_key, abs(ln(unit_price) - ln(fallback)) - abs(ln(unit_price) - ln(item_expected)) AS delta FROM o WHERE item_expected IS NOT NULL),""" + _RESAMPLED.replace("SELECT round((SELECT avg(delta)", "SELECT 'category' AS challenger, round((SELECT avg(delta)"))
+@query("baseline_selection", _MODELS + """, p AS (SELECT item_key, abs(ln(unit_price) - ln(fallback)) - abs(ln(unit_price) - ln(item_expected)) AS delta FROM o WHERE item_expected IS NOT NULL),""" + _RESAMPLED.replace("SELECT round((SELECT avg(delta)", "SELECT 'category' AS challenger, round((SELECT avg(delta)"), recursive=True)
 def _(spark, d):
     models = _models(spark, d)
     return comparison.compare_models(models["item"], {"category": models["category"]}, "id", "item_key", whole=False).select("challenger", "delta", "low", "high", "verdict")

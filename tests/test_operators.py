@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlake.functions import stats, tables, text
-from spendlake.operators import cleaning, comparison, joins, models, pricing, quality, spend, star
+from spendlake.operators import cleaning, comparison, joins, models, pricing, quality, resampling, spend, star
 from spendlake.sources import files
 from spendlake.streaming import ingest
+from tests import compare
 
 
 def one(df):
@@ -67,8 +68,34 @@ def test_baseline_and_bootstrap(spark):
     got = {r.item_key: (r.expected, r.reliable) for r in pricing.median_baseline(base, 2).collect()}
     assert got == {"n": (2.5, True), "m": (1.0, False)}
     pairs = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 1.0)], "item_key string, delta double")
-    assert one(pricing.clustered_bootstrap(pairs, "item_key", "delta", 50)) == {"delta": 1.0, "low": 1.0, "high": 1.0, "verdict": "reference_better"}
-    assert one(pricing.clustered_bootstrap(pairs.withColumn("delta", F.lit(0.0)), "item_key", "delta", 50))["verdict"] == "inconclusive"
+    assert one(resampling.clustered_bootstrap(pairs, "item_key", "delta", 50)) == {"delta": 1.0, "low": 1.0, "high": 1.0, "verdict": "reference_better"}
+    assert one(resampling.clustered_bootstrap(pairs.withColumn("delta", F.lit(0.0)), "item_key", "delta", 50))["verdict"] == "inconclusive"
+
+
+def test_resamples_draw_as_many_clusters_as_there_are(spark):
+    rows = [(f"c{k % 300}" if k % 7 else None, float(k % 11) - 5) for k in range(3000)]
+    pairs = spark.createDataFrame(rows, "item_key string, delta double")
+    got = resampling.resampled(pairs, "item_key", "delta", 200, leaf=16).toPandas().sort_values("b")
+    n = len({c for c, _ in rows})
+    assert len(got) == 200 and (got.n == n).all()
+    con = compare.duckdb.connect()
+    con.register("p", pairs.toPandas())
+    want = con.execute("WITH RECURSIVE " + resampling.resampled_sql("p", 200, 42, 16) + " SELECT * FROM m ORDER BY b").df()
+    assert (want.n == n).all() and abs(want.m.values - (got.s / got.c).values).max() < 1e-12
+    # moments of a multinomial mean: each cluster is drawn once on average, with variance 1 - 1 / n
+    sizes = resampling.np.bincount([int(c[1:]) if c else 300 for c, _ in rows])
+    assert abs(got.c.mean() - 3000) < 4 * resampling.np.sqrt(n * sizes.var() / 200)
+    assert resampling.resampled(pairs.limit(0), "item_key", "delta", 5).count() == 0
+    none = one(resampling.clustered_bootstrap(pairs.limit(0), "item_key", "delta", 5))
+    assert none["delta"] is None and none["low"] is None and none["verdict"] == "inconclusive"
+
+
+def test_draws_of_leaves_are_whole_and_even():
+    sizes = resampling.np.array([3, 0, 5, 8, 0, 0, 1, 7])
+    got = resampling.np.stack([resampling.dealt(sizes, 42, b) for b in range(2000)])
+    assert (got.sum(axis=1) == 24).all() and (got[:, sizes == 0] == 0).all()
+    spread = resampling.np.sqrt(24 * sizes / 24 * (1 - sizes / 24) / 2000)
+    assert (abs(got.mean(axis=0) - sizes) <= 4 * spread + 1e-9).all()
 
 
 def test_savings_priority(spark):
@@ -196,7 +223,7 @@ def test_savings_confidence_and_guards(spark):
     assert comparison.paired(a, a, "id", "c").agg(F.sum("delta")).first()[0] == 0
     with pytest.raises(ValueError):
         comparison.paired(a, a.filter("id = 1"), "id", "c")
-    same = pricing.clustered_bootstrap(comparison.paired(a, a.withColumn("abs_log_error", F.col("abs_log_error") + 1), "id", "c"), "c", "delta").first()
+    same = resampling.clustered_bootstrap(comparison.paired(a, a.withColumn("abs_log_error", F.col("abs_log_error") + 1), "id", "c"), "c", "delta").first()
     assert (same.delta, same.low, same.verdict) == (1.0, 1.0, "reference_better")
 
 
