@@ -24,12 +24,15 @@ def modified_zscore(df: DataFrame, group: str, value: str, least: int = 5, name:
     """Add 0.6745 (x - median) / MAD within the group.
 
     Where the MAD is zero the sample deviation takes its place without the factor, and 0 if that is zero
-    or null too. Null in groups of fewer than `least` values, for null values and for null keys. Two
-    aggregations on the key; rows are never gathered by group.
+    or null too. Null in groups of fewer than `least` values, for null values and for null keys. Medians
+    of large groups are found in passes, so no group's values meet in one task.
     """
+    from .tables import quantiles
+
     known = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_x"))
-    center = known.groupBy("_g").agg(F.count("*").alias("_n"), F.median("_x").alias("_med"), F.stddev_samp("_x").alias("_std"))
-    spread = known.join(center.filter(F.col("_n") >= least), "_g").groupBy("_g").agg(F.median(F.abs(F.col("_x") - F.col("_med"))).alias("_mad"))
+    center = known.groupBy("_g").agg(F.count("*").alias("_n"), F.stddev_samp("_x").alias("_std")).join(quantiles(known, "_x", {"_med": 0.5}, ["_g"]), "_g", "left")
+    off_center = known.join(center.filter(F.col("_n") >= least), "_g")
+    spread = quantiles(off_center, F.abs(F.col("_x") - F.col("_med")), {"_mad": 0.5}, ["_g"])
     stats = center.join(spread, "_g")
     off = F.col(value) - F.col("_med")
     z = F.when(F.col("_mad") > 0, 0.6745 * off / F.col("_mad")).when(F.col("_std") > 0, off / F.col("_std")).when(F.col("_mad").isNotNull() & F.col(value).isNotNull(), F.lit(0.0))

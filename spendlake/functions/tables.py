@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import ratio
+
 #: Rows that one task may sort for an exact quantile, and ranges counted in a pass.
 FEW, RANGES = 200_000, 4096
 
@@ -49,30 +51,67 @@ def running(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column]
     return out.select(*df.columns, *((F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in values))
 
 
-def quantile(df: DataFrame, value: str, level: float, name: str) -> DataFrame:
-    """One row with the exact quantile of a column, by linear interpolation.
+def beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of `left` with the other columns of the row of `right` that has the same `by`, where null equals null; without `by`, of its only row."""
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return left.join(right.withColumnsRenamed({c: f"_k_{c}" for c in by}), same, "left").drop(*(f"_k_{c}" for c in by))
 
-    Where there are more than `FEW` values, passes count them by `RANGES` equal ranges and go on in those that
-    hold the wanted ranks, so that no task gathers all distinct values.
+
+def _ranked(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """`g, rank, v`: the value `x` of each wanted rank, from 0, within its group.
+
+    Each pass counts the values in play in `RANGES` equal ranges for all wanted ranks at once, with partial sums, and
+    goes on in the range that holds the rank, until its values are equal or few enough for one task to sort.
     """
-    rows = df.select(F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
-    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if n <= FEW:
-        return rows.agg(F.percentile("x", level).alias(name))
-    rank, below = level * (n - 1), 0
-    first, last = math.floor(rank), math.ceil(rank)
-    while n > FEW and low < high:
-        at = F.least(F.floor((F.col("x") - low) / (high - low) * RANGES), F.lit(RANGES - 1))
-        counts = sorted((r[0], r[1], r[2], r[3]) for r in rows.groupBy(at.alias("at")).agg(F.count("*"), F.min("x"), F.max("x")).collect())  # RANGES rows at most
-        begin, kept = below, []
-        for range_, count, least, most in counts:
-            if begin + count > first and begin <= last:
-                kept.append((range_, count, least, most, begin))
-            begin += count
-        if sum(c for _, c, *_ in kept) == n:
+    finite = F.when(F.abs("x") < float("inf"), F.col("x"))  # infinite values lie below or above all ranges
+    figures = (F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.coalesce(F.min(finite), F.lit(0.0)).alias("first"), F.coalesce(F.max(finite), F.lit(0.0)).alias("last"))
+    now, out = stored(ranks.join(rows.groupBy("g").agg(*figures), "g").withColumn("below", F.lit(0).cast("long"))), []
+    while True:
+        out.append(now.filter("low = high").select("g", "rank", F.col("low").alias("v")))
+        own = rows.join(now.filter("low < high").select("g", "rank", "n", "low", "high", "first", "last", "below"), "g").filter("x between low and high")
+        few = own.filter(F.col("n") <= FEW).groupBy("g", "rank").agg(F.sort_array(F.collect_list("x")).alias("held"), F.max("below").alias("below"))
+        out.append(few.select("g", "rank", F.get("held", (F.col("rank") - F.col("below")).cast("int")).alias("v")))
+        if not now.filter((F.col("n") > FEW) & F.expr("low < high")).limit(1).count():
             break
-        rows = rows.filter(at.between(kept[0][0], kept[-1][0]))
-        below, n, low, high = kept[0][4], sum(c for _, c, *_ in kept), kept[0][2], kept[-1][3]
-    if low == high:
-        return rows.sparkSession.range(1).select(F.lit(float(low)).alias(name))
-    return rows.agg(F.percentile("x", min(1.0, max(0.0, (rank - below) / (n - 1)))).alias(name))
+        part = ratio(F.col("x") / 2 - F.col("first") / 2, F.col("last") / 2 - F.col("first") / 2)  # halves, as the difference may be too large
+        at = F.when(F.col("x") < F.col("first"), -1).when(F.col("x") > F.col("last"), RANGES).otherwise(F.coalesce(F.least(F.floor(part * RANGES), F.lit(RANGES - 1)), F.lit(0)))
+        counts = own.filter(F.col("n") > FEW).withColumn("at", at.cast("int")).groupBy("g", "rank", "below", "at").agg(*figures)
+        upto = Window.partitionBy("g", "rank").orderBy("at")  # `RANGES` rows or so
+        counts = counts.withColumn("end", F.col("below") + F.sum("n").over(upto)).filter("end - n <= rank and rank < end")
+        now = stored(counts.withColumn("below", F.col("end") - F.col("n")).drop("end", "at"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def quantiles(df: DataFrame, value: str | Column, levels: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """`by` and a column for each name of `levels`: exact quantiles of each group, by linear interpolation, null and NaN left out.
+
+    Groups of up to `FEW` values are aggregated as they are. For larger ones the values of the ranks are found in
+    passes over all of them, so that no task holds a group's values, be it one group of all rows.
+    """
+    group = F.struct(*(F.col(c).alias(f"k{j}") for j, c in enumerate(by))) if by else F.struct(F.lit(0).alias("k0"))
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    rows = stored(df.select(group.alias("g"), x.alias("x")).filter("x is not null and not isnan(x)"))
+    counts = rows.groupBy("g").agg(F.count("*").alias("size"))
+    large = stored(counts.filter(F.col("size") > FEW))
+    plain = lambda part: part.groupBy("g").agg(*(F.percentile("x", q).alias(name) for name, q in levels.items()))
+    if large.limit(1).count():
+        pos = F.col("level") * (F.col("size") - 1)
+        wanted = large.withColumn("w", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("level")) for n, q in levels.items())))).select("g", "size", "w.*")
+        wanted = wanted.select("g", "name", pos.alias("pos"), F.floor(pos).alias("down"), F.ceil(pos).alias("up"))
+        ranks = wanted.select("g", F.explode(F.array("down", "up")).alias("rank")).distinct()
+        many = rows.join(large, "g", "left_semi")
+        values = stored(_ranked(many, ranks))
+        both = wanted.join(values.select("g", F.col("rank").alias("down"), F.col("v").alias("a")), ["g", "down"]).join(values.select("g", F.col("rank").alias("up"), F.col("v").alias("b")), ["g", "up"])
+        mixed = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("up") - F.col("pos")) * F.col("a") + (F.col("pos") - F.col("down")) * F.col("b"))
+        found = both.groupBy("g").agg(*(F.max(F.when(F.col("name") == n, mixed)).alias(n) for n in levels))
+        out = plain(rows.join(large, "g", "left_anti")).unionByName(found)
+    else:
+        out = plain(rows)
+    return out.select(*(F.col(f"g.k{j}").alias(c) for j, c in enumerate(by)), *levels)
+
+
+def quantile(df: DataFrame, value: str, level: float, name: str) -> DataFrame:
+    """One row with the exact quantile of a column, null where it holds no value."""
+    return beside(df.sparkSession.range(1).select(), quantiles(df, value, {name: level}), ())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import flag, ratio
-from ..functions.tables import quantile, running
+from ..functions.tables import beside, quantile, quantiles, running
 
 
 def baseline_rows(fact: DataFrame, multiple: float = 1000.0) -> DataFrame:
@@ -29,25 +29,28 @@ def split(df: DataFrame, train: int, validation: int, test: int) -> DataFrame:
 
 def median_baseline(train: DataFrame, least: int = 5) -> DataFrame:
     """`item_key, expected, n, reliable`: the exact median price of each item."""
-    return train.groupBy("item_key").agg(F.median("unit_price").alias("expected"), F.count("*").alias("n")).withColumn("reliable", F.col("n") >= least)
+    counts = train.groupBy("item_key").agg(F.count("*").alias("n"))
+    out = beside(counts, quantiles(train, "unit_price", {"expected": 0.5}, ["item_key"]), ["item_key"])
+    return out.select("item_key", "expected", "n", (F.col("n") >= least).alias("reliable"))
 
 
 def evaluate_baseline(rows: DataFrame, baseline: DataFrame, reliable: bool = True) -> DataFrame:
     """Coverage and errors of the baseline on other rows; all measures null where nothing is covered."""
     known = baseline.filter("reliable") if reliable else baseline
-    joined = rows.join(known.select("item_key", "expected"), "item_key", "left")
+    joined = rows.select("item_key", "unit_price").join(known.select("item_key", "expected"), "item_key", "left")
     err = F.abs(F.col("unit_price") - F.col("expected"))
     ape = 100 * ratio(err, F.col("unit_price"))
-    return joined.agg(
+    figures = joined.agg(
         F.count("*").alias("n"), F.count("expected").alias("covered"), F.round(100 * ratio(F.count("expected"), F.count("*")), 4).alias("coverage"),
-        F.round(F.avg(err), 4).alias("mae"), F.round(F.sqrt(F.avg(err * err)), 4).alias("rmse"), F.round(F.avg(ape), 4).alias("mean_ape"), F.round(F.median(ape), 4).alias("median_ape"),
+        F.round(F.avg(err), 4).alias("mae"), F.round(F.sqrt(F.avg(err * err)), 4).alias("rmse"), F.round(F.avg(ape), 4).alias("mean_ape"),
     )
+    return figures.crossJoin(quantile(joined.withColumn("_ape", ape), "_ape", 0.5, "median_ape")).withColumn("median_ape", F.round("median_ape", 4))  # one row each
 
 
 def scored_by_medians(rows: DataFrame, train: DataFrame, least: int = 5) -> DataFrame:
     """Rows with `expected`: the median of the item where that is reliable, else that of the category."""
     by_item = median_baseline(train, least).filter("reliable").select("item_key", F.col("expected").alias("_item"))
-    by_category = train.groupBy("category").agg(F.median("unit_price").alias("_category"))
+    by_category = quantiles(train, "unit_price", {"_category": 0.5}, ["category"])
     return rows.join(by_item, "item_key", "left").join(by_category, "category", "left").withColumn("expected", F.coalesce("_item", "_category")).drop("_item", "_category")
 
 
@@ -68,12 +71,26 @@ def residuals(scored: DataFrame, price: str = "unit_price", expected: str = "exp
 def metrics(errors: DataFrame, *by: str, price: str = "unit_price") -> DataFrame:
     """Error measures of all rows, or of each group."""
     rows = errors.groupBy(*by) if by else errors
-    return rows.agg(
+    known = F.avg(F.col("is_known").cast("double"))
+    figures = rows.agg(
         F.count("*").alias("n"), F.round(F.avg("abs_log_error"), 6).alias("mae_log"), F.round(F.sqrt(F.avg(F.col("log_error") * F.col("log_error"))), 6).alias("rmse_log"),
-        F.round(F.median("ape"), 4).alias("med_ape"), F.round(100 * ratio(F.sum("abs_error"), F.sum(price)), 4).alias("wape"), F.round(F.avg("abs_error"), 4).alias("mae"),
-        F.round(F.avg(F.col("is_known").cast("double")), 6).alias("known_rate"), F.round(F.sqrt(F.avg(F.col("abs_error") * F.col("abs_error"))), 4).alias("rmse"),
-        F.round(1 - F.avg(F.col("is_known").cast("double")), 6).alias("unseen_rate"),
-    )
+        F.round(100 * ratio(F.sum("abs_error"), F.sum(price)), 4).alias("wape"), F.round(F.avg("abs_error"), 4).alias("mae"), F.round(known, 6).alias("known_rate"),
+        F.round(F.sqrt(F.avg(F.col("abs_error") * F.col("abs_error"))), 4).alias("rmse"), F.round(1 - known, 6).alias("unseen_rate"),
+    )
+    out = beside(figures, quantiles(errors, "ape", {"med_ape": 0.5}, by), by).withColumn("med_ape", F.round("med_ape", 4))
+    return out.select(*by, "n", "mae_log", "rmse_log", "med_ape", "wape", "mae", "known_rate", "rmse", "unseen_rate")
+
+
+def evaluated(errors: DataFrame, *by: str, price: str = "unit_price") -> DataFrame:
+    """`metrics`, or ValueError where there is nothing to measure: no rows, or an error or price that is null, not finite, or a price of zero or less."""
+    usable = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
+    whole = F.col(price) > 0
+    for c in ("log_error", "abs_log_error", "abs_error", "ape", price):
+        whole = whole & usable(c)
+    n, bad = errors.agg(F.count("*"), F.count_if(~F.coalesce(whole, F.lit(False)))).first()
+    if not n or bad:
+        raise ValueError(f"{bad} of {n} rows cannot be measured")
+    return metrics(errors, *by, price=price)
 
 
 def anomaly_threshold(errors: DataFrame, level: float = 0.95, known_only: bool = True) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import beside, quantiles
+
 
 def null_profile(df: DataFrame) -> DataFrame:
     """`column, nulls, pct, kind` of every column in one pass over the table."""
@@ -111,9 +113,8 @@ def code_cardinality(df: DataFrame, code: str, description: str, unit: str) -> D
 
 def described(df: DataFrame, value: str, *by: str, extra: tuple | list = ()) -> DataFrame:
     """`n, mean, std, least, p25, p50, p99, most` of a column, of all rows or by group."""
-    p = lambda x, name: F.round(F.percentile(value, x), 4).alias(name)
     rows = df.groupBy(*by) if by else df
-    return rows.agg(
-        *extra, F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.min(value).alias("least"),
-        p(0.25, "p25"), p(0.5, "p50"), p(0.99, "p99"), F.max(value).alias("most"),
-    )
+    figures = rows.agg(*extra, F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    shares = {"p25": 0.25, "p50": 0.5, "p99": 0.99}
+    out = beside(figures, quantiles(df, value, shares, by), by).withColumns({c: F.round(c, 4) for c in shares})
+    return out.select(*(c for c in figures.columns if c != "most"), *shares, "most")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import flag, ratio
+from ..functions.tables import beside, quantiles
 from .pricing import CAUTIONS, savings_confidence
 
 #: Order in which tiers and priorities are listed.
@@ -21,8 +22,8 @@ def in_order(df: DataFrame, column: str, order: dict[str, int]) -> DataFrame:
 
 def history(rows: DataFrame, item: str = "item_key", price: str = "unit_price") -> DataFrame:
     """`item_key, n_history, history_median, history_p25, history_p75` of earlier prices."""
-    p = lambda x: F.percentile(price, x)
-    return rows.groupBy(item).agg(F.count("*").alias("n_history"), p(0.5).alias("history_median"), p(0.25).alias("history_p25"), p(0.75).alias("history_p75"))
+    counts = rows.groupBy(item).agg(F.count("*").alias("n_history"))
+    return beside(counts, quantiles(rows, price, {"history_median": 0.5, "history_p25": 0.25, "history_p75": 0.75}, [item]), [item])
 
 
 def audited(opportunities: DataFrame, past: DataFrame, units: DataFrame, unit_key: str, least: int = 5, most_off: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.stats import modified_zscore
 from ..functions.tables import quantile, stored
-from ..operators import cleaning, models, pricing, quality, resampling, spend, star
+from ..operators import cleaning, comparison, models, pricing, quality, resampling, spend, star
 from .adapter import ITEMS, items, table
 
 QUERIES, SQL = {}, {}
@@ -431,12 +431,10 @@ def _(spark, d):
 
 
 @query("distribution_by_year", """
-SELECT year(result_date)::INT AS year, count(*) AS n, round(median(unit_price), 4) AS price_median, round(quantile_cont(unit_price, 0.25), 4) AS p25, round(quantile_cont(unit_price, 0.9), 4) AS p90, round(median(quantity), 4) AS quantity_median FROM items GROUP BY 1""")
+SELECT year(result_date)::INT AS year, count(*) AS n, round(median(unit_price), 4) AS price_median, round(quantile_cont(unit_price, 0.25), 4) AS p25, round(quantile_cont(unit_price, 0.75), 4) AS p75, round(quantile_cont(unit_price, 0.9), 4) AS p90, round(median(quantity), 4) AS quantity_median,
+  round(avg(ln(unit_price)) FILTER (unit_price > 0), 6) AS log_price_mean, round(avg(ln(quantity)) FILTER (quantity > 0), 6) AS log_quantity_mean FROM items GROUP BY 1""")
 def _(spark, d):
-    p = lambda x: F.round(F.percentile("unit_price", x), 4)
-    return items(spark, d).groupBy(F.year("result_date").alias("year")).agg(
-        F.count("*").alias("n"), p(0.5).alias("price_median"), p(0.25).alias("p25"), p(0.9).alias("p90"), F.round(F.median("quantity"), 4).alias("quantity_median")
-    )
+    return comparison.distribution(items(spark, d).withColumn("year", F.year("result_date")), "year")
 
 
 # ---- exploration and text ----

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.tables import beside, quantiles
 from ..operators import cleaning, joins, quality, star
 from ..sources import files
 from .adapter import items, table
@@ -167,7 +168,8 @@ def _(spark, d):
 SELECT item_key, count(*) AS n, round(median(unit_price), 6) AS median_price FROM f GROUP BY 1""")
 def _(spark, d):
     rows = items(spark, d).filter(text.contains(F.col("description"), ["gear"], ["hot", "cold"])).filter("unit_price is not null")
-    return rows.groupBy("item_key").agg(F.count("*").alias("n"), F.round(F.median("unit_price"), 6).alias("median_price"))
+    counts = rows.groupBy("item_key").agg(F.count("*").alias("n"))
+    return beside(counts, quantiles(rows, "unit_price", {"median_price": 0.5}, ["item_key"]), ["item_key"]).withColumn("median_price", F.round("median_price", 6))
 
 
 @query("violation_buckets", """WITH g AS (SELECT purchase_item_id, count(*) AS n, count(DISTINCT buyer_key) AS b, count(DISTINCT catalogue_code) + max((catalogue_code IS NULL)::INT) AS k FROM items GROUP BY 1 HAVING count(*) > 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.tables import quantiles
 from ..operators import cleaning, comparison, pricing, savings, spend
 from . import analytics
 from .adapter import items
@@ -73,7 +74,7 @@ def _models(spark, d):
     later = rows.filter("split = 'validation'").withColumn("id", F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")))
     once = later.groupBy("id").agg(F.min(F.struct("unit_price", "quantity", "item_key", "category")).alias("o")).select("id", "o.*")
     by_item = pricing.median_baseline(train).filter("reliable").select("item_key", F.col("expected").alias("item_expected"))
-    by_category = train.groupBy("category").agg(F.median("unit_price").alias("fallback"))
+    by_category = quantiles(train, "unit_price", {"fallback": 0.5}, ["category"])
     both = once.join(by_item, "item_key", "left").join(by_category, "category")
     error = lambda c: both.filter(c.isNotNull()).withColumn("log_error", F.ln("unit_price") - F.ln(c)).withColumn("abs_log_error", F.abs("log_error")).select("id", "item_key", "unit_price", "log_error", "abs_log_error")
     return {"item": error(F.col("item_expected")), "item_or_category": error(F.coalesce("item_expected", "fallback")), "category": error(F.col("fallback"))}

@@ -121,14 +121,41 @@ def test_running_sum_over_many_wide_partitions(spark):
 
 
 def test_quantile_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(tables, "FEW", 50)
-    monkeypatch.setattr(tables, "RANGES", 16)
+    monkeypatch.setattr(tables, "FEW", 200)
+    monkeypatch.setattr(tables, "RANGES", 64)
     df = spark.range(5001).select(F.when(F.col("id") < 2000, 0.0).otherwise(F.pow(F.col("id") % 977, F.lit(2))).alias("x"))
-    for level in (0.0, 0.3, 0.5, 0.95, 1.0):
+    for level in (0.3, 0.95):
         assert abs(tables.quantile(df, "x", level, "q").first()[0] - df.agg(F.percentile("x", level)).first()[0]) < 1e-6
     assert tables.quantile(df.limit(0), "x", 0.5, "q").first()[0] is None
 
 
+@pytest.mark.parametrize("few", [60, 10_000])
+def test_quantiles_of_groups_in_passes(spark, monkeypatch, few):
+    monkeypatch.setattr(tables, "FEW", few)
+    monkeypatch.setattr(tables, "RANGES", 64)
+    k = F.col("id")
+    x = F.when(k % 97 == 0, None).when(k % 89 == 0, float("nan")).when(k % 3 == 0, 5.0).otherwise(F.exp((k * 7919 % 1000) / 40.0))
+    group = F.when(k % 10 < 7, "hot").when(k % 10 == 7, "b").when(k < 60, "few")  # the others have none
+    df = spark.range(3000).select(group.alias("g"), (k % 2).alias("h"), x.alias("x"))
+    df = df.unionByName(spark.createDataFrame([("inf", 0, float(v)) for v in ("inf", "-inf", "1", "2", "inf", "3", "3")] * 10 + [("flat", 1, 4.0)] * 70 + [("none", 1, None)], df.schema))
+    levels = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    own = df.filter("x is not null and not isnan(x)")
+    for by in (["g", "h"], []):
+        want = own.groupBy(*by).agg(*(F.percentile("x", q).alias(n) for n, q in levels.items()))
+        got, want = ({tuple(r[c] for c in by): [r[n] for n in levels] for r in d.collect()} for d in (tables.quantiles(df, "x", levels, by), want))
+        assert got.keys() == want.keys()
+        for key in got:
+            assert got[key] == pytest.approx(want[key], rel=1e-12, nan_ok=True), key
+
+
+def test_metrics_are_not_made_of_nothing(spark):
+    errors = pricing.prediction_errors(spark.createDataFrame([("a", 2.0, 1.0), ("b", 3.0, 3.0)], "item_key string, unit_price double, expected double"), spark.createDataFrame([("a",)], "item_key string"))
+    assert pricing.evaluated(errors).first().n == 2
+    for bad in (errors.limit(0), errors.withColumn("ape", F.lit(None).cast("double")), errors.withColumn("log_error", F.lit(float("inf"))), errors.withColumn("unit_price", F.lit(0.0))):
+        with pytest.raises(ValueError):
+            pricing.evaluated(bad)
+
+
 def test_permuted_keeps_values(spark):
     df = spark.range(3000).select("id", (F.col("id") * 2).alias("x"))
     out = models.permuted(df, "x", "id").toPandas()
