@@ -29,8 +29,8 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """Add for each name the sum of its value over all rows before, in order, within `by`.
+def running(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column], by: Sequence[str] = (), totals: Mapping[str, str] | None = None) -> DataFrame:
+    """Add for each name the sum of its value over all rows before, in order, within `by`; for each key of `totals` the sum of the value it names over all rows of `by`.
 
     Rows are range-partitioned by `by` and `order`, and written once with the number of their partition, so
     that both readings see the same partitions. Each partition's totals, a row for each key of `by` in it,
@@ -41,14 +41,14 @@ def running(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column]
     dealt = stored(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     sums = dealt.groupBy("_part", *by).agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values))
     upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    base = sums.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_k_{c}") for c in by), *(F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)).alias(f"_b_{n}") for n in values))
+    base = sums.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_k_{c}") for c in by), *(F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)).alias(f"_b_{n}") for n in values), *(F.sum(f"_s_{v}").over(Window.partitionBy(*by)).alias(n) for n, v in (totals or {}).items()))
     inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = dealt.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values})
     same = F.col("_part") == F.col("_p")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     out = out.join(base, same)
-    return out.select(*df.columns, *((F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in values))
+    return out.select(*df.columns, *((F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in values), *(totals or {}))
 
 
 def beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

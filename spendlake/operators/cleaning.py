@@ -25,16 +25,21 @@ def remove_exact_duplicates(df: DataFrame, ignore: Sequence[str] = ()) -> DataFr
     return out.select(*(F.col(f"_b.{c}").alias(c) if c in ignore else F.col(c) for c in df.columns))
 
 
-def resolve_revisions(df: DataFrame, key: Sequence[str], date: str) -> DataFrame:
-    """Of keys with several dates, the latest row; all rows of other keys and of null keys."""
+def resolve_revisions(df: DataFrame, key: Sequence[str], date: str, several: str | None = None) -> DataFrame:
+    """Of keys with several dates, the latest row; all rows of other keys and of null keys.
+
+    `several` names a flag that is true on rows whose key had more dates before; it comes out true on the rows of all such keys.
+    """
     known = F.lit(True)
     for k in key:
         known = known & F.col(k).isNotNull()
-    dates = df.filter(known).groupBy(*key).agg(F.min(date).alias("_a"), F.max(date).alias("_b")).filter("_a < _b").select(*key, F.lit(True).alias("_many"))
+    before = F.max(flag(several)) if several else F.lit(False)
+    dates = df.filter(known).groupBy(*key).agg(F.min(date).alias("_a"), F.max(date).alias("_b"), before.alias("_s")).filter("_a < _b or _s").select(*key, F.lit(True).alias("_many"))
     joined = df.join(dates, list(key), "left")  # null keys meet nothing and stay
-    tie = [F.col(c).asc_nulls_last() for c in df.columns if c not in (*key, date)]
+    tie = [F.col(c).asc_nulls_last() for c in df.columns if c not in (*key, date, several)]
     w = Window.partitionBy(*key).orderBy(F.col(date).desc_nulls_last(), *tie)  # the rows of one key that has several dates
     last = joined.filter("_many").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    last = last.withColumn(several, F.lit(True)) if several else last
     return last.select(df.columns).unionByName(joined.filter("_many is null").select(df.columns))
 
 

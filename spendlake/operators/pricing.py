@@ -118,8 +118,7 @@ def savings_priority(rows: DataFrame, id_column: str, first: float = 0.70, secon
     if not 0 < first < second <= 1:
         raise ValueError("limits have to rise between 0 and 1")
     exact = rows.withColumn("_s", F.round("saving", 4).cast("decimal(24,4)"))
-    run = running(exact, {"_before": F.col("_s")}, [F.desc("_s"), F.col(id_column)])
-    run = run.crossJoin(F.broadcast(exact.agg(F.sum("_s").alias("_total"))))  # one row
+    run = running(exact, {"_before": F.col("_s")}, [F.desc("_s"), F.col(id_column)], totals={"_total": "_before"})
     share = ratio(F.col("_before"), F.col("_total"))
     level = F.when(F.coalesce(F.col("_total"), F.lit(0)) <= 0, "Baixa").when(share < first, "Alta").when(share < second, "Media").otherwise("Baixa")
     return run.withColumn("cumulative_share", ratio(F.col("_before") + F.col("_s"), F.col("_total"))).withColumn("priority", level).drop("_s", "_before", "_total")

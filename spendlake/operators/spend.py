@@ -60,8 +60,7 @@ def abc_curve(df: DataFrame, category: str = "category", supplier: str = "suppli
     """
     rows = df.filter(F.col(supplier).isNotNull()).select(F.explode(F.array(F.coalesce(category, F.lit(UNCLASSIFIED)), F.lit(total))).alias(category), supplier, value)
     per = rows.groupBy(category, supplier).agg(F.sum(value).alias("spend"))
-    run = running(per, {"_before": F.col("spend"), "_rank": F.lit(1)}, [F.desc("spend"), F.col(supplier)], [category])
-    totals = per.groupBy(F.col(category).alias("_c")).agg(F.sum("spend").alias("_t"))
+    run = running(per, {"_before": F.col("spend"), "_rank": F.lit(1)}, [F.desc("spend"), F.col(supplier)], [category], totals={"_t": "_before"})
     cumulative = F.round(100 * ratio(F.col("_before") + F.col("spend"), F.col("_t")), 6)
-    out = run.join(totals, F.col(category) == F.col("_c")).select(category, supplier, "spend", (F.col("_rank") + 1).cast("int").alias("rank"), cumulative.alias("cumulative"))
+    out = run.select(category, supplier, "spend", (F.col("_rank") + 1).cast("int").alias("rank"), cumulative.alias("cumulative"))
     return out.withColumn("abc", F.when(F.col("cumulative") <= 80, "A").when(F.col("cumulative") <= 95, "B").otherwise("C"))

@@ -309,7 +309,8 @@ d AS (SELECT e2.*, CASE WHEN NOT is_known THEN 'nao_avaliavel' WHEN abs_log_erro
 
 
 def _split(spark, d):
-    return pricing.split(pricing.baseline_rows(items(spark, d)), 1999, 2000, 2001)
+    """Rows of the baseline with their split, stored, as every caller reads them more than once."""
+    return stored(pricing.split(pricing.baseline_rows(items(spark, d)), 1999, 2000, 2001))
 
 
 def _errors(spark, d, *splits):
@@ -317,12 +318,12 @@ def _errors(spark, d, *splits):
     rows = _split(spark, d)
     train = rows.filter("split = 'train'")
     scored = pricing.scored_by_medians(rows.filter(F.col("split").isin(*(splits or ("validation",)))), train)
-    return pricing.prediction_errors(scored, train).withColumn("id", F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")))
+    return stored(pricing.prediction_errors(scored, train).withColumn("id", F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string"))))
 
 
 def _flagged(spark, d):
     """Errors of 2000 and 2001 under the threshold of 2000."""
-    e = stored(_errors(spark, d, "validation", "test"))  # read for the threshold and for the rows
+    e = _errors(spark, d, "validation", "test")
     return pricing.flag_anomalies(e, pricing.anomaly_threshold(e.filter("split = 'validation'")))
 
 
@@ -407,11 +408,12 @@ def _(spark, d):
 #: Priorities of all transactions by what they cost, so that the running sum goes over the whole table.
 @query("transaction_priority", """
 WITH o AS (SELECT purchase_item_id || '/' || supplier_key || '/' || result_date AS id, total_price AS s FROM items),
-w AS (SELECT id, coalesce(sum(s) OVER (ORDER BY s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(s) OVER ())::DOUBLE AS share FROM o)
-SELECT CASE WHEN share < 0.7 THEN 'Alta' WHEN share < 0.9 THEN 'Media' ELSE 'Baixa' END AS priority, count(*) AS n, max(share) < 1 AS below_one FROM w GROUP BY 1""")
+w AS (SELECT id, coalesce(sum(s) OVER (ORDER BY s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(s) OVER ())::DOUBLE AS share,
+  (sum(s) OVER (ORDER BY s DESC, id ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(s) OVER ())::DOUBLE AS cumulative FROM o)
+SELECT CASE WHEN share < 0.7 THEN 'Alta' WHEN share < 0.9 THEN 'Media' ELSE 'Baixa' END AS priority, count(*) AS n, round(max(cumulative), 6) AS greatest_share FROM w GROUP BY 1""")
 def _(spark, d):
     rows = items(spark, d).select(F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")).alias("id"), F.col("total_price").alias("saving"))
-    return pricing.savings_priority(rows, "id").groupBy("priority").agg(F.count("*").alias("n"), F.lit(True).alias("below_one"))
+    return pricing.savings_priority(rows, "id").groupBy("priority").agg(F.count("*").alias("n"), F.round(F.max("cumulative_share"), 6).alias("greatest_share"))
 
 
 _MIX = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.tables import quantiles
+from ..functions.tables import quantiles, stored
 from ..operators import cleaning, comparison, pricing, savings, spend
 from . import analytics
 from .adapter import items
@@ -75,7 +75,7 @@ def _models(spark, d):
     once = later.groupBy("id").agg(F.min(F.struct("unit_price", "quantity", "item_key", "category")).alias("o")).select("id", "o.*")
     by_item = pricing.median_baseline(train).filter("reliable").select("item_key", F.col("expected").alias("item_expected"))
     by_category = quantiles(train, "unit_price", {"fallback": 0.5}, ["category"])
-    both = once.join(by_item, "item_key", "left").join(by_category, "category")
+    both = stored(once.join(by_item, "item_key", "left").join(by_category, "category"))  # read for each model and each guard
     error = lambda c: both.filter(c.isNotNull()).withColumn("log_error", F.ln("unit_price") - F.ln(c)).withColumn("abs_log_error", F.abs("log_error")).select("id", "item_key", "unit_price", "log_error", "abs_log_error")
     return {"item": error(F.col("item_expected")), "item_or_category": error(F.coalesce("item_expected", "fallback")), "category": error(F.col("fallback"))}
 
@@ -125,7 +125,7 @@ def _audited(spark, d, priority=False):
     found = pricing.savings(analytics._flagged(spark, d).filter("year = 2001"), 10_000.0).withColumn("total_price", F.round(F.col("total_price").cast("double") / 1000) * 1000)
     past = savings.history(analytics._split(spark, d).filter("split in ('train', 'validation')"))
     units = cleaning.unit_comparability(rows, "unit_item", "unit")
-    out = savings.audited(found.join(conflict, "purchase_item_id", "left"), past, units, "unit_item")
+    out = stored(savings.audited(found.join(conflict, "purchase_item_id", "left"), past, units, "unit_item"))
     return pricing.savings_priority(out, "id") if priority else out
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import versions
+
 STAR = ("dim_buyer", "dim_item", "dim_supplier", "dim_date", "fact_purchase")
 
 
@@ -32,10 +36,28 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, malform
     return spark.read.option("header", True).option("mode", malformed).schema(schema).csv(path)
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType | str, year: int) -> DataFrame:
-    """Write a year's CSV as Parquet under `ano=`, unless it is there; malformed rows are dropped."""
-    if not exists(spark, f"{target}/ano={year}"):
-        read_csv(spark, source, schema, "DROPMALFORMED").write.parquet(f"{target}/ano={year}")
+def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType | str, year: int, manifest: str | None = None, dataset: str = "item") -> DataFrame:
+    """Write a year's CSV as Parquet under `ano=`, unless it is there; malformed rows are dropped.
+
+    With a manifest, a row says what was done: `success` with the number of rows, counted as they were written, and the size of
+    the source, `skipped_existing`, `not_found` or `error`; the last two are raised as well.
+    """
+    path = f"{target}/ano={year}"
+    note = lambda *a: manifest and record(spark, manifest, dataset, source, *a)
+    if exists(spark, path):
+        note("skipped_existing")
+    elif not exists(spark, source):
+        note("not_found")
+        raise FileNotFoundError(source)
+    else:
+        length = versions.size(spark, source)
+        try:
+            n = counted(read_csv(spark, source, schema, "DROPMALFORMED"), lambda df: df.write.parquet(path))
+        except Exception:
+            remove(spark, path)
+            note("error", length)
+            raise
+        note("success", length, n)
     return spark.read.parquet(target).filter(F.col("ano") == year)
 
 
@@ -60,6 +82,25 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
+def stored_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """`path, dataset, length` of the files below a folder of datasets, as storage lists them; contents are not read.
+
+    The dataset is the folder just below `root`; paths are relative to it.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+    base = root.rstrip("/").split("/")[-1]
+    below = F.element_at(F.split("path", "/" + re.escape(base) + "/"), -1)
+    return found.select(below.alias("path"), F.when(F.instr(below, "/") > 0, F.substring_index(below, "/", 1)).alias("dataset"), "length")
+
+
+def missing_days(paths: DataFrame, first: str, last: str, datasets: Sequence[str] = ("item",)) -> DataFrame:
+    """`dataset, day` from `first` to `last` without a file; `paths` hold `dataset` and a `path` with `dt=yyyy-MM-dd`."""
+    asked = paths.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"), F.array(*map(F.lit, datasets)).alias("d"))
+    day = F.try_to_date(F.regexp_extract("path", r"dt=(\d{4}-\d{2}-\d{2})", 1))
+    there = paths.select(F.coalesce("dataset", F.lit("item")).alias("dataset"), day.alias("day")).distinct()
+    return asked.select(F.explode("d").alias("dataset"), "day").join(there, ["dataset", "day"], "left_anti")
+
+
 def to_load(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (`path, dataset, length`) without a successful manifest row of equal size; no dataset means item."""
     done = manifest.filter("status = 'success'").select("path", F.coalesce("dataset", F.lit("item")).alias("dataset"), "length").distinct()
@@ -88,22 +129,40 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST + ", at timestamp").json(path) if exists(spark, path) else spark.createDataFrame([], MANIFEST + ", at timestamp")
 
 
-def save_star(tables: Mapping[str, DataFrame], root: str) -> None:
-    """Write the five tables anew and append their numbers of rows to the build log."""
-    for name in STAR:
-        tables[name].write.mode("overwrite").parquet(f"{root}/{name}")
-    spark = tables[STAR[0]].sparkSession
-    counts = [spark.read.parquet(f"{root}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("n_rows")) for name in STAR]
-    log = counts[0]
-    for c in counts[1:]:
-        log = log.unionByName(c)
+def counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write a DataFrame and return its number of rows, counted in the same pass."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
+def save_star(tables: Mapping[str, DataFrame], root: str, keep: int = 2) -> str:
+    """Write the five tables as a new version, make it visible at once and append their numbers of rows to the build log.
+
+    Until then, and if anything fails, readers see the version before. The newest `keep` versions stay. Returns the version's folder.
+    """
+    if missing := [name for name in STAR if name not in tables]:
+        raise ValueError("missing tables: " + ", ".join(missing))
+    spark, version = tables[STAR[0]].sparkSession, f"v-{uuid.uuid4().hex}"
+    rows = [(name, counted(tables[name], lambda df, name=name: df.write.parquet(f"{root}/{version}/{name}"))) for name in STAR]
+    before = [versions.read(spark, root, n)["folder"] for n in versions.numbers(spark, root)[-(keep - 1) :]] if keep > 1 else []
+    versions.publish(spark, root, {"folder": version})
+    log = spark.createDataFrame([(name, n, version) for name, n in rows], "table string, n_rows long, version string")
     append_log(log.withColumn("at", F.current_timestamp()).coalesce(1), f"{root}/_build_log")  # five rows
+    versions.forget(spark, root, keep)
+    for name in versions.names(spark, root):
+        if name.startswith("v-") and name not in (version, *before):
+            remove(spark, f"{root}/{name}")
+    return version
 
 
 def load_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All five tables, or FileNotFoundError."""
-    require(spark, [f"{root}/{name}" for name in STAR])
-    return {name: spark.read.parquet(f"{root}/{name}") for name in STAR}
+    """All five tables of the current version, or FileNotFoundError."""
+    version = versions.current(spark, root)
+    if version is None:
+        raise FileNotFoundError(root)
+    require(spark, [f"{root}/{version['folder']}/{name}" for name in STAR])
+    return {name: spark.read.parquet(f"{root}/{version['folder']}/{name}") for name in STAR}
 
 
 def save_artifact(df: DataFrame, path: str, kind: str = "parquet") -> None:

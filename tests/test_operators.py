@@ -237,7 +237,7 @@ def test_merging_a_batch_again_changes_nothing(spark, tmp_path):
     batch, target = spark.createDataFrame(rows, "k string, d string, v int"), str(tmp_path / "latest")
     for _ in range(3):
         ingest.merge_latest(spark, batch, 0, target, ["k"], "d")
-    assert sorted((r.k, r.d, r.v) for r in spark.read.parquet(target).collect()) == [("a", "2024-01-01", 1), ("a", "2024-01-01", 2), ("b", "2024-01-02", 4)]
+    assert sorted((r.k, r.d, r.v) for r in ingest.read_latest(spark, target, ["k"], "d").collect()) == [("a", "2024-01-01", 1), ("a", "2024-01-01", 2), ("b", "2024-01-02", 4)]
 
 
 def test_savings_confidence_and_guards(spark):
@@ -289,7 +289,7 @@ def test_streams(spark, tmp_path):
     source, target = tmp_path / "drop", str(tmp_path / "bronze")
     source.mkdir()
     (source / "1.csv").write_text("k,d,v\na,2025-01-01,1\nb,2025-01-01,1\n")
-    run = lambda: ingest.ingest_daily(spark, str(source), target, str(tmp_path / "cp"), "k string, d string, v int")
+    run = lambda: ingest.ingest_daily(spark, str(source), target, str(tmp_path / "cp"), "k string, d string, v int", str(tmp_path / "manifest"))
     run()
     (source / "2.csv").write_text("k,d,v\na,2025-01-02,2\n")
     run()
@@ -298,4 +298,4 @@ def test_streams(spark, tmp_path):
     latest = str(tmp_path / "latest")
     stream = spark.readStream.schema("k string, d string, v int").parquet(target)
     ingest.keep_latest(spark, stream, latest, str(tmp_path / "cp2"), ["k"], "d")
-    assert sorted((r.k, r.v) for r in spark.read.parquet(latest).collect()) == [("a", 2), ("b", 1)]
+    assert sorted((r.k, r.v) for r in ingest.read_latest(spark, latest, ["k"], "d").collect()) == [("a", 2), ("b", 1)]
