@@ -59,6 +59,20 @@ def beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.join(right.withColumnsRenamed({c: f"_k_{c}" for c in by}), same, "left").drop(*(f"_k_{c}" for c in by))
 
 
+def sampled(df: DataFrame, k: int, id_column: str, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """The `k` rows of each group, or of all, of smallest md5 of (seed, id): a bounded sample, the same in every run.
+
+    The smallest of each of 256 parts of a group are found first, from partial limits of every task, and the sample among
+    those, so no task sorts a group and nothing is sorted as a whole. Equal ids go by all other columns.
+    """
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_column).cast("string")).cast("binary")))
+    order = ["_h", id_column, *(c for c in df.columns if c != id_column)]
+    first = Window.partitionBy(*by, F.substring("_h", -2, 2)).orderBy(*order)
+    last = Window.partitionBy(*by, F.lit(0)).orderBy(*order)  # `k` rows of 256 parts at most
+    some = hashed.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
+    return some.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= k).select(df.columns)
+
+
 def _ranked(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     """`g, rank, v`: the value `x` of each wanted rank, from 0, within its group.
 

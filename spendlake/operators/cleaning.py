@@ -62,12 +62,12 @@ def spend_total(df: DataFrame, value: str, conflict: str) -> DataFrame:
 
 
 def unit_comparability(df: DataFrame, item: str, unit: str) -> DataFrame:
-    """`item, unit_flag`: comparable (one unit at most), requires_conversion (all of one dimension) or unknown."""
+    """`item, unit_flag`: unit_comparable (one unit at most), unit_requires_conversion (all of one dimension) or unit_unknown."""
     dim, _ = text.parse_unit(F.col(unit))
     rows = df.filter(F.col(item).isNotNull()).select(item, text.normalize_unit(F.col(unit)).alias("u"), dim.alias("d"))
     per = rows.groupBy(item).agg(F.min("u").alias("a"), F.max("u").alias("b"), F.min("d").alias("da"), F.max("d").alias("db"), F.max(F.col("d").isNull()).alias("gap"))
     same = F.coalesce(F.col("a") == F.col("b"), F.lit(True))
-    return per.select(item, F.when(same, "comparable").when((F.col("da") == F.col("db")) & ~F.col("gap"), "requires_conversion").otherwise("unknown").alias("unit_flag"))
+    return per.select(item, F.when(same, "unit_comparable").when((F.col("da") == F.col("db")) & ~F.col("gap"), "unit_requires_conversion").otherwise("unit_unknown").alias("unit_flag"))
 
 
 def flag_shares(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:

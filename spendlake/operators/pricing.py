@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import flag, ratio
-from ..functions.tables import beside, quantile, quantiles, running
+from ..functions.tables import beside, quantile, quantiles, running, stored
 
 
 def baseline_rows(fact: DataFrame, multiple: float = 1000.0) -> DataFrame:
@@ -47,6 +47,22 @@ def evaluate_baseline(rows: DataFrame, baseline: DataFrame, reliable: bool = Tru
     return figures.crossJoin(quantile(joined.withColumn("_ape", ape), "_ape", 0.5, "median_ape")).withColumn("median_ape", F.round("median_ape", 4))  # one row each
 
 
+def baseline_report(fact: DataFrame, train: int, validation: int, test: int, least: int = 5) -> DataFrame:
+    """From facts to the figures of the median baseline: a row for each split with its rows, the items learnt and reliable, coverage and errors.
+
+    The training split has no errors, as it is what the medians come from.
+    """
+    rows = stored(split(baseline_rows(fact), train, validation, test).select("split", "item_key", "unit_price"))
+    medians = stored(median_baseline(rows.filter("split = 'train'"), least))
+    items = medians.agg(F.count("*").alias("n_items"), F.count_if("reliable").alias("n_reliable"))
+    out = None
+    for name in ("validation", "test"):
+        part = evaluate_baseline(rows.filter(F.col("split") == name), medians).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    first = rows.filter("split = 'train'").agg(F.count("*").alias("n")).withColumn("split", F.lit("train"))
+    return out.unionByName(first, allowMissingColumns=True).crossJoin(items)  # one row
+
+
 def scored_by_medians(rows: DataFrame, train: DataFrame, least: int = 5) -> DataFrame:
     """Rows with `expected`: the median of the item where that is reliable, else that of the category."""
     by_item = median_baseline(train, least).filter("reliable").select("item_key", F.col("expected").alias("_item"))
@@ -100,6 +116,15 @@ def anomaly_threshold(errors: DataFrame, level: float = 0.95, known_only: bool =
     return quantile(errors.filter("is_known") if known_only else errors, "abs_log_error", level, "threshold")
 
 
+def baseline_metrics(rows: DataFrame, train: DataFrame, least: int = 5) -> DataFrame:
+    """`metrics` of the reliable medians on the rows that they cover, with `n_rows`, `covered` and `coverage` of all rows."""
+    known = median_baseline(train, least).filter("reliable").select("item_key", "expected")
+    scored = rows.join(known, "item_key", "left")
+    counts = scored.agg(F.count("*").alias("n_rows"), F.count("expected").alias("covered"))
+    out = metrics(prediction_errors(scored.filter("expected is not null"), train)).crossJoin(counts)  # one row each
+    return out.withColumn("coverage", F.round(100 * ratio(F.col("covered"), F.col("n_rows")), 4))
+
+
 def flag_anomalies(errors: DataFrame, threshold: DataFrame, known_only: bool = True) -> DataFrame:
     """Add `direction` under a frozen threshold: above, below, normal or nao_avaliavel."""
     joined = errors.crossJoin(F.broadcast(threshold))  # one row
@@ -145,7 +170,7 @@ def category_mix(rows: DataFrame, category: str, period: str, first, second) ->
 
 def variation_distance(mix: DataFrame) -> DataFrame:
     """One row: half the sum of absolute share deltas, and the category of the largest shift."""
-    return mix.agg(F.round(F.sum(F.abs("delta_pp")) / 2, 4).alias("tvd"), F.max_by(F.coalesce("category", F.lit("sem categoria")), F.abs("delta_pp")).alias("largest"))
+    return mix.agg(F.round(F.sum(F.abs("delta_pp")) / 2, 4).alias("tvd"), F.max_by(F.coalesce("category", F.lit("Não categorizado")), F.abs("delta_pp")).alias("largest"))
 
 
 def histogram(rows: DataFrame, value: str, bins: int, *by: str) -> DataFrame:

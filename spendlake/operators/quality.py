@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import ratio
 from ..functions.tables import beside, quantiles
 
 
@@ -32,9 +33,17 @@ def invalid_dates(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_range(df: DataFrame, column: str, least: float = 0.0) -> DataFrame:
-    """`below, zero, missing` counts of a numeric or text column."""
+    """`below, zero, missing` counts of a numeric or text column, and the percentages of rows that the first two are."""
     x = F.col(column).try_cast("double")
-    return df.agg(F.count_if(x < least).alias("below"), F.count_if(x == 0).alias("zero"), F.count_if(x.isNull()).alias("missing"))
+    pct = lambda c: F.round(100 * ratio(F.count_if(c), F.count("*")), 2)
+    return df.agg(F.count_if(x < least).alias("below"), F.count_if(x == 0).alias("zero"), F.count_if(x.isNull()).alias("missing"), pct(x < least).alias("below_pct"), pct(x == 0).alias("zero_pct"))
+
+
+def code_gaps(df: DataFrame, code: str) -> DataFrame:
+    """`n, missing, zero, missing_pct, zero_pct` of a catalogue code."""
+    x = F.col(code).try_cast("double")
+    pct = lambda c: F.round(100 * ratio(F.count_if(c), F.count("*")), 2)
+    return df.agg(F.count("*").alias("n"), F.count_if(F.col(code).isNull()).alias("missing"), F.count_if(x == 0).alias("zero"), pct(F.col(code).isNull()).alias("missing_pct"), pct(x == 0).alias("zero_pct"))
 
 
 def unit_heterogeneity(df: DataFrame, item: str, unit: str) -> DataFrame:
@@ -111,6 +120,13 @@ def code_cardinality(df: DataFrame, code: str, description: str, unit: str) -> D
     return df.filter(F.col(code).isNotNull()).groupBy(code).agg(F.count("*").alias("n_rows"), F.count_distinct(description).alias("n_descriptions"), F.count_distinct(unit).alias("n_units"))
 
 
+def code_summary(df: DataFrame, code: str, description: str, unit: str) -> DataFrame:
+    """One row over catalogue codes: how many, their rows, and the percentage with several descriptions and with several units."""
+    per = code_cardinality(df, code, description, unit)
+    pct = lambda c: F.round(100 * ratio(F.count_if(F.col(c) > 1), F.count("*")), 2)
+    return per.agg(F.count("*").alias("n_codes"), F.sum("n_rows").alias("n_rows"), pct("n_descriptions").alias("several_descriptions_pct"), pct("n_units").alias("several_units_pct"), F.max("n_units").alias("most_units"))
+
+
 def described(df: DataFrame, value: str, *by: str, extra: tuple | list = ()) -> DataFrame:
     """`n, mean, std, least, p25, p50, p99, most` of a column, of all rows or by group."""
     rows = df.groupBy(*by) if by else df

@@ -9,7 +9,12 @@ from ..functions.stats import flag, ratio
 from ..functions.tables import beside, quantiles
 from .pricing import CAUTIONS, savings_confidence
 
-#: Order in which tiers and priorities are listed.
+#: Columns of the extract of opportunities.
+EXTRACT = (
+    "id", "purchase_item_id", "item_key", "description", "category", "supplier_key", "supplier_name", "unit_price", "expected", "quantity", "total_price", "deviation_pct", "saving", "priority", "confidence",
+    "n_history", "history_median", "price_vs_history", "unit_flag", "high_ticket", "few_history", "unit_not_comparable", "total_mismatch", "conflicting", "n_cautions",
+)
+#: Tiers and priorities in the order in which they are listed.
 TIERS = {"Alta": 1, "Revisao Alto Valor": 2, "Baixa": 3}
 PRIORITIES = {"Alta": 1, "Media": 2, "Baixa": 3}
 
@@ -44,7 +49,7 @@ def audited(opportunities: DataFrame, past: DataFrame, units: DataFrame, unit_ke
     rows = rows.withColumns(
         {
             "few_history": F.coalesce(F.col("n_history") < least, F.lit(False)),
-            "unit_not_comparable": F.coalesce(F.col("unit_flag") != "comparable", F.lit(True)),
+            "unit_not_comparable": F.coalesce(F.col("unit_flag") != "unit_comparable", F.lit(True)),
             "total_mismatch": F.coalesce(F.col("total_off_pct") > most_off, F.lit(False)),
             "conflicting": flag("conflicting"),
         }
@@ -89,3 +94,23 @@ def caution_reasons(df: DataFrame) -> DataFrame:
     """`reason, n` of opportunities of low confidence; one may have several reasons."""
     one = df.filter("confidence = 'Baixa'").agg(*(F.count_if(flag(c)).alias(c) for c in CAUTIONS))
     return one.unpivot([], list(CAUTIONS), "reason", "n")
+
+
+def extract(df: DataFrame) -> DataFrame:
+    """The columns `EXTRACT` of audited opportunities with a priority, by tier and then by saving, largest first; ValueError if one is absent."""
+    if missing := [c for c in EXTRACT if c not in df.columns]:
+        raise ValueError("missing columns: " + ", ".join(missing))
+    place = F.coalesce(F.create_map(*(F.lit(x) for pair in TIERS.items() for x in pair))[F.col("confidence")], F.lit(len(TIERS) + 1))
+    return df.orderBy(place, F.desc("saving"), "id").select(*EXTRACT)
+
+
+def listed(df: DataFrame, tiers=None, categories=None, priorities=None) -> tuple[DataFrame, DataFrame]:
+    """Opportunities of the chosen tiers, categories and priorities, largest saving first, and one row of `n, saving, mean` of them.
+
+    None chooses all; an empty choice gives an empty list and sums of 0, and no mean.
+    """
+    for column, chosen in (("confidence", tiers), ("category", categories), ("priority", priorities)):
+        if chosen is not None:
+            df = df.filter(F.col(column).isin(*chosen) if chosen else F.lit(False))
+    figures = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(exact()), F.lit(0)).cast("double").alias("saving"), F.round(F.avg(exact().cast("double")), 4).alias("mean"))
+    return df.orderBy(F.desc("saving"), "id"), figures

@@ -9,7 +9,7 @@ from ..functions.stats import concentration, flag, ratio
 from ..functions.tables import quantile, running
 
 
-UNCLASSIFIED = "sem categoria"
+UNCLASSIFIED = "Não categorizado"
 
 
 def flag_extreme(df: DataFrame, value: str, multiple: float = 1000.0, outlier: str | None = None) -> DataFrame:
@@ -64,3 +64,36 @@ def abc_curve(df: DataFrame, category: str = "category", supplier: str = "suppli
     cumulative = F.round(100 * ratio(F.col("_before") + F.col("spend"), F.col("_t")), 6)
     out = run.select(category, supplier, "spend", (F.col("_rank") + 1).cast("int").alias("rank"), cumulative.alias("cumulative"))
     return out.withColumn("abc", F.when(F.col("cumulative") <= 80, "A").when(F.col("cumulative") <= 95, "B").otherwise("C"))
+
+
+def abc_extract(df: DataFrame, category: str = "category", supplier: str = "supplier_key", name: str = "supplier_name") -> DataFrame:
+    """`abc_curve` with each supplier's `name`, the first in order, or its key where it has none."""
+    names = df.filter(F.col(supplier).isNotNull()).groupBy(supplier).agg(F.min(name).alias("name"))
+    return abc_curve(df, category, supplier).join(names, supplier, "left").withColumn("name", F.coalesce("name", F.col(supplier).cast("string")))
+
+
+def spend_extract(df: DataFrame) -> DataFrame:
+    """Spend and concentration of the categories that have a name, with shares among these."""
+    known = df.filter("category is not null")
+    return by_category(known).join(hhi(known).drop("n_suppliers"), "category", "left")
+
+
+def category_profile(df: DataFrame, category: str, top: int = 30) -> tuple[DataFrame, DataFrame]:
+    """One row on a category (its rank by spend, figures, concentration, suppliers of class A, largest supplier's share) and its first `top` suppliers."""
+    curve = abc_extract(df.filter(F.col("category") == category)).filter(F.col("category") == category)
+    per = by_category(df)
+    own = per.filter(F.col("category") == category)
+    rank = per.alias("p").join(own.select(F.col("spend").alias("_own")), F.col("spend") > F.col("_own")).agg((F.count("*") + 1).cast("int").alias("rank"))
+    classes = curve.agg(F.count_if(F.col("abc") == "A").alias("n_class_a"))
+    of_one = hhi(df.filter(F.col("category") == category)).select("hhi", "top1", "top3", "level")
+    return own.crossJoin(rank).crossJoin(of_one).crossJoin(classes), curve.orderBy("rank").limit(top)  # one row each
+
+
+def concentration_of_top(df: DataFrame, id_column: str, top: int = 20, value: str = "total_price", supplier: str = "supplier_key") -> DataFrame:
+    """One row: spend of the `top` largest rows, its share of all, the supplier with most of it and that supplier's share of it."""
+    first = df.orderBy(F.desc(value), id_column).limit(top).select(supplier, F.col(value).alias("_v"))
+    per = first.groupBy(supplier).agg(F.sum("_v").alias("_s"))  # `top` rows at most
+    lead = per.agg(F.sum("_s").alias("top_spend"), F.max_by(supplier, F.struct("_s", supplier)).alias("supplier"), F.max("_s").alias("_m"))
+    out = lead.crossJoin(df.agg(F.sum(value).alias("spend")))  # one row each
+    pct = lambda a, b: F.round(100 * ratio(F.col(a), F.col(b)), 4)
+    return out.select(F.col("spend").cast("double").alias("spend"), F.col("top_spend").cast("double").alias("top_spend"), pct("top_spend", "spend").alias("top_share"), "supplier", pct("_m", "top_spend").alias("supplier_share"))

@@ -39,7 +39,7 @@ def day(name):
 # ---- spend ----
 
 @query("hhi_by_category", """
-WITH s AS (SELECT coalesce(category, 'sem categoria') AS category, supplier_key, sum(total_price) AS spend FROM items GROUP BY 1, 2),
+WITH s AS (SELECT coalesce(category, 'Não categorizado') AS category, supplier_key, sum(total_price) AS spend FROM items GROUP BY 1, 2),
 h AS (SELECT *, 100 * spend::DOUBLE / (sum(spend) OVER (PARTITION BY category))::DOUBLE AS share, row_number() OVER (PARTITION BY category ORDER BY spend DESC, supplier_key) AS r FROM s)
 SELECT category, count(*) AS n_suppliers, round(sum(share * share), 4) AS hhi, round(max(share), 4) AS top1, round(sum(share) FILTER (r <= 3), 4) AS top3,
        CASE WHEN round(sum(share * share), 4) < 1500 THEN 'nao concentrado' WHEN round(sum(share * share), 4) < 2500 THEN 'moderadamente concentrado' ELSE 'altamente concentrado' END AS level
@@ -59,14 +59,14 @@ def _(spark, d):
 
 
 @query("spend_by_category", """
-SELECT coalesce(category, 'sem categoria') AS category, sum(total_price)::DOUBLE AS spend, count(*) AS n_rows, count(DISTINCT supplier_key) AS n_suppliers, count(DISTINCT item_key) AS n_items,
+SELECT coalesce(category, 'Não categorizado') AS category, sum(total_price)::DOUBLE AS spend, count(*) AS n_rows, count(DISTINCT supplier_key) AS n_suppliers, count(DISTINCT item_key) AS n_items,
        round(100 * sum(total_price)::DOUBLE / (sum(sum(total_price)) OVER ())::DOUBLE, 4) AS pct FROM items GROUP BY 1""")
 def _(spark, d):
     return money(spend.by_category(items(spark, d)), "spend")
 
 
 @query("abc_curve", """
-WITH r AS (SELECT coalesce(category, 'sem categoria') AS category, supplier_key, total_price FROM items UNION ALL SELECT '__GLOBAL__', supplier_key, total_price FROM items),
+WITH r AS (SELECT coalesce(category, 'Não categorizado') AS category, supplier_key, total_price FROM items UNION ALL SELECT '__GLOBAL__', supplier_key, total_price FROM items),
 s AS (SELECT category, supplier_key, sum(total_price) AS spend FROM r GROUP BY 1, 2),
 c AS (SELECT category, supplier_key, spend::DOUBLE AS spend, row_number() OVER w AS rank,
              round(100 * (sum(spend) OVER (w ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(spend) OVER (PARTITION BY category))::DOUBLE, 6) AS cumulative
@@ -107,7 +107,7 @@ def _(spark, d):
     return out.withColumn("pct", F.col("pct").cast("double"))
 
 
-@query("value_range", "SELECT count(*) FILTER (unit_price < 1000) AS below, count(*) FILTER (unit_price = 0) AS zero, count(*) FILTER (unit_price IS NULL) AS missing FROM items")
+@query("value_range", "SELECT count(*) FILTER (unit_price < 1000) AS below, count(*) FILTER (unit_price = 0) AS zero, count(*) FILTER (unit_price IS NULL) AS missing, round(100 * count(*) FILTER (unit_price < 1000) / count(*)::DOUBLE, 2) AS below_pct, round(100 * count(*) FILTER (unit_price = 0) / count(*)::DOUBLE, 2) AS zero_pct FROM items")
 def _(spark, d):
     return quality.value_range(items(spark, d), "unit_price", 1000.0)
 
@@ -190,18 +190,18 @@ def _(spark, d):
 @query("unit_comparability", """
 WITH u AS (SELECT unit_item, unit, CASE WHEN unit = 'UNIDADE' THEN 'CONTAGEM' ELSE 'PESO' END AS dim FROM items),
 p AS (SELECT unit_item, count(DISTINCT unit) AS n, count(DISTINCT dim) AS k FROM u GROUP BY 1)
-SELECT unit_item, CASE WHEN n <= 1 THEN 'comparable' WHEN k = 1 THEN 'requires_conversion' ELSE 'unknown' END AS unit_flag FROM p""")
+SELECT unit_item, CASE WHEN n <= 1 THEN 'unit_comparable' WHEN k = 1 THEN 'unit_requires_conversion' ELSE 'unit_unknown' END AS unit_flag FROM p""")
 def _(spark, d):
     return cleaning.unit_comparability(items(spark, d), "unit_item", "unit")
 
 
 @query("unit_flag_shares", """
 WITH p AS (SELECT unit_item, count(DISTINCT unit) AS n, count(DISTINCT CASE WHEN unit = 'UNIDADE' THEN 'C' ELSE 'P' END) AS k FROM items GROUP BY 1),
-f AS (SELECT CASE WHEN n <= 1 THEN 'comparable' WHEN k = 1 THEN 'requires_conversion' ELSE 'unknown' END AS label FROM p)
+f AS (SELECT CASE WHEN n <= 1 THEN 'unit_comparable' WHEN k = 1 THEN 'unit_requires_conversion' ELSE 'unit_unknown' END AS label FROM p)
 SELECT l.label, count(f.label) AS n, round(100.0 * count(f.label) / (SELECT count(*) FROM f), 4)::DOUBLE AS pct
-FROM (VALUES ('comparable'), ('requires_conversion'), ('unknown')) l(label) LEFT JOIN f USING (label) GROUP BY 1""")
+FROM (VALUES ('unit_comparable'), ('unit_requires_conversion'), ('unit_unknown')) l(label) LEFT JOIN f USING (label) GROUP BY 1""")
 def _(spark, d):
-    out = cleaning.flag_shares(cleaning.unit_comparability(items(spark, d), "unit_item", "unit"), "unit_flag", ["comparable", "requires_conversion", "unknown"])
+    out = cleaning.flag_shares(cleaning.unit_comparability(items(spark, d), "unit_item", "unit"), "unit_flag", ["unit_comparable", "unit_requires_conversion", "unit_unknown"])
     return out.withColumn("pct", F.col("pct").cast("double"))
 
 
@@ -313,6 +313,10 @@ def _split(spark, d):
     return stored(pricing.split(pricing.baseline_rows(items(spark, d)), 1999, 2000, 2001))
 
 
+def _with_id(rows):
+    return rows.withColumn("id", F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")))
+
+
 def _errors(spark, d, *splits):
     """Errors of the medians of 1999 on later rows, those of unknown items too, with an id for each row."""
     rows = _split(spark, d)
@@ -427,7 +431,7 @@ def _(spark, d):
     return pricing.category_mix(items(spark, d).withColumn("year", F.year("result_date")), "category", "year", 1999, 2000)
 
 
-@query("category_mix_tvd", _MIX.replace("SELECT category, share_a, share_b, round(share_b - share_a, 6) AS delta_pp FROM m", "SELECT round(sum(abs(round(share_b - share_a, 6))) / 2, 4) AS tvd, arg_max(coalesce(category, 'sem categoria'), abs(round(share_b - share_a, 6))) AS largest FROM m"))
+@query("category_mix_tvd", _MIX.replace("SELECT category, share_a, share_b, round(share_b - share_a, 6) AS delta_pp FROM m", "SELECT round(sum(abs(round(share_b - share_a, 6))) / 2, 4) AS tvd, arg_max(coalesce(category, 'Não categorizado'), abs(round(share_b - share_a, 6))) AS largest FROM m"))
 def _(spark, d):
     return pricing.variation_distance(pricing.category_mix(items(spark, d).withColumn("year", F.year("result_date")), "category", "year", 1999, 2000))
 

@@ -96,7 +96,7 @@ def _(spark, d):
 @query("dim_item_units", """
 WITH u AS (SELECT unit_item, count(DISTINCT unit) AS n, count(DISTINCT CASE WHEN unit = 'UNIDADE' THEN 'C' ELSE 'P' END) AS k FROM items GROUP BY 1),
 c AS (SELECT unit_item, description, count(*) AS n FROM items GROUP BY 1, 2), m AS (SELECT unit_item, description FROM (SELECT *, row_number() OVER (PARTITION BY unit_item ORDER BY n DESC, description) AS r FROM c) WHERE r = 1)
-SELECT unit_item, count(*) AS n_rows, count(DISTINCT catalogue_code) AS n_codes, any_value(m.description) AS description, any_value(CASE WHEN u.n <= 1 THEN 'comparable' WHEN k = 1 THEN 'requires_conversion' ELSE 'unknown' END) AS unit_flag
+SELECT unit_item, count(*) AS n_rows, count(DISTINCT catalogue_code) AS n_codes, any_value(m.description) AS description, any_value(CASE WHEN u.n <= 1 THEN 'unit_comparable' WHEN k = 1 THEN 'unit_requires_conversion' ELSE 'unit_unknown' END) AS unit_flag
 FROM items JOIN u USING (unit_item) JOIN m USING (unit_item) GROUP BY 1""")
 def _(spark, d):
     out = star.dim_item(items(spark, d), item="unit_item", modes={"description": "description"}, unit="unit")
@@ -345,12 +345,6 @@ def _(spark, d):
     return table(spark, d, "part").groupBy("p_name").agg(F.when(F.min("p_brand") == F.max("p_brand"), F.min("p_brand")).alias("brand"))
 
 
-@query("sampled_orders")
-def _(spark, d):
-    """A bounded sample that is the same in every run: the orders of smallest hash."""
-    return table(spark, d, "orders").orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(500)
-
-
 @query("source_files", "SELECT DISTINCT 's3/item/dt=' || strftime(o_orderdate, '%Y-%m-%d') || '/item.csv' AS path FROM orders", over_items=False)
 def _(spark, d):
     return table(spark, d, "orders").select(files.source_path(F.col("o_orderdate"), F.lit("item"), "s3").alias("path")).distinct()

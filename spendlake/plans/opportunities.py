@@ -106,11 +106,11 @@ def _(spark, d):
 _OPP = _BASE + """,
 h AS (SELECT item_key, count(*) AS n_history, median(unit_price) AS history_median, quantile_cont(unit_price, 0.25) AS history_p25, quantile_cont(unit_price, 0.75) AS history_p75 FROM c WHERE year IN (1999, 2000) GROUP BY 1),
 un AS (SELECT unit_item, count(DISTINCT unit) AS n, count(DISTINCT CASE WHEN unit = 'UNIDADE' THEN 'C' ELSE 'P' END) AS k FROM items GROUP BY 1),
-uf AS (SELECT unit_item, CASE WHEN n <= 1 THEN 'comparable' WHEN k = 1 THEN 'requires_conversion' ELSE 'unknown' END AS unit_flag FROM un),
+uf AS (SELECT unit_item, CASE WHEN n <= 1 THEN 'unit_comparable' WHEN k = 1 THEN 'unit_requires_conversion' ELSE 'unit_unknown' END AS unit_flag FROM un),
 cf AS (SELECT purchase_item_id, min(date_trunc('quarter', result_date)) = max(date_trunc('quarter', result_date)) AND min(total_price) < max(total_price) AS conflicting FROM items GROUP BY 1),
 a0 AS (SELECT d.* EXCLUDE (total_price, unit_item), d.unit_item, round(d.total_price::DOUBLE / 1000) * 1000 AS total_price, (unit_price - expected) * quantity AS saving, n_history, history_median, history_p25, history_p75, unit_flag, conflicting
   FROM d LEFT JOIN h USING (item_key) LEFT JOIN uf ON d.unit_item = uf.unit_item LEFT JOIN cf ON d.purchase_item_id = cf.purchase_item_id WHERE direction = 'acima' AND year = 2001),
-a1 AS (SELECT *, saving >= 10000 AS high_ticket, coalesce(n_history < 5, false) AS few_history, coalesce(unit_flag <> 'comparable', true) AS unit_not_comparable,
+a1 AS (SELECT *, saving >= 10000 AS high_ticket, coalesce(n_history < 5, false) AS few_history, coalesce(unit_flag <> 'unit_comparable', true) AS unit_not_comparable,
   coalesce(100 * abs(unit_price * quantity - total_price) / nullif(abs(total_price), 0) > 1, false) AS total_mismatch, round(saving, 4)::DECIMAL(24,4) AS s FROM a0),
 a2 AS (SELECT *, CASE WHEN few_history OR unit_not_comparable OR total_mismatch OR conflicting THEN 'Baixa' WHEN high_ticket THEN 'Revisao Alto Valor' ELSE 'Alta' END AS confidence,
   high_ticket::INT + few_history::INT + unit_not_comparable::INT + total_mismatch::INT + conflicting::INT AS n_cautions, coalesce(sum(s) OVER (ORDER BY s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(s) OVER ())::DOUBLE AS share FROM a1),
@@ -198,7 +198,7 @@ def _(spark, d):
     return out.crossJoin(spend.hhi(rows, "segment").agg(F.count_if(F.col("hhi") >= 2500).alias("n_concentrated")))  # one row each
 
 
-@query("leading_categories", _OPP + """, x AS (SELECT coalesce(category, 'sem categoria') AS category, sum(total_price) AS x FROM items GROUP BY 1), y AS (SELECT category, sum(s) AS y FROM q GROUP BY 1)
+@query("leading_categories", _OPP + """, x AS (SELECT coalesce(category, 'Não categorizado') AS category, sum(total_price) AS x FROM items GROUP BY 1), y AS (SELECT category, sum(s) AS y FROM q GROUP BY 1)
 SELECT (SELECT category FROM x ORDER BY x DESC, category LIMIT 1) AS by_spend, (SELECT round(100 * max(x)::DOUBLE / sum(x)::DOUBLE, 4) FROM x) AS spend_share, (SELECT category FROM y ORDER BY y DESC, category LIMIT 1) AS by_saving""")
 def _(spark, d):
     per = items(spark, d).groupBy(F.coalesce("category", F.lit(spend.UNCLASSIFIED)).alias("category")).agg(F.sum("total_price").alias("x"))
@@ -283,7 +283,7 @@ WITH m AS (SELECT item_key, count(*) AS n, median(ln(unit_price)) AS med, stddev
 a AS (SELECT item_key, median(abs(ln(unit_price) - med)) AS mad FROM items JOIN m USING (item_key) WHERE unit_price IS NOT NULL AND n >= 5 GROUP BY 1),
 z AS (SELECT i.*, coalesce(abs(CASE WHEN mad > 0 THEN 0.6745 * (ln(unit_price) - med) / mad WHEN sd > 0 THEN (ln(unit_price) - med) / sd END) > 3.5, false) AS o FROM items i LEFT JOIN m USING (item_key) LEFT JOIN a USING (item_key)),
 f AS (SELECT * FROM z WHERE NOT o AND total_price::DOUBLE <= 1.8 * (SELECT median(total_price::DOUBLE) FROM z WHERE NOT o))
-SELECT coalesce(category, 'sem categoria') AS category, sum(total_price)::DOUBLE AS spend, count(*) AS n_rows FROM f WHERE category IS NOT NULL GROUP BY 1""")
+SELECT coalesce(category, 'Não categorizado') AS category, sum(total_price)::DOUBLE AS spend, count(*) AS n_rows FROM f WHERE category IS NOT NULL GROUP BY 1""")
 def _(spark, d):
     from ..operators import star
 

@@ -1,6 +1,6 @@
 """All queries of the library by name, with their SQL."""
 
-from .plans import exploration, opportunities  # they add their queries
+from .plans import exploration, opportunities, reports  # they add their queries
 from .plans.analytics import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "exploration", "opportunities"]
+__all__ = ["QUERIES", "SQL", "exploration", "opportunities", "reports"]

@@ -29,7 +29,7 @@ def test_item_key_and_booleans(spark):
 
 def test_unit_comparability(spark):
     df = spark.createDataFrame([("a", "GRAMA"), ("a", "QUILOGRAMA"), ("a", "X 500,00 G"), ("b", "QUILOGRAMA"), ("b", "UNIDADE"), ("c", "UNIDADE"), ("d", None), (None, "G")], "i string, u string")
-    assert dict(cleaning.unit_comparability(df, "i", "u").collect()) == {"a": "requires_conversion", "b": "unknown", "c": "comparable", "d": "comparable"}
+    assert dict(cleaning.unit_comparability(df, "i", "u").collect()) == {"a": "unit_requires_conversion", "b": "unit_unknown", "c": "unit_comparable", "d": "unit_comparable"}
 
 
 def test_revisions_keep_the_newest_and_same_date_pairs(spark):
@@ -58,7 +58,7 @@ def test_hhi_and_abc(spark):
 def test_quality(spark):
     df = spark.createDataFrame([(1, 10.0), (1, -5.0), (2, 0.0), (3, None)], "k int, v double")
     assert one(quality.key_duplicates(df, "k"))["duplicates"] == 1
-    assert one(quality.value_range(df, "v")) == {"below": 1, "zero": 1, "missing": 1}
+    assert one(quality.value_range(df, "v")) == {"below": 1, "zero": 1, "missing": 1, "below_pct": 25.0, "zero_pct": 25.0}
     assert {(r.column, r.status, r.filled) for r in quality.schema_drift(df, ["k", "c"]).collect()} == {("k", "expected", df.filter("k is not null").count()), ("v", "new", df.filter("v is not null").count()), ("c", "missing", None)}
     assert quality.null_profile(df.limit(0)).collect()[0].pct is None
 
