@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -90,7 +89,7 @@ def tuned(
     both = stored(rows(train, False).unionByName(rows(validation, True)))  # read by each fit
     found = [(1, *x) for x in _fits(both, [(d, m, step, rounds) for d, m in dict.fromkeys([first, *candidates])], parallel)]
     best = min(found, key=lambda x: (x[5], x[1], x[2]))
-    found += [(2, *x) for x in _fits(both, [(best[1], best[2], s, math.ceil(rounds * step / s)) for s in steps], parallel)]
+    found += [(2, *x) for x in _fits(both, [(best[1], best[2], s, max(1, round(rounds * step / s))) for s in steps], parallel)]
     out = train.sparkSession.createDataFrame(found, "stage int, depth int, least int, step double, rounds int, mae_log double")  # a row for each candidate
     of_first = F.max(F.when((F.col("stage") == 1) & (F.col("depth") == first[0]) & (F.col("least") == first[1]), F.col("mae_log"))).over(Window.partitionBy())
     out = out.withColumn("gain_pct", F.round(100 * ratio(of_first - F.col("mae_log"), of_first), 4))

@@ -1,4 +1,5 @@
 import datetime
+from hashlib import md5 as stats_md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,13 +170,43 @@ def _priced(spark, first, last):
     return models.engineer(rows.withColumn("unit_price", F.exp(1 + F.substring("item_key", 2, 1).cast("double") - 0.1 * F.log1p("quantity") + 0.01 * (F.abs(F.xxhash64("id")) % 100) / 100)))
 
 
-def test_tuning_ranks_candidates(spark):
+def test_tuning_in_two_stages(spark):
     prior = models.target_mean(_priced(spark, 0, 300))
     train, later = (models.with_prior(_priced(spark, *r), prior, 0.0) for r in ((0, 300), (300, 400)))
-    out = models.tuned(train, later, candidates=((1, 10), (3, 10)), first=(1, 150), rounds=3).toPandas()
-    assert sorted(zip(out.depth, out.least)) == [(1, 10), (1, 150), (3, 10)] and list(out["rank"]) == [1, 2, 3]
-    assert (out.depth[0], out.least[0]) == (3, 10) and list(out.mae_log) == sorted(out.mae_log) and out.gain_pct[0] > 0
-    assert out[out.least == 150].gain_pct.iloc[0] == 0 and out.rounds.between(1, 3).all()
+    out = models.tuned(train, later, candidates=((1, 10), (3, 10)), first=(1, 150), rounds=3, steps=(0.05, 0.3)).toPandas()
+    one, two = out[out.stage == 1], out[out.stage == 2]
+    assert sorted(zip(one.depth, one.least)) == [(1, 10), (1, 150), (3, 10)] and list(out["rank"]) == [1, 2, 3, 4, 5]
+    assert set(zip(two.depth, two.least, two.step)) == {(3, 10, 0.05), (3, 10, 0.3)} and list(out.mae_log) == sorted(out.mae_log)
+    assert (out.depth[0], out.least[0]) == (3, 10) and out.gain_pct[0] >= one.gain_pct.max() > 0
+    assert one[one.least == 150].gain_pct.iloc[0] == 0 and one.rounds.between(1, 3).all() and two.rounds.between(1, 6).all()
+
+
+def test_the_planted_feature_has_the_largest_effect(spark):
+    rows = models.with_prior(_priced(spark, 0, 600), models.target_mean(_priced(spark, 0, 600)), 0.0)
+    model = models.trees(rows, rounds=3)
+    out = {r.feature: (r.increase, r.own) for r in models.importance(model, rows, ["log_quantity", "prior", "category", "uf"], "id").collect()}
+    assert max(out, key=lambda f: out[f][0]) == "prior" and out["prior"][0] > 10 * max(abs(out["uf"][0]), 1e-9) and out[""] == (0.0, None)
+    assert max((f for f in out if f), key=lambda f: out[f][1]) == "prior" and abs(sum(v for f, (_, v) in out.items() if f) - 1) < 1e-6
+    assert models.own_importance(models.ridge(rows)) == {}
+
+
+def test_unseen_levels_are_missing(spark):
+    rows = [("a", "SP", 1), ("b", None, 1), ("c", "RJ", 2), (None, "SP", 2)]
+    df = spark.createDataFrame(rows, "category string, uf string, part int").fillna(models.MISSING, ["category", "uf"])
+    levels = models.vocabulary(df.filter("part = 1"))
+    assert sorted(map(tuple, levels.collect())) == [("category", "a", 1), ("category", "b", 1), ("uf", "SP", 1), ("uf", models.MISSING, 1)]
+    got = sorted(map(tuple, models.with_levels(df, levels).select("category", "uf", "part").collect()))
+    assert got == sorted([("a", "SP", 1), ("b", models.MISSING, 1), (models.MISSING, models.MISSING, 2), (models.MISSING, "SP", 2)])
+
+
+def test_samples_are_bounded_whole_and_the_same(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 < 9, "hot").when(F.col("id") % 20 == 9, "b").alias("g")).unionByName(spark.createDataFrame([(7, "hot"), (7, "hot")], "id long, g string"))
+    per = {r.g: r["count"] for r in tables.sampled(df, 300, "id", ["g"]).groupBy("g").count().collect()}
+    assert per == {"hot": 300, "b": 250, None: 250}
+    ids = lambda n: sorted(r.id for r in tables.sampled(df.repartition(n), 50, "id").collect())
+    md5 = lambda k: stats_md5(f"42-{k}".encode()).hexdigest()
+    assert ids(2) == ids(7) == sorted(sorted([*range(5000), 7, 7], key=lambda k: (md5(k), k))[:50])
+    assert tables.sampled(df.limit(0), 5, "id").count() == 0
 
 
 def test_out_of_time_protocol(spark):
