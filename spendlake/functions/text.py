@@ -4,17 +4,45 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks that Unicode decomposes, by the plain letter they decompose to.
-_MARKED = {
-    plain: "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0] == plain and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", chr(c))[1:]))
-    for plain in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-}
-_ACCENTED = "".join(_MARKED.values())
-_PLAIN = "".join(k * len(v) for k, v in _MARKED.items())
+#: Hangul syllables decompose by a rule of their own.
+HANGUL = ("\uac00", "\ud7a3")
+
+
+def _decomposed(code: int) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+
+
+@cache
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one without marks, these, and those that decompose to several; marks stand at the end of the first, without a partner."""
+    one, gone, several = {}, [], {}
+    for code in (*range(0x80, 0xAC00), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)):
+        c, plain = chr(code), _decomposed(code)
+        if plain != c:
+            if len(plain) == 1:
+                one[c] = plain
+            elif plain:
+                several[c] = plain
+            else:
+                gone.append(c)
+    return "".join(one) + "".join(gone), "".join(one.values()), several
+
+
+def _class(chars: Sequence[str]) -> str:
+    """A regular expression of these characters, neighbours as ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+
 
 # Unit codes with their dimension and factor to the canonical unit, and bare unit words.
 UNIT_CODES = {"KG": ("PESO", 1000.0), "GR": ("PESO", 1.0), "G": ("PESO", 1.0), "ML": ("VOLUME", 1.0), "L": ("VOLUME", 1000.0)}
@@ -48,8 +76,22 @@ TYPOS = {"desaude": "de saude"}
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their accents, marks on their own removed; null stays null."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{M}+", "")
+    """Text decomposed by compatibility (NFKD), without combining marks; null stays null.
+
+    Characters that become one other character, or none, are translated. Texts that hold any that become several go character by character.
+    """
+    source, target, several = _tables()
+    one = lambda x: F.translate(x, source, target)
+
+    def character(x: Column) -> Column:
+        s = F.ascii(x) - 0xAC00
+        tail = F.when(s % 28 > 0, F.hex(0x11A7 + s % 28)).otherwise("")
+        jamo = F.decode(F.unhex(F.concat(F.hex(0x1100 + F.floor(s / 588)), F.hex(0x1161 + F.floor(s % 588 / 28)), tail)), "UTF-16BE")
+        wide = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())), F.lit("\x02"), F.lit("\x01"))[x]
+        return F.when(x.between(*HANGUL), jamo).when(x.rlike(_class(list(several))), wide).otherwise(one(x))
+
+    many = c.rlike(_class(list(several))[:-1] + rf"{HANGUL[0]}-{HANGUL[1]}]")
+    return F.when(many, F.array_join(F.transform(F.split(c, ""), character), "")).otherwise(one(c))
 
 
 def has_word(c: Column, words: Sequence[str]) -> Column:

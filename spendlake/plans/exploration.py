@@ -275,10 +275,11 @@ def _(spark, d):
 # ---- single steps ----
 
 
-@query("item_keys", "SELECT lower(trim(regexp_replace(strip_accents(coalesce(text, '')), '[ \\n\\t\\r\\f\\x0B]+', ' ', 'g'))) AS item_key, count(*) AS n FROM (SELECT substr(text, 1, 40) AS text FROM documents) WHERE regexp_full_match(text, '[ -~\\n\\t\\r\\x{00C0}-\\x{017F}]+') GROUP BY 1", over_items=False)
+@query("item_keys", "SELECT md5(trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '\\bdesaude\\b', 'de saude', 'g'), '[ \\n\\t\\r\\f\\x0B]+', ' ', 'g'))) AS item_key, count(*) AS n FROM documents GROUP BY 1", over_items=False)
 def _(spark, d):
-    rows = table(spark, d, "documents").select(F.substring("text", 1, 40).alias("text")).filter(F.col("text").rlike("^[ -~\\n\\t\\rÀ-ſ]+$"))
-    return rows.groupBy(F.coalesce(text.item_key(F.col("text")), F.lit("")).alias("item_key")).agg(F.count("*").alias("n"))
+    """Keys of whole texts, as hashes, and how many texts share each."""
+    keys = table(spark, d, "documents").select(F.md5(F.coalesce(text.item_key(F.col("text")), F.lit("")).cast("binary")).alias("item_key"))
+    return keys.groupBy("item_key").agg(F.count("*").alias("n"))
 
 
 @query("date_keys", f"WITH x AS (SELECT try_cast({_DATES} AS DATE) AS t FROM lineitem) SELECT strftime(t, '%Y%m%d')::INT AS date_key, count(*) AS n FROM x GROUP BY 1", over_items=False)

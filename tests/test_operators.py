@@ -1,4 +1,5 @@
 import datetime
+import unicodedata
 from hashlib import md5 as stats_md5
 
 import pytest
@@ -21,6 +22,14 @@ def test_parse_unit(spark):
     assert [tuple(r) for r in df.select(dim, value).collect()] == [("PESO", 500.0), ("VOLUME", 1000.0), ("PESO", 1000.0), ("CONTAGEM", None), (None, None), (None, None)]
 
 
+def test_accents_of_all_characters(spark):
+    plain = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x30000)) if c % 3 == 0 or plain(chr(c)) != chr(c)]
+    rows = ["".join(every[k : k + 50]) for k in range(0, len(every), 50)] + ["Papéis ﬁnos Ångström ½ 한국어 ｶﾞ", "", None]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").repartition(4).select("t", text.strip_accents(F.col("t")).alias("p")).collect()
+    assert len(got) == len(rows) and all(r.p == (None if r.t is None else plain(r.t)) for r in got)
+
+
 def test_item_key_and_booleans(spark):
     df = spark.createDataFrame([("  Papél   A4 ",), ("papel a4",), ("",), (None,)], "x string")
     assert [r[0] for r in df.select(text.item_key(F.col("x"))).collect()] == ["papel a4", "papel a4", None, None]
