@@ -44,8 +44,9 @@ def _class(chars: Sequence[str]) -> str:
     return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
 
 
-# Unit codes with their dimension and factor to the canonical unit, and bare unit words.
+# Unit codes with their dimension and factor to the canonical unit, the pattern that finds them, and bare unit words.
 UNIT_CODES = {"KG": ("PESO", 1000.0), "GR": ("PESO", 1.0), "G": ("PESO", 1.0), "ML": ("VOLUME", 1.0), "L": ("VOLUME", 1000.0)}
+UNIT_PATTERN = r"(\d+(?:,\d+)?)\s*(KG|GR|ML|L|G)\b"
 UNIT_WORDS = {
     "QUILOGRAMA": ("PESO", 1000.0),
     "GRAMA": ("PESO", 1.0),
@@ -119,9 +120,8 @@ def item_key(c: Column, fixes: Mapping[str, str] = TYPOS) -> Column:
 def parse_unit(c: Column) -> tuple[Column, Column]:
     """Dimension and canonical value of a unit text such as `EMBALAGEM 500,00 G`; null where it cannot be read."""
     unit = normalize_unit(c)
-    pattern = r"(\d+(?:,\d+)?)\s*(KG|GR|ML|L|G)\b"
-    number = F.nullif(F.regexp_replace(F.regexp_extract(unit, pattern, 1), ",", "."), F.lit("")).try_cast("double")
-    code = F.regexp_extract(unit, pattern, 2)
+    number = F.nullif(F.regexp_replace(F.regexp_extract(unit, UNIT_PATTERN, 1), ",", "."), F.lit("")).try_cast("double")
+    code = F.regexp_extract(unit, UNIT_PATTERN, 2)
     dims, factors, word_dims, word_values = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("double")
     for name, (dim, factor) in UNIT_CODES.items():
         dims, factors = F.when(code == name, dim).otherwise(dims), F.when(code == name, factor).otherwise(factors)

@@ -165,3 +165,13 @@ def silver_report(bronze: DataFrame, rows: DataFrame) -> DataFrame:
     names = last.columns
     long = last.select(*(F.col(c).cast("double") for c in names)).unpivot([], names, "metric", "value")
     return measures[0].unionByName(measures[1]).unionByName(long)
+
+
+def date_key(day):
+    """Column: a date as a whole number yyyyMMdd."""
+    return F.date_format(day, "yyyyMMdd").cast("int")
+
+
+def day_of_key(key):
+    """Column: the date of a whole number yyyyMMdd; null where it is none."""
+    return F.try_to_date(F.lpad(key.cast("string"), 8, "0"), "yyyyMMdd")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,31 +10,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item rows: a row for each line, with its header's and item's attributes."""
-    t = lambda name: table(spark, sf_dir, name)
-    rows = t("lineitem").join(t("part"), F.expr("l_partkey = p_partkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey"))
-    rows = rows.join(t("orders"), F.expr("l_orderkey = o_orderkey")).join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("nation"), F.expr("c_nationkey = n_nationkey"))
-    return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("purchase_item_id"),
-        F.lpad(F.col("l_suppkey").cast("string"), 14, "0").alias("supplier_key"),
-        F.col("s_name").alias("supplier_name"),
-        F.col("o_orderkey").cast("string").alias("purchase_id"),
-        F.to_date("l_shipdate").alias("result_date"),
-        F.col("l_quantity").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("total_price"),
-        F.when((F.col("l_returnflag") != "N") | (F.col("l_linenumber") != 7), F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.col("l_partkey").cast("string").alias("item_key"),
-        F.col("p_name").alias("description"),
-        F.concat_ws(" ", "p_name", "p_brand").alias("unit_item"),
-        F.when(F.col("p_size") <= 10, "UNIDADE").when(F.col("p_size") <= 30, F.concat(F.lit("EMBALAGEM "), "p_size", F.lit(",00 G"))).otherwise("QUILOGRAMA").alias("unit"),
-        F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")).alias("catalogue_code"),
-        F.nullif("p_type", F.lit("PROMO")).alias("category"),
-        F.concat_ws("/", "p_brand", "s_nationkey").alias("segment"),
-        F.col("n_name").alias("uf"),
-        F.col("o_orderpriority").alias("modality"),
-        F.col("c_custkey").alias("buyer_key"),
-    )
+#: Tables beside the lines that a column comes from, each with its condition; the later ones need those before them.
+_JOINS = {
+    "part": "l_partkey = p_partkey",
+    "supplier": "l_suppkey = s_suppkey",
+    "orders": "l_orderkey = o_orderkey",
+    "customer": "o_custkey = c_custkey",
+    "nation": "c_nationkey = n_nationkey",
+}
+_FROM = {"supplier_name": ["supplier"], "description": ["part"], "unit_item": ["part"], "unit": ["part"], "category": ["part"], "segment": ["part", "supplier"], "uf": ["orders", "customer", "nation"], "modality": ["orders"], "buyer_key": ["orders"]}
+
+
+def items(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Item rows: a row for each line, with its header's and item's attributes; all columns or the named ones.
+
+    Keys of these tables are whole, so a table that no named column comes from is not joined.
+    """
+    needed = set(_JOINS) if not names else {t for n in names for t in _FROM.get(n, ())}
+    rows = table(spark, sf_dir, "lineitem")
+    for name, on in _JOINS.items():
+        if name in needed:
+            rows = rows.join(table(spark, sf_dir, name), F.expr(on))
+    every = _columns()
+    return rows.select(*(every[n].alias(n) for n in names or every))
+
+
+NAMES = ("purchase_item_id", "supplier_key", "supplier_name", "purchase_id", "result_date", "quantity", "total_price", "unit_price", "item_key", "description", "unit_item", "unit", "catalogue_code", "category", "segment", "uf", "modality", "buyer_key")
+
+
+def _columns() -> dict[str, Column]:
+    columns = [
+        F.concat_ws("-", "l_orderkey", "l_linenumber"),
+        F.lpad(F.col("l_suppkey").cast("string"), 14, "0"),
+        F.col("s_name"),
+        F.col("l_orderkey").cast("string"),
+        F.to_date("l_shipdate"),
+        F.col("l_quantity"),
+        F.col("l_extendedprice").cast("decimal(18,2)"),
+        F.when((F.col("l_returnflag") != "N") | (F.col("l_linenumber") != 7), F.col("l_extendedprice") / F.col("l_quantity")),
+        F.col("l_partkey").cast("string"),
+        F.col("p_name"),
+        F.concat_ws(" ", "p_name", "p_brand"),
+        F.when(F.col("p_size") <= 10, "UNIDADE").when(F.col("p_size") <= 30, F.concat(F.lit("EMBALAGEM "), "p_size", F.lit(",00 G"))).otherwise("QUILOGRAMA"),
+        F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")),
+        F.nullif("p_type", F.lit("PROMO")),
+        F.concat_ws("/", "p_brand", "s_nationkey"),
+        F.col("n_name"),
+        F.col("o_orderpriority"),
+        F.col("o_custkey"),
+    ]
+    return dict(zip(NAMES, columns, strict=True))
 
 
 ITEMS = """items AS (

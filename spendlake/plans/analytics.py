@@ -45,7 +45,7 @@ SELECT category, count(*) AS n_suppliers, round(sum(share * share), 4) AS hhi, r
        CASE WHEN round(sum(share * share), 4) < 1500 THEN 'nao concentrado' WHEN round(sum(share * share), 4) < 2500 THEN 'moderadamente concentrado' ELSE 'altamente concentrado' END AS level
 FROM h GROUP BY 1""")
 def _(spark, d):
-    return spend.hhi(items(spark, d))
+    return spend.hhi(items(spark, d, "category", "supplier_key", "total_price"))
 
 
 @query("hhi_by_segment", """
@@ -55,14 +55,14 @@ SELECT segment, count(*) AS n_suppliers, round(sum(share * share), 4) AS hhi, ro
        CASE WHEN round(sum(share * share), 4) < 1500 THEN 'nao concentrado' WHEN round(sum(share * share), 4) < 2500 THEN 'moderadamente concentrado' ELSE 'altamente concentrado' END AS level
 FROM h GROUP BY 1""")
 def _(spark, d):
-    return spend.hhi(items(spark, d), "segment")
+    return spend.hhi(items(spark, d, "segment", "supplier_key", "total_price"), "segment")
 
 
 @query("spend_by_category", """
 SELECT coalesce(category, 'Não categorizado') AS category, sum(total_price)::DOUBLE AS spend, count(*) AS n_rows, count(DISTINCT supplier_key) AS n_suppliers, count(DISTINCT item_key) AS n_items,
        round(100 * sum(total_price)::DOUBLE / (sum(sum(total_price)) OVER ())::DOUBLE, 4) AS pct FROM items GROUP BY 1""")
 def _(spark, d):
-    return money(spend.by_category(items(spark, d)), "spend")
+    return money(spend.by_category(items(spark, d, "category", "supplier_key", "item_key", "total_price")), "spend")
 
 
 @query("abc_curve", """
@@ -73,7 +73,7 @@ c AS (SELECT category, supplier_key, spend::DOUBLE AS spend, row_number() OVER w
       FROM s WINDOW w AS (PARTITION BY category ORDER BY spend DESC, supplier_key))
 SELECT *, CASE WHEN cumulative <= 80 THEN 'A' WHEN cumulative <= 95 THEN 'B' ELSE 'C' END AS abc FROM c""")
 def _(spark, d):
-    return money(spend.abc_curve(items(spark, d)), "spend")
+    return money(spend.abc_curve(items(spark, d, "category", "supplier_key", "total_price")), "spend")
 
 
 @query("extreme_by_global_median", """
@@ -85,7 +85,7 @@ def _(spark, d):
 
 @query("spend_by_year", "SELECT year(result_date)::INT AS year, count(*) AS n, sum(total_price)::DOUBLE AS spend FROM items GROUP BY 1")
 def _(spark, d):
-    return items(spark, d).groupBy(F.year("result_date").alias("year")).agg(F.count("*").alias("n"), F.sum("total_price").cast("double").alias("spend"))
+    return items(spark, d, "result_date", "total_price").groupBy(F.year("result_date").alias("year")).agg(F.count("*").alias("n"), F.sum("total_price").cast("double").alias("spend"))
 
 
 # ---- quality ----
@@ -95,7 +95,7 @@ WITH n AS (SELECT count(*) AS t, count(*) FILTER (unit_price IS NULL) AS unit_pr
 SELECT 'unit_price' AS "column", unit_price AS nulls, round(100.0 * unit_price / t, 2)::DOUBLE AS pct, 'double' AS kind FROM n UNION ALL
 SELECT 'catalogue_code', catalogue_code, round(100.0 * catalogue_code / t, 2)::DOUBLE, 'bigint' FROM n UNION ALL SELECT 'category', category, round(100.0 * category / t, 2)::DOUBLE, 'string' FROM n""")
 def _(spark, d):
-    out = quality.null_profile(items(spark, d).select("unit_price", "catalogue_code", "category"))
+    out = quality.null_profile(items(spark, d, "unit_price", "catalogue_code", "category"))
     return out.withColumn("pct", F.col("pct").cast("double"))  # kinds: double, bigint, string
 
 
@@ -103,13 +103,13 @@ def _(spark, d):
 WITH g AS (SELECT count(*) AS n FROM items GROUP BY purchase_item_id, supplier_key)
 SELECT sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS duplicates, round(100.0 * sum(n - 1) / sum(n), 4)::DOUBLE AS pct FROM g""")
 def _(spark, d):
-    out = quality.key_duplicates(items(spark, d), "purchase_item_id", "supplier_key")
+    out = quality.key_duplicates(items(spark, d, "purchase_item_id", "supplier_key"), "purchase_item_id", "supplier_key")
     return out.withColumn("pct", F.col("pct").cast("double"))
 
 
 @query("value_range", "SELECT count(*) FILTER (unit_price < 1000) AS below, count(*) FILTER (unit_price = 0) AS zero, count(*) FILTER (unit_price IS NULL) AS missing, round(100 * count(*) FILTER (unit_price < 1000) / count(*)::DOUBLE, 2) AS below_pct, round(100 * count(*) FILTER (unit_price = 0) / count(*)::DOUBLE, 2) AS zero_pct FROM items")
 def _(spark, d):
-    return quality.value_range(items(spark, d), "unit_price", 1000.0)
+    return quality.value_range(items(spark, d, "unit_price"), "unit_price", 1000.0)
 
 
 @query("unit_heterogeneity", """
@@ -157,7 +157,7 @@ WITH g AS (SELECT purchase_item_id, supplier_key, result_date, total_price, min(
                   row_number() OVER (w ORDER BY result_date DESC, total_price) AS r FROM items WINDOW w AS (PARTITION BY purchase_item_id, supplier_key))
 SELECT purchase_item_id, supplier_key, result_date::VARCHAR AS result_date, total_price::DOUBLE AS total_price FROM g WHERE NOT many OR r = 1""")
 def _(spark, d):
-    rows = items(spark, d).select("purchase_item_id", "supplier_key", "result_date", "total_price")
+    rows = items(spark, d, "purchase_item_id", "supplier_key", "result_date", "total_price")
     out = cleaning.resolve_revisions(rows, ["purchase_item_id", "supplier_key"], "result_date")
     return money(out, "total_price").withColumn("result_date", day("result_date"))
 
@@ -166,7 +166,7 @@ def _(spark, d):
 WITH c AS (SELECT purchase_item_id, min(date_trunc('quarter', result_date)) = max(date_trunc('quarter', result_date)) AND min(total_price) < max(total_price) AS c FROM items GROUP BY 1)
 SELECT c AS conflict, count(*) AS n, sum(total_price)::DOUBLE AS spend FROM items JOIN c USING (purchase_item_id) GROUP BY 1""")
 def _(spark, d):
-    rows = items(spark, d).withColumn("period", F.trunc("result_date", "quarter"))
+    rows = items(spark, d, "purchase_item_id", "result_date", "total_price").withColumn("period", F.trunc("result_date", "quarter"))
     return cleaning.flag_conflicts(rows, "purchase_item_id", "period", "total_price").groupBy("conflict").agg(F.count("*").alias("n"), F.sum("total_price").cast("double").alias("spend"))
 
 
@@ -174,7 +174,7 @@ def _(spark, d):
 WITH c AS (SELECT purchase_item_id, min(date_trunc('quarter', result_date)) = max(date_trunc('quarter', result_date)) AND min(total_price) < max(total_price) AS c FROM items GROUP BY 1)
 SELECT sum(total_price)::DOUBLE AS gross, (sum(total_price) FILTER (NOT c))::DOUBLE AS net, count(*) FILTER (c) AS n_excluded, (sum(total_price) FILTER (c))::DOUBLE AS excluded, round(100 * (sum(total_price) FILTER (c))::DOUBLE / sum(total_price)::DOUBLE, 4) AS pct FROM items JOIN c USING (purchase_item_id)""")
 def _(spark, d):
-    rows = items(spark, d).withColumn("period", F.trunc("result_date", "quarter"))
+    rows = items(spark, d, "purchase_item_id", "result_date", "total_price").withColumn("period", F.trunc("result_date", "quarter"))
     flagged = cleaning.flag_conflicts(rows, "purchase_item_id", "period", "total_price")
     return money(cleaning.spend_total(flagged, "total_price", "conflict"), "gross", "net", "excluded")
 
@@ -207,7 +207,7 @@ def _(spark, d):
 
 @query("suppliers_per_item", "WITH p AS (SELECT item_key, count(DISTINCT supplier_key) AS n_partners FROM items GROUP BY 1) SELECT n_partners, count(*) AS n_items FROM p GROUP BY 1")
 def _(spark, d):
-    return cleaning.partners_per_item(items(spark, d), "item_key", "supplier_key")
+    return cleaning.partners_per_item(items(spark, d, "item_key", "supplier_key"), "item_key", "supplier_key")
 
 
 @query("key_violations", """
@@ -227,7 +227,7 @@ def _(spark, d):
 @query("latest_header", """
 SELECT buyer_key, purchase_id FROM (SELECT buyer_key, purchase_id, row_number() OVER (PARTITION BY buyer_key ORDER BY result_date DESC, purchase_id) AS r FROM items) WHERE r = 1""")
 def _(spark, d):
-    return star.latest_per_key(items(spark, d).select("buyer_key", "result_date", "purchase_id"), "buyer_key", "result_date").select("buyer_key", "purchase_id")
+    return star.latest_per_key(items(spark, d, "buyer_key", "result_date", "purchase_id"), "buyer_key", "result_date").select("buyer_key", "purchase_id")
 
 
 @query("dim_item", """
@@ -284,13 +284,13 @@ z AS (SELECT v.*, CASE WHEN mad > 0 THEN 0.6745 * (x - med) / mad WHEN sd > 0 TH
 
 @query("modified_zscore", _Z + "SELECT purchase_item_id, supplier_key, result_date::VARCHAR AS result_date, round(z, 6) AS z FROM z")
 def _(spark, d):
-    rows = items(spark, d).withColumn("x", F.ln("unit_price"))
+    rows = items(spark, d, "purchase_item_id", "supplier_key", "result_date", "item_key", "unit_price").withColumn("x", F.ln("unit_price"))
     return modified_zscore(rows, "item_key", "x").select("purchase_item_id", "supplier_key", day("result_date"), F.round("z", 6).alias("z"))
 
 
 @query("value_outliers", _Z + "SELECT purchase_item_id, supplier_key, result_date::VARCHAR AS result_date, 'unit_price' AS reason FROM z WHERE abs(z) > 2.5")
 def _(spark, d):
-    return star.flag_value_outliers(items(spark, d), "item_key", ["unit_price"], 2.5, total=None).filter("is_outlier").select("purchase_item_id", "supplier_key", day("result_date"), "reason")
+    return star.flag_value_outliers(items(spark, d, "purchase_item_id", "supplier_key", "result_date", "item_key", "unit_price"), "item_key", ["unit_price"], 2.5, total=None).filter("is_outlier").select("purchase_item_id", "supplier_key", day("result_date"), "reason")
 
 
 # ---- baseline, errors, anomalies, savings, drift ----
@@ -416,7 +416,7 @@ w AS (SELECT id, coalesce(sum(s) OVER (ORDER BY s DESC, id ROWS BETWEEN UNBOUNDE
   (sum(s) OVER (ORDER BY s DESC, id ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(s) OVER ())::DOUBLE AS cumulative FROM o)
 SELECT CASE WHEN share < 0.7 THEN 'Alta' WHEN share < 0.9 THEN 'Media' ELSE 'Baixa' END AS priority, count(*) AS n, round(max(cumulative), 6) AS greatest_share FROM w GROUP BY 1""")
 def _(spark, d):
-    rows = items(spark, d).select(F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")).alias("id"), F.col("total_price").alias("saving"))
+    rows = items(spark, d, "purchase_item_id", "supplier_key", "result_date", "total_price").select(F.concat_ws("/", "purchase_item_id", "supplier_key", F.col("result_date").cast("string")).alias("id"), F.col("total_price").alias("saving"))
     return pricing.savings_priority(rows, "id").groupBy("priority").agg(F.count("*").alias("n"), F.round(F.max("cumulative_share"), 6).alias("greatest_share"))
 
 
@@ -428,19 +428,19 @@ SELECT category, share_a, share_b, round(share_b - share_a, 6) AS delta_pp FROM
 
 @query("category_mix", _MIX)
 def _(spark, d):
-    return pricing.category_mix(items(spark, d).withColumn("year", F.year("result_date")), "category", "year", 1999, 2000)
+    return pricing.category_mix(items(spark, d, "category", "result_date").withColumn("year", F.year("result_date")), "category", "year", 1999, 2000)
 
 
 @query("category_mix_tvd", _MIX.replace("SELECT category, share_a, share_b, round(share_b - share_a, 6) AS delta_pp FROM m", "SELECT round(sum(abs(round(share_b - share_a, 6))) / 2, 4) AS tvd, arg_max(coalesce(category, 'Não categorizado'), abs(round(share_b - share_a, 6))) AS largest FROM m"))
 def _(spark, d):
-    return pricing.variation_distance(pricing.category_mix(items(spark, d).withColumn("year", F.year("result_date")), "category", "year", 1999, 2000))
+    return pricing.variation_distance(pricing.category_mix(items(spark, d, "category", "result_date").withColumn("year", F.year("result_date")), "category", "year", 1999, 2000))
 
 
 @query("distribution_by_year", """
 SELECT year(result_date)::INT AS year, count(*) AS n, round(median(unit_price), 4) AS price_median, round(quantile_cont(unit_price, 0.25), 4) AS p25, round(quantile_cont(unit_price, 0.75), 4) AS p75, round(quantile_cont(unit_price, 0.9), 4) AS p90, round(median(quantity), 4) AS quantity_median,
   round(avg(ln(unit_price)) FILTER (unit_price > 0), 6) AS log_price_mean, round(avg(ln(quantity)) FILTER (quantity > 0), 6) AS log_quantity_mean FROM items GROUP BY 1""")
 def _(spark, d):
-    return comparison.distribution(items(spark, d).withColumn("year", F.year("result_date")), "year")
+    return comparison.distribution(items(spark, d, "result_date", "unit_price", "quantity").withColumn("year", F.year("result_date")), "year")
 
 
 # ---- exploration and text ----
@@ -449,7 +449,7 @@ def _(spark, d):
 WITH p AS (SELECT item_key, count(*) AS n, sum(total_price) AS s FROM items GROUP BY 1), t AS (SELECT unnest([1, 2, 3, 5, 10, 20, 30]) AS least)
 SELECT least::INT AS least, count(*) FILTER (n >= least) AS n_items, coalesce(sum(s) FILTER (n >= least), 0)::DOUBLE AS spend FROM p, t GROUP BY 1""")
 def _(spark, d):
-    per = items(spark, d).groupBy("item_key").agg(F.count("*").alias("n"), F.sum("total_price").alias("s"))
+    per = items(spark, d, "item_key", "total_price").groupBy("item_key").agg(F.count("*").alias("n"), F.sum("total_price").alias("s"))
     rows = per.withColumn("least", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 10, 20, 30)))))
     big = F.col("n") >= F.col("least")
     return rows.groupBy("least").agg(F.count_if(big).alias("n_items"), F.coalesce(F.sum(F.when(big, F.col("s"))), F.lit(0)).cast("double").alias("spend"))

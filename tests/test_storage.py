@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from spendlake.operators import cleaning
+from spendlake.operators import cleaning, star
 from spendlake.sources import files, versions
 from spendlake.streaming import ingest
 
@@ -117,3 +117,51 @@ def test_files_in_storage_against_the_manifest(spark, tmp_path):
     assert sorted(r.path for r in files.to_load(here, done).collect()) == ["header/dt=2025-01-01/header.csv", "item/dt=2025-01-02/item.csv"]
     gaps = files.missing_days(here, "2025-01-01", "2025-01-03", ("item", "header")).collect()
     assert sorted((r.dataset, r.day.day) for r in gaps) == [("header", 2), ("header", 3), ("item", 3)]
+
+
+def test_years_of_headers_and_legacy_columns(spark, tmp_path):
+    root = str(tmp_path / "headers")
+    row = lambda k, day, name: (k, day, name)
+    names = star.BUYER
+    for year, rows in ((2024, [row("k1", "2024-01-01", "old"), row("k2", "2024-02-01", "only")]), (2025, [row("k1", "2025-03-01", "new"), row("k1", "bad date", "undated")])):
+        df = spark.createDataFrame(rows, "k string, data_publicacao_pncp string, n string")
+        df.select(F.col("k").alias(names[0]), *(F.col("n").alias(c) for c in names[1:] if c != "data_publicacao_pncp"), "data_publicacao_pncp").write.parquet(f"{root}/ano={year}")
+    got = {r[names[0]]: r[names[1]] for r in star.dim_buyer_of_years(spark, root, [2024, 2025]).collect()}
+    assert got == {"k1": "new", "k2": "only"}
+    counts = {r.year: r.n_rows for r in files.count_years(spark, root, [2023, 2024, 2025]).collect()}
+    assert counts == {2023: None, 2024: 2, 2025: 2}
+    assert {r.n_rows for r in files.count_years(spark, str(tmp_path / "nothing"), [2023]).collect()} == {None}
+    legacy = spark.createDataFrame([(1, 2)], "old int, kept int")
+    assert files.rename_legacy(legacy, {"old": "new", "kept": "old", "gone": "x"}).columns == ["new", "kept"]
+    assert files.keep_present(legacy, ["kept", "absent"]).columns == ["kept"]
+
+
+def test_results_are_loaded_all_or_none(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1.5)], "id string, x double")
+    paths = {kind: str(tmp_path / f"r.{kind}") for kind in ("csv", "json", "parquet")}
+    for kind, path in paths.items():
+        files.save_artifact(df, path, kind)
+    out = files.load_artifacts(spark, paths, {"csv": "id string, x double"})
+    assert all([tuple(r) for r in t.select("id", "x").collect()] == [("007", 1.5)] for t in out.values())
+    with pytest.raises(FileNotFoundError):
+        files.load_artifacts(spark, paths | {"gone": str(tmp_path / "gone.csv")})
+    first = files.reuse(df, str(tmp_path / "cache"))
+    assert first.count() == 1 and files.reuse(df.unionByName(df), str(tmp_path / "cache")).count() == 1
+
+
+def test_dates_to_keys_and_back(spark):
+    df = spark.createDataFrame([(datetime.date(2024, 2, 29), 20240229), (None, 20240230), (None, None)], "d date, k int")
+    got = df.select(cleaning.date_key("d").alias("k"), cleaning.day_of_key(F.col("k")).alias("d")).collect()
+    assert [(r.k, r.d) for r in got] == [(20240229, datetime.date(2024, 2, 29)), (None, None), (None, None)]
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    source = tmp_path / "events"
+    batches = [["2024-01-01 00:10:00,a,1", "2024-01-01 05:00:00,a,2"], ["2024-01-01 00:20:00,a,100", "2024-01-01 04:30:00,a,3", "2024-01-01 09:00:00,b,1"], ["2024-01-01 12:00:00,b,1"]]
+    source.mkdir()
+    stream = ingest.hourly_counts(spark.readStream.schema("ts timestamp, event_type string, value double").csv(str(source)))
+    for k, lines in enumerate(batches):
+        (source / f"{k}.csv").write_text("\n".join(lines))
+        stream.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    out = {(r.window.start.hour, r.event_type): (r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out[(0, "a")] == (1, 1.0) and out[(4, "a")] == (1, 3.0) and out[(5, "a")] == (1, 2.0)  # the row of 0:20 came too late
