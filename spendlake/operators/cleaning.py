@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -132,11 +132,34 @@ def violating_purchases(df: DataFrame, key: Sequence[str], purchase: str, top: i
 
 def silver(bronze: DataFrame) -> DataFrame:
     """The raw item table typed, without exact duplicates and superseded revisions, with its category and conflict flag."""
+    return silver_with_report(bronze)[1]
+
+
+def silver_with_report(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`metric, value` of the way from raw to cleaned rows, and the cleaned rows, stored.
+
+    Every step runs once. Its figures are observed while its rows are written, in the tasks that write them, so a lost
+    executor's tasks count once. Raw rows are counted as such, which Parquet answers from its footers.
+    """
     typed = apply_typing(bronze)
-    once = stored(remove_exact_duplicates(typed, [c for c in VOLATILE if c in typed.columns]))
+    seen, last = Observation(), Observation()
+    once = stored(remove_exact_duplicates(typed, [c for c in VOLATILE if c in typed.columns]).observe(seen, F.count(F.lit(1)).alias("rows_without_duplicates")))
     latest = stored(resolve_revisions(once, KEY, "data_resultado"))
     named = classify(latest, "descricao_resumida", text.RELEVANT)
-    return flag_conflicts_of(named, KEY, "data_resultado", "valor_total_resultado", "resultado_conflitante")
+    flagged = flag_conflicts_of(named, KEY, "data_resultado", "valor_total_resultado", "resultado_conflitante")
+    spend = F.col("valor_total_resultado").cast("double")
+    rows = stored(
+        flagged.observe(
+            last,
+            F.count(F.lit(1)).alias("rows_clean"),
+            F.count_if("resultado_conflitante").alias("rows_conflicting"),
+            F.count_if("is_relevant").alias("rows_relevant"),
+            F.coalesce(F.sum(spend), F.lit(0.0)).alias("spend_gross"),
+            F.coalesce(F.sum(F.when(~F.col("resultado_conflitante"), spend)), F.lit(0.0)).alias("spend_net"),
+        )
+    )
+    figures = {"rows_raw": bronze.count()} | seen.get | last.get
+    return bronze.sparkSession.createDataFrame([(k, float(v)) for k, v in figures.items()], "metric string, value double"), rows
 
 
 def flag_conflicts_of(df: DataFrame, key: Sequence[str], date: str, value: str, name: str) -> DataFrame:
@@ -147,26 +170,6 @@ def flag_conflicts_of(df: DataFrame, key: Sequence[str], date: str, value: str,
     return df.join(per, list(key), "left").withColumn(name, flag(name))
 
 
-def silver_report(bronze: DataFrame, rows: DataFrame) -> DataFrame:
-    """`metric, value` of the way from raw to cleaned rows."""
-    typed = apply_typing(bronze)
-    once = remove_exact_duplicates(typed, [c for c in VOLATILE if c in typed.columns])
-    measures = [
-        bronze.agg(F.lit("rows_raw").alias("metric"), F.count("*").cast("double").alias("value")),
-        once.agg(F.lit("rows_without_duplicates").alias("metric"), F.count("*").cast("double").alias("value")),
-    ]
-    last = rows.agg(
-        F.count("*").alias("rows_clean"),
-        F.count_if("resultado_conflitante").alias("rows_conflicting"),
-        F.count_if("is_relevant").alias("rows_relevant"),
-        F.coalesce(F.sum("valor_total_resultado"), F.lit(0.0)).alias("spend_gross"),
-        F.coalesce(F.sum(F.when(~F.col("resultado_conflitante"), F.col("valor_total_resultado"))), F.lit(0.0)).alias("spend_net"),
-    )
-    names = last.columns
-    long = last.select(*(F.col(c).cast("double") for c in names)).unpivot([], names, "metric", "value")
-    return measures[0].unionByName(measures[1]).unionByName(long)
-
-
 def date_key(day):
     """Column: a date as a whole number yyyyMMdd."""
     return F.date_format(day, "yyyyMMdd").cast("int")

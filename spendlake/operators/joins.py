@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
+
 
 def duplicated(df: DataFrame, on: list[str]) -> DataFrame:
     """Keys that stand more than once."""
@@ -31,3 +33,13 @@ def key_guards(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     b = right.select(*on).distinct().withColumn("_b", F.lit(True))
     both = a.join(b, on, "full")
     return both.agg(F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a") & F.col("_b")).alias("shared"), F.count_if(F.col("_a").isNull()).alias("unused"))
+
+
+def with_headers(rows: DataFrame, headers: DataFrame, key: str, suffix: str = "_header") -> tuple[DataFrame, DataFrame]:
+    """Rows with the columns of their header, `suffix` on names that clash, stored; and `rows_before, rows_after, unmatched`, from the pass that wrote them."""
+    own = headers.select(F.col(key).alias("_k"), F.lit(True).alias("_found"), *(F.col(c).alias(c + suffix if c in rows.columns else c) for c in headers.columns if c != key))
+    seen = Observation()
+    joined = rows.join(own, rows[key] == own["_k"], "left").drop("_k")
+    joined = stored(joined.observe(seen, F.count(F.lit(1)).alias("after"), F.count_if(F.col("_found").isNull()).alias("unmatched")))
+    figures = (rows.count(), seen.get["after"], seen.get["unmatched"])
+    return joined.drop("_found"), rows.sparkSession.createDataFrame([figures], "rows_before long, rows_after long, unmatched long")

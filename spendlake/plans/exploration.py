@@ -67,8 +67,7 @@ SELECT 'rows_raw' AS metric, count(*)::DOUBLE AS value FROM raw UNION ALL SELECT
 UNION ALL SELECT 'rows_conflicting', count(*)::DOUBLE FROM silver WHERE resultado_conflitante UNION ALL SELECT 'rows_relevant', count(category)::DOUBLE FROM silver
 UNION ALL SELECT 'spend_gross', round(sum(v), 2) FROM silver UNION ALL SELECT 'spend_net', round(sum(v) FILTER (NOT resultado_conflitante), 2) FROM silver""", over_items=False)
 def _(spark, d):
-    raw = _raw(spark, d)
-    out = cleaning.silver_report(raw, cleaning.silver(raw))
+    out, _rows = cleaning.silver_with_report(_raw(spark, d))
     return out.withColumn("value", F.round("value", 2))
 
 

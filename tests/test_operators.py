@@ -254,8 +254,8 @@ def test_bronze_to_gold(spark):
     ]
     bronze = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     headers = spark.createDataFrame([("p1", "00394502000144", "COMANDO DA MARINHA", "RJ", "Rio de Janeiro", 6, "Pregão - Eletrônico")], "id_compra string, orgao_entidade_cnpj string, orgao_entidade_razao_social string, unidade_orgao_uf_sigla string, unidade_orgao_municipio_nome string, codigo_modalidade int, modalidade_nome string")
-    silver = cleaning.silver(bronze)
-    report = {r.metric: r.value for r in cleaning.silver_report(bronze, silver).collect()}
+    report, silver = cleaning.silver_with_report(bronze)
+    report = {r.metric: r.value for r in report.collect()}
     assert (report["rows_raw"], report["rows_without_duplicates"], report["rows_clean"], report["rows_conflicting"]) == (8, 7, 6, 2)
     assert {r.descricao_resumida: r.category for r in silver.collect()} == {"Notebook Dell": "TI / Informatica", "Consultoria TI": "Consultoria / Servicos Profissionais", "Cadeira Escritorio": "Mobiliario / Material de Escritorio", "Mouse Optico": None, "Fruta": None}
     buyers = star.dim_buyer(headers)
@@ -268,6 +268,8 @@ def test_bronze_to_gold(spark):
     assert items.count() == 5 and fact.count() == 5 and fact.filter("date_key is null or item_key is null").count() == 0
     assert fact.filter("unidade_orgao_uf_sigla is null").select("purchase_item_id", "buyer_key").collect() == [("D", "00394502000144")]
     assert fact.filter("purchase_item_id = 'B'").first().unit_price == 55.0 and star.join_audit(silver.filter("valor_unitario_resultado is not null"), buyers, "id_compra").first().unmatched == 1
+    joined, audit = joins.with_headers(silver.withColumn("esfera", F.lit(1)), headers.withColumn("esfera", F.lit(2)), "id_compra")
+    assert tuple(audit.first()) == (6, 6, 1) and joined.filter("esfera = 1").count() == 6 and joined.filter("esfera_header = 2").count() == 5
     grain = star.grain_violations(fact, ["purchase_item_id", "supplier_key"], "resultado_conflitante").first()
     assert (grain.violating_rows, grain.unflagged_groups) == (2, 0)
 
