@@ -11,11 +11,13 @@ document and place there), of `width` words at least. The first holder's words o
 brought to the document and compared with its own; only words that are equal in `width` places in a row are
 removed. The first holder keeps its copy. Windows are judged on the input, not on what is left.
 
+Windows are matched by 64 bits. A window whose words turn out to differ from its first holder's goes into another
+round, where the first holder is sought among those that differ, until none is left. So texts that meet by
+chance neither remove each other's words nor hide a third one; a round without such windows ends the work.
+
 A document meets the first holder of a window only, not every other holder, so a passage in a third of all
 documents costs a row for each document that holds it, and no pairs within a group are made. Anchors and
 windows are summed by hash with partial sums and met again by joins that adaptive execution can split.
-Windows are matched by 64 bits. As words are compared, texts of one hash never remove each other's words; where
-two such texts meet by chance, once in 2^64 pairs, a window of the later one may stay.
 
 Rows: null text has no words, an empty one neither. Long texts are treated whole: a text's windows are rows,
 not one value. Ties: equal windows of one document count once as its own. A row of null `doc_id` is kept
@@ -44,7 +46,7 @@ class _Slice:
         self.data = data
         self.starts, self.ends, self.first = text.spans(data, offsets, text.WORD)
 
-    def windows(self, width: int) -> None:
+    def windows(self, width: int, bits: int = 64) -> None:
         words = text.word_hashes(self.data, self.starts, self.ends)
         n = max(0, len(words) - width + 1)
         row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[:n]
@@ -58,7 +60,7 @@ class _Slice:
                 low = np.minimum(low[: len(low) - step], low[step:])
                 reach += step
             self.seeds = low[self.at]
-        self.hashes = text.window_hashes(words, width)[self.at]
+        self.hashes = text.window_hashes(words, width)[self.at] >> np.uint64(64 - bits)
 
     def joined(self, begin: int, end: int) -> str:
         """The words from `begin` to `end` joined by one space."""
@@ -86,10 +88,9 @@ def _held(lists: pa.Array, row: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
-    """`doc_id, start, length, source, source_start`: maximal repeats of each document with first holders of its windows."""
+def shared_windows(docs: DataFrame, width: int, bits: int, tables: scratch.Tables) -> DataFrame:
+    """`doc_id, at, hash` of the windows around anchors that stand in two documents or more."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs, tables = docs.select("doc_id", "text").filter("doc_id is not null"), scratch.Tables()
 
     def anchors(batches):
         for batch in batches:
@@ -103,7 +104,7 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         for batch in batches:
             for part in text.slices(batch):
                 s = _Slice(part.column("text"))
-                s.windows(width)
+                s.windows(width, bits)
                 held = np.flatnonzero(_held(part.column("seeds"), s.row, s.seeds))
                 row = s.row[held]
                 place = (s.at[held] - s.first[row]).astype(np.int32)
@@ -111,6 +112,21 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                     [part.column("doc_id").take(pa.array(row)), pa.array(place), pa.array(s.hashes[held].view(np.int64))], ["doc_id", "at", "hash"]
                 )
 
+    found = docs.mapInArrow(anchors, f"doc_id {kind}, seed long")
+    shared = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("seed")
+    seeded = tables.store(found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")))
+    windows = tables.store(docs.join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, f"doc_id {kind}, at int, hash long"))
+    tables.drop(seeded)
+    return windows
+
+
+def repeats(windows: DataFrame, width: int, tables: scratch.Tables) -> DataFrame:
+    """`doc_id, start, length, source, source_start`: maximal repeats of each document with first holders of its windows.
+
+    A first holder's other windows of that hash are there too, with itself as the source.
+    """
+    kind = windows.schema["doc_id"].dataType.simpleString()
+
     def runs(batches):
         for batch in batches:
             for k in range(batch.num_rows):
@@ -129,21 +145,16 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                     ["doc_id", "start", "length", "source", "source_start"],
                 )
 
-    found = docs.mapInArrow(anchors, f"doc_id {kind}, seed long")
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("seed")
-    seeded = tables.store(found.join(shared, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")))
-    windows = tables.store(docs.join(seeded, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, f"doc_id {kind}, at int, hash long"))
-    tables.drop(seeded)
     first = windows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("place"), F.max("doc_id").alias("high")).filter("low < high")
     first = tables.store(first.select("hash", "low", "place"))
-    later = windows.join(first, "hash").filter("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("at", "low", "place")).alias("found"))
-    out = scratch.stored(later.mapInArrow(runs, f"doc_id {kind}, start long, length long, source {kind}, source_start long"))
-    tables.drop(windows, first)
+    later = windows.join(first, "hash").filter("doc_id > low or at <> place").groupBy("doc_id").agg(F.collect_list(F.struct("at", "low", "place")).alias("found"))
+    out = tables.store(later.mapInArrow(runs, f"doc_id {kind}, start long, length long, source {kind}, source_start long"))
+    tables.drop(first)
     return out
 
 
-def with_words(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`doc_id` and `repeats`, a list of (start, length, words of the first holder)."""
+def with_words(docs: DataFrame, found: DataFrame, tables: scratch.Tables) -> DataFrame:
+    """`doc_id` and `repeats`, a list of (start, length, whether the source is the document itself, words of the source)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = found.select(F.col("source").alias("doc_id"), F.struct(F.col("source_start").alias("at"), "length").alias("asked")).distinct().groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
 
@@ -161,9 +172,11 @@ def with_words(docs: DataFrame, found: DataFrame) -> DataFrame:
                         words = [s.joined(b, b + n) for b, n in zip(begin.tolist(), length[now].tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(np.full(len(now), k))), pa.array(at[now]), pa.array(length[now]), pa.array(words, pa.string())], ["source", "source_start", "length", "words"])
 
-    cited = scratch.stored(docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(cite, f"source {kind}, source_start long, length long, words string"))
+    cited = tables.store(docs.select("doc_id", "text").join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(cite, f"source {kind}, source_start long, length long, words string"))
     joined = found.join(cited, ["source", "source_start", "length"])
-    return scratch.stored(joined.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "words")).alias("repeats")))
+    out = tables.store(joined.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", (F.col("doc_id") == F.col("source")).alias("own"), "words")).alias("repeats")))
+    tables.drop(cited)
+    return out
 
 
 def _equal(s: _Slice, row: int, start: int, length: int, words: str, width: int) -> list[tuple[int, int]]:
@@ -177,15 +190,86 @@ def _equal(s: _Slice, row: int, start: int, length: int, words: str, width: int)
     return [(begin + a, begin + b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= width]
 
 
-def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
+def compare(docs: DataFrame, repeats: DataFrame, width: int, bits: int) -> DataFrame:
+    """`doc_id`, `key` of the text, `gone` (begin, end, begin, end, ... of words equal to another document's) and the windows `at`, `hash` equal to no source."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def starts(stretches: list[tuple[int, int]]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - width + 1) for a, b in stretches)])
+
+    def job(batches):
+        for batch in batches:
+            for part in text.slices(batch):
+                s = _Slice(part.column("text"))
+                gone: list[list[int]] = []
+                at: list[np.ndarray] = []
+                hashes: list[np.ndarray] = []
+                for k, found in enumerate(part.column("repeats")):
+                    first, end = int(s.first[k]), int(s.first[k + 1])
+                    equal, removed, differ = [], [], []
+                    for item in found.values:
+                        start, length = item["start"].as_py(), item["length"].as_py()
+                        same = _equal(s, k, start, length, item["words"].as_py(), width)
+                        equal += same
+                        removed += [] if item["own"].as_py() else same
+                        if same != [(first + start, first + start + length)]:
+                            differ.append((first + start, min(first + start + length, end)))
+                    union: list[int] = []
+                    for a, b in sorted(removed):
+                        if union and a - first <= union[-1]:
+                            union[-1] = max(union[-1], b - first)
+                        else:
+                            union += [a - first, b - first]
+                    gone.append(union)
+                    left = np.setdiff1d(starts(differ), starts(equal)) if differ else np.zeros(0, np.int64)
+                    if len(left) and not hasattr(s, "hashes"):
+                        s.windows(width, bits)
+                    at.append(left - first)
+                    hashes.append(s.hashes[np.searchsorted(s.at, left)].view(np.int64) if len(left) else left)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("key"), pa.array(gone, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64())).cast(pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "gone", "at", "hash"],
+                )
+
+    rows = docs.select("doc_id", "text", F.sha2("text", 256).alias("key")).join(repeats, "doc_id").select("doc_id", "text", "key", "repeats")
+    return rows.mapInArrow(job, f"doc_id {kind}, key string, gone array<long>, at array<int>, hash array<long>")
+
+
+def covered(docs: DataFrame, width: int = 13, bits: int = 64) -> DataFrame:
+    """`doc_id`, `key` (SHA-256 of the text) and `gone`, the stretches of words that stand in a window of an earlier document.
+
+    `bits` of a window's hash match it to its first holder; fewer cost more rounds, the result is the same.
+    """
+    docs, tables, done = docs.select("doc_id", "text").filter("doc_id is not null"), scratch.Tables(), []
+    windows, before = shared_windows(docs, width, bits, tables), None
+    while True:
+        found = repeats(windows, width, tables)
+        if not done:
+            tables.drop(windows)
+        words = with_words(docs, found, tables)
+        checked = tables.store(compare(docs, words, width, bits))
+        tables.drop(found, words)
+        done.append(checked.select("doc_id", "key", "gone"))
+        open_ = checked.agg(F.sum(F.size("at"))).first()[0] or 0
+        # every round settles a window of each hash; only rows of one id could bring back a settled one
+        if not open_ or (before is not None and open_ >= before):
+            break
+        windows, before = checked.select("doc_id", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("doc_id", "w.at", "w.hash"), open_
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+
+
+def dedup(docs: DataFrame, width: int = 13, prefix: str = "", bits: int = 64) -> DataFrame:
     """`docs` with `n_words`, `n_removed`, `kept_text` (words left, joined by a space) and `spans` of removed words.
 
     These names, after `prefix`, replace columns of the same names.
     """
     figures = ["n_words", "n_removed", "kept_text", "spans"]
     names = [c for c in docs.columns if c not in {prefix + f for f in figures}]
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")), F.lit(0).alias("_")).alias("_row"))
-    joined = rows.join(with_words(docs, repeats(docs, width)), "doc_id", "left")
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")), F.lit(0).alias("_")).alias("_row"), F.sha2("text", 256).alias("key"))
+    joined = rows.join(covered(docs, width, bits), ["doc_id", "key"], "left").select("doc_id", "text", "_row", "gone")
 
     def job(batches):
         for batch in batches:
@@ -193,11 +277,11 @@ def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
                 s = _Slice(part.column("text"))
                 n = len(s.starts)
                 change = np.zeros(n + 1, np.int64)
-                for k, found in enumerate(part.column("repeats")):
-                    for item in found.values if found.is_valid else ():
-                        for a, b in _equal(s, k, item["start"].as_py(), item["length"].as_py(), item["words"].as_py(), width):
-                            change[a] += 1
-                            change[b] -= 1
+                for k, found in enumerate(part.column("gone")):
+                    if found.is_valid:
+                        ends = found.values.to_numpy() + s.first[k]
+                        np.add.at(change, ends[::2], 1)
+                        np.add.at(change, ends[1::2], -1)
                 gone = np.cumsum(change)[:n] > 0
                 removed = np.concatenate([[0], np.cumsum(gone)])[s.first]
                 keep = np.flatnonzero(~gone)
@@ -224,6 +308,6 @@ def dedup(docs: DataFrame, width: int = 13, prefix: str = "") -> DataFrame:
                     ["doc_id", "text", "_row", "n_words", "n_removed", "kept_text", "spans"],
                 )
 
-    schema = joined.drop("repeats").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", T.ArrayType(T.LongType()))
-    out = joined.select("doc_id", "text", "_row", "repeats").mapInArrow(job, schema)
+    schema = joined.drop("gone").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("spans", T.ArrayType(T.LongType()))
+    out = joined.mapInArrow(job, schema)
     return out.select(*(c if c in ("doc_id", "text") else F.col(f"_row.`{c}`") for c in names), *(F.col(f).alias(prefix + f) for f in figures))

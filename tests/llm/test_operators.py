@@ -116,6 +116,40 @@ def test_substring(edge, docs):
     assert substring.dedup(edge.limit(0)).count() == 0
 
 
+def brute_substring(rows):
+    """`doc_id` to words left and removed, by a look at every window of every document."""
+    seen, out = {}, {}
+    for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0]):
+        words, gone = WORD.findall(t or ""), set()
+        for k in range(len(words) - 12):
+            if seen.setdefault(tuple(words[k : k + 13]), i) < i:
+                gone.update(range(k, k + 13))
+        out[i] = (" ".join(w for k, w in enumerate(words) if k not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 5])
+def test_substring_windows_of_one_hash_take_more_rounds(spark, bits):
+    rng = np.random.default_rng(bits)
+    passages = [" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate([13, 14, 16, 20, 20, 30])]
+    rows = [(i, " ".join([f"u{i}", *(f"{passages[k]} v{i}x{n}" for n, k in enumerate(rng.integers(0, 6, 3)))])) for i in range(-4, 10)]
+    rows += [(20, "same " * 40), (21, "same " * 30 + passages[0]), (22, passages[0] + " " + passages[5]), (23, None), (24, ""), (None, passages[5])]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()
+    assert {r.doc_id: (r.kept_text, r.n_removed) for r in got if r.doc_id is not None} == brute_substring(rows)
+    assert [(r.kept_text, r.n_removed) for r in got if r.doc_id is None] == [(passages[5], 0)]
+
+
+def test_substring_rows_of_one_id(spark):
+    rows = [(1, PASSAGE), (1, "other " + PASSAGE[200:]), (2, "x " + PASSAGE), (2, "y " + PASSAGE[200:]), (2, "z")]
+    for bits in (64, 3):
+        got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()
+        assert sorted(r.text for r in got) == sorted(t for _, t in rows)
+        removed = {r.text: r.n_removed for r in got}
+        assert [removed[t] for i, t in rows if i == 1] == [0, 0] and removed["z"] == 0
+        if bits == 64:
+            assert [removed[t] for i, t in rows if i == 2] == [60, len(PASSAGE[200:].split()), 0]
+
+
 def test_substring_words_of_one_polynomial_hash(spark):
     word = "a"
     while len(word) < 4096:
