@@ -3,8 +3,9 @@
 Equal vectors are one node first. Nodes are dealt into shards by hash, and a graph is built for each.
 Blocks of nodes then query every shard: greedy descent through the upper layers, a beam search in the
 lowest. A query whose beam holds nothing but links gets a beam twice as wide. A part of each block is
-audited against brute force on the shard; below `RECALL` of their links the beams of the whole block are
-widened to the whole shard. Candidates are verified by cosine in double precision; components are united from
+audited against brute force on the shard; below `RECALL` of their links all beams of the block are doubled,
+again and again, until the audit passes. The last step of widening is the whole shard, taken where the lists of
+neighbours of a beam would hold more rows than the shard does. Candidates are verified by cosine in double precision; components are united from
 spanning forests.
 
 Within a task all queries move in step in numpy. A shard's graph goes to `PARTS` tasks, and every block to one
@@ -33,8 +34,8 @@ from .components import forest, named, numbered
 SHARDS, SHARD_BYTES, PARTS, BLOCK = 8, 1 << 25, 4, 2048
 LINKS, BUILD_BEAM, BEAM, WIDTH = 12, 32, 32, 4
 AUDIT, RECALL = 64, 0.99
-#: A beam of more than one node in so many of the shard is widened to the whole shard at once, which then costs less than following the graph.
-WHOLE = 16
+#: A beam of `b` nodes looks at up to `2 * LINKS * b` neighbours; from one node in so many of the shard on, the next step of widening is the whole shard.
+WHOLE = 2 * LINKS
 
 
 def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +48,7 @@ def beam_search(unit: np.ndarray, near: np.ndarray, queries: np.ndarray, entry:
     sims = np.full((q, beam), -np.inf, np.float32)
     ids[:, 0], sims[:, 0] = entry, np.einsum("qd,qd->q", queries, unit[entry])
     done = np.zeros((q, beam), dtype=bool)
-    active, take = rows, min(WIDTH, beam)
+    active, take = rows, min(max(WIDTH, beam // 8), beam)
     while len(active):
         waiting = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
         pick = np.argpartition(-waiting, take - 1, axis=1)[:, :take] if take < beam else np.tile(np.arange(beam), (len(active), 1))
@@ -145,32 +146,36 @@ class Graph:
         return beam_search(self.unit, self.layers[0], queries, self._descend(queries, 0), beam)
 
 
-def linked(graph: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """Nodes of the graph at similarity of about `threshold` or more to each query."""
-    close = threshold - 1e-4
+def linked(graph: Graph, queries: np.ndarray, threshold: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Nodes of the graph at similarity of about `threshold` or more to each query, and the beam each was answered with (0: the whole shard)."""
+    close, n = threshold - 1e-4, len(graph.unit)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     audit = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
     truth = [np.flatnonzero(s >= close) for s in queries[audit] @ graph.unit.T]
-    todo, beam = np.arange(len(queries)), BEAM
-    while len(todo):
-        wide = []
-        for a in range(0, len(todo), 256):
-            part = todo[a : a + 256]
-            if beam * WHOLE >= len(graph.unit):
-                for r, s in zip(part, queries[part] @ graph.unit.T, strict=True):
-                    out[r] = np.flatnonzero(s >= close)
-                continue
-            ids, sims = graph.search(queries[part], beam)
-            for k, r in enumerate(part):
-                out[r] = ids[k][sims[k] >= close]
-            wide.append(part[sims[:, -1] >= close])
-        todo, beam = np.concatenate(wide) if wide else todo[:0], beam * 2
-        if not len(todo) and beam < 2 * len(graph.unit):
-            # each audited query with links counts alike, however many it has
-            shares = [len(np.intersect1d(out[r], t, assume_unique=True)) / len(t) for r, t in zip(audit, truth, strict=True) if len(t)]
-            if shares and np.mean(shares) < RECALL:
-                todo, beam = np.arange(len(queries)), len(graph.unit)
-    return out
+    beams, todo = np.full(len(queries), BEAM), np.ones(len(queries), dtype=bool)
+    while todo.any():
+        while todo.any():
+            beam = int(beams[todo].min())
+            turn = np.flatnonzero(todo & (beams == beam))
+            for a in range(0, len(turn), 256):
+                part = turn[a : a + 256]
+                if beam * WHOLE >= n:
+                    for r, s in zip(part, queries[part] @ graph.unit.T, strict=True):
+                        out[r] = np.flatnonzero(s >= close)
+                    beams[part], todo[part] = 0, False
+                    continue
+                ids, sims = graph.search(queries[part], beam)
+                for k, r in enumerate(part):
+                    out[r] = ids[k][sims[k] >= close]
+                full = sims[:, -1] >= close
+                beams[part[full]] *= 2
+                todo[part[~full]] = False
+        # each audited query with links counts alike, however many it has
+        shares = [len(np.intersect1d(out[r], t, assume_unique=True)) / len(t) for r, t in zip(audit, truth, strict=True) if len(t)]
+        if shares and np.mean(shares) < RECALL:
+            beams *= 2
+            todo = beams > 0
+    return out, beams
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -221,7 +226,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 if here != where:  # no vector of this length in the shard
                     continue
                 q_ids, _, q_full = matrix(batch.column("items")[k])
-                found = linked(graph, unit(q_full), threshold)
+                found, _ = linked(graph, unit(q_full), threshold)
                 x = np.repeat(np.arange(len(q_ids)), [len(f) for f in found])
                 y = np.concatenate(found) if len(x) else np.zeros(0, np.int64)
                 a, b = q_full[x], full[y]

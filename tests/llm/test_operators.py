@@ -203,6 +203,23 @@ def test_hnsw(spark):
     assert out.component_id[900] == 0 and not out.kept[900]
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.06])
+def test_hnsw_beams_widen_on_the_graph(noise):
+    """A shard of 6,000 rows, groups of 120 and of two: links found through the graph, wider beams where a beam is full of them."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(2010, 32))
+    group = np.concatenate([np.repeat(np.arange(10), 120), np.repeat(np.arange(10, 410), 2), np.arange(410, 2010), np.repeat(np.arange(1000, 1200), 12)])
+    x = centres[group] + rng.normal(size=(len(group), 32)) * noise * 4
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.Graph.build(x)
+    found, beams = hnsw.linked(graph, x, 0.95)
+    truth = x @ x.T >= 0.95 - 1e-4
+    shares = [truth[k][f].sum() / truth[k].sum() for k, f in enumerate(found)]
+    assert np.mean(shares) >= 0.99 and all(truth[k][f].all() for k, f in enumerate(found))
+    assert (beams == 0).mean() < 0.25 and (beams > 0).any()
+    assert {hnsw.BEAM} < set(beams[beams > 0].tolist()) | {0}
+
+
 def test_mixing(edge, docs):
     for df in (edge, docs):
         out = mixing.mix(df).toPandas()
