@@ -8,8 +8,10 @@
    a quarter of them, set apart, picks the temperature that divides the logits.
 4. All documents are scored on the executors.
 
-Rows: null and empty texts pool to the zero vector and get a score too. Repeated rows get a result each;
-null `doc_id`s are kept, with `held_out` false. Labels of null `quality` are not used. Without labels of
+Rows: null and empty texts pool to the zero vector and get a score too. Texts of any length are pooled whole.
+Repeated rows get a result each; of rows of one `doc_id` the smallest vector is fitted, and of its labels the
+greatest, so ties are settled alike in every run. Null `doc_id`s are kept, with `held_out` false. Other columns
+are not looked at, so their names cannot clash. Labels of null `quality` are not used. Without labels of
 both kinds the score is the share of good labels (0.5 without any). An empty table gives an empty result.
 """
 
@@ -152,7 +154,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, held_out, score, predicted` of every document, learned from labels of rows not held out."""
     table = scratch.stored(features(docs, word_vectors(docs)))
     good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    fit = table.dropDuplicates(["doc_id"]).join(good.filter(~held_out()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "y").toPandas()
+    labelled = table.join(good.filter(~held_out()), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    fit = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("x", "y").toPandas()
     net = Network(np.stack(fit["x"]).astype(float) if len(fit) else np.zeros((0, 2 * DIM)), fit["y"].to_numpy(float))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

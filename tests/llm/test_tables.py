@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from spendlake.llm import queries
+from spendlake.llm import classifier, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -104,3 +104,19 @@ def test_classifier_is_the_same_in_every_run(spark):
     held = [(labels[d], p) for d, (h, _, p) in one.items() if h and d in labels]
     share = np.mean([x for x, _ in held])
     assert np.mean([x == p for x, p in held]) > max(share, 1 - share)
+
+
+def test_classifier_settles_texts_of_one_id(spark):
+    """Rows in another order and number of partitions, ids with two texts and two labels, and columns of clashing names."""
+    rng = np.random.default_rng(4)
+    made = [(k // 2, " ".join(f"{'good' if k // 2 % 2 else 'bad'}{w}" for w in rng.integers(0, 30, 20)), 0.5, "x") for k in range(240)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(120)] + [(5, 0, 1), (5, None, 1)], "doc_id long, quality int, x int")
+    schema = "doc_id long, text string, score double, x string"
+    one, two = (
+        sorted((r.doc_id, r.held_out, r.score, r.predicted) for r in classifier.classify(spark.createDataFrame(rows, schema).repartition(n), labels).collect())
+        for rows, n in ((made, 3), (made[::-1], 7))
+    )
+    assert one == two and len(one) == len(made)
+    held = [(d % 2, p) for d, h, _, p in one if h]
+    assert np.mean([a == b for a, b in held]) > 0.9
+    assert classifier.classify(spark.createDataFrame([], schema), labels).count() == 0
