@@ -341,3 +341,10 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("k string, d string, v int").parquet(target)
     ingest.keep_latest(spark, stream, latest, str(tmp_path / "cp2"), ["k"], "d")
     assert sorted((r.k, r.v) for r in ingest.read_latest(spark, latest, ["k"], "d").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_models_of_equal_errors_rank_by_name(spark):
+    """Their means differ in the last place, as sums do that run in another order."""
+    rows = lambda x: spark.createDataFrame([("r", 1.0, x, x)], "id string, unit_price double, log_error double, abs_log_error double")
+    out = comparison.same_sample({"a": rows(0.1 + 0.2), "b": rows(0.3)}, "a", "id", "unit_price")
+    assert {r.model: r["rank"] for r in out.collect()} == {"a": 1, "b": 2}
