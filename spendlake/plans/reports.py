@@ -27,7 +27,7 @@ def _(spark, d):
 @query("baseline_metrics_coverage", _BASE + f""", r5 AS (SELECT count(*) AS n_rows, count(item_expected) AS covered FROM r WHERE year = 2000), m AS (SELECT {_METRICS.replace("FROM e", "FROM (SELECT * FROM e WHERE item_expected IS NOT NULL)")})
 SELECT m.*, n_rows, covered, round(100 * covered / n_rows::DOUBLE, 4) AS coverage FROM m, r5""")
 def _(spark, d):
-    rows = analytics._split(spark, d)
+    rows = analytics._split(spark, d, *analytics.PRICED)
     train, later = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
     return pricing.baseline_metrics(later, train)
 
@@ -89,7 +89,7 @@ _ROUNDED = ("unit_price", "expected", "deviation_pct", "saving", "history_median
     {"deviation_pct": "round(100 * (unit_price - expected) / expected, 6) AS deviation_pct", "price_vs_history": "round(unit_price / history_median, 6) AS price_vs_history"}.get(c, f"round({c}, 6) AS {c}" if c in _ROUNDED else c)
     for c in savings.EXTRACT) + " FROM q")
 def _(spark, d):
-    rows = pricing.residuals(opportunities._audited(spark, d, True))
+    rows = pricing.residuals(opportunities._audited(spark, d, "description", "supplier_name", priority=True))
     return savings.extract(rows).withColumns({c: F.round(c, 6) for c in _ROUNDED})
 
 
@@ -132,14 +132,14 @@ _WHERE = "confidence IN ('Alta', 'Baixa') AND category IN ('LARGE', 'SMALL', 'ME
 
 @query("chosen_opportunities", opportunities._OPP + f"SELECT id, category, confidence, priority, round(saving, 4) AS saving FROM q WHERE {_WHERE}")
 def _(spark, d):
-    rows, _figures = savings.listed(opportunities._audited(spark, d, True), **_CHOSEN)
+    rows, _figures = savings.listed(opportunities._audited(spark, d, priority=True), **_CHOSEN)
     return rows.select("id", "category", "confidence", "priority", F.round("saving", 4).alias("saving"))
 
 
 @query("chosen_figures", opportunities._OPP + f"""SELECT 'chosen' AS choice, count(*) AS n, coalesce(sum(s), 0)::DOUBLE AS saving, round(avg(s::DOUBLE), 4) AS mean FROM q WHERE {_WHERE}
 UNION ALL SELECT 'no tier', 0, 0, NULL""")
 def _(spark, d):
-    rows = opportunities._audited(spark, d, True)
+    rows = opportunities._audited(spark, d, priority=True)
     chosen, none = savings.listed(rows, **_CHOSEN)[1], savings.listed(rows, **_CHOSEN | {"tiers": []})[1]
     return chosen.withColumn("choice", F.lit("chosen")).unionByName(none.withColumn("choice", F.lit("no tier")))
 
@@ -186,7 +186,7 @@ z{k} AS (SELECT v{k}.rid, coalesce(abs(CASE WHEN mad > 0 THEN 0.6745 * (x - med)
 ) + """, f AS (SELECT nullif(concat_ws(',', CASE WHEN z0.o THEN 'unit_price' END, CASE WHEN z1.o THEN 'quantity' END, CASE WHEN z2.o THEN 'total_price' END), '') AS reason, total_price FROM w JOIN z0 USING (rid) JOIN z1 USING (rid) JOIN z2 USING (rid))
 SELECT reason, count(*) AS n, sum(total_price)::DOUBLE AS spend FROM f GROUP BY 1""")
 def _(spark, d):
-    rows = star.flag_value_outliers(items(spark, d), "item_key", ["unit_price", "quantity"], 2.5)
+    rows = star.flag_value_outliers(items(spark, d, "item_key", "unit_price", "quantity", "total_price"), "item_key", ["unit_price", "quantity"], 2.5)
     return money(rows.groupBy("reason").agg(F.count("*").alias("n"), F.sum("total_price").alias("spend")), "spend")
 
 
