@@ -401,3 +401,9 @@ def test_opportunities_join_attributes_to_few_rows(spark, monkeypatch):
     monkeypatch.setattr(analytics, "_split", lambda *a, f=analytics._split: split.append(a) or f(*a))
     assert opportunities._audited(spark, "/root/testdata/sf0.001", "uf").filter("uf is null or unit_item is null").count() == 0
     assert len(split) == 1 and all(names and not {"uf", "supplier_name", "segment", "buyer_key"} & set(names) for names in asked)
+
+
+def test_draws_level_by_level_are_those_of_the_tree(spark):
+    sizes = resampling.np.array([3, 0, 5, 8, 0, 0, 1, 7])
+    got = {(r.b, r.leaf): r.t for r in resampling.dealt_by_level(spark, sizes, 42, 60, 4).collect()}
+    assert got == {(b, k): t for b in range(60) for k, t in enumerate(resampling.dealt(sizes, 42, b).tolist()) if t}
