@@ -407,3 +407,20 @@ def test_draws_level_by_level_are_those_of_the_tree(spark):
     sizes = resampling.np.array([3, 0, 5, 8, 0, 0, 1, 7])
     got = {(r.b, r.leaf): r.t for r in resampling.dealt_by_level(spark, sizes, 42, 60, 4).collect()}
     assert got == {(b, k): t for b in range(60) for k, t in enumerate(resampling.dealt(sizes, 42, b).tolist()) if t}
+
+
+def test_audit_writes_names_of_opportunities_alone(spark, monkeypatch):
+    from spendlake.plans import analytics, opportunities
+
+    written = []
+
+    def kept(df, f=tables.stored):
+        written.append(f(df))
+        return written[-1]
+
+    for module in (analytics, opportunities, tables):
+        monkeypatch.setattr(module, "stored", kept)
+    n = opportunities._audited(spark, "/root/testdata/sf0.001").count()
+    sizes = [(df.count(), {"id", "purchase_item_id", "supplier_key"} & set(df.columns)) for df in written]
+    assert n and max(size for size, _names in sizes) > 10 * n  # rows of the baseline are written, by their numbers
+    assert all(size <= n for size, names in sizes if names)
