@@ -85,26 +85,29 @@ def rule_checks(df: DataFrame, price: str, quantity: str, total: str, key: list[
 
 
 def bronze_report(df: DataFrame, expected: list[str], key: list[str], price: str, dates: list[str], item: str, unit: str, supplier: str) -> DataFrame:
-    """`check, column, metric, value`: all checks of a raw table in long form, from one pass over the rows and three over groups."""
+    """`check, column, metric, value`: all checks of a raw table in long form, from two passes over the rows.
+
+    Counts are added up by item, along with its units, so all of them cross as a row for each item and task. Rows are
+    counted once as wholes, and the kinds of each key among these.
+    """
     x = F.col(price).cast("string").try_cast("double")
     bad = {c: F.col(c).cast("string").try_cast("timestamp").isNull() & F.col(c).isNotNull() for c in dates}
-    plain = df.agg(
-        F.count("*").alias("shape||rows"),
-        F.count_if(x < 0).alias(f"range|{price}|below"),
-        F.count_if(x == 0).alias(f"range|{price}|zero"),
-        F.count_if(F.col(supplier).isNull()).alias(f"reference|{supplier}|missing"),
-        *(F.count_if(F.col(c).isNull()).alias(f"nulls|{c}|n") for c in df.columns),
-        *(F.count_if(v).alias(f"dates|{c}|invalid") for c, v in bad.items()),
-    )
-    groups = [
-        key_duplicates(df, *df.columns).select(F.col("duplicates").alias("duplicates||exact")),
-        key_duplicates(df, *key).select(F.col("duplicates").alias(f"duplicates|{','.join(key)}|key")),
-        unit_heterogeneity(df, item, unit).select(F.col("items").alias(f"units|{item}|items"), F.col("mixed").alias(f"units|{item}|mixed")),
-    ]
-    out = None
-    for one in [plain, *groups]:
-        long = one.select(*(F.col(f"`{c}`").cast("long") for c in one.columns)).unpivot([], one.columns, "name", "value")
-        out = long if out is None else out.unionByName(long)
+    counts = {
+        "shape||rows": F.count("*"),
+        f"range|{price}|below": F.count_if(x < 0),
+        f"range|{price}|zero": F.count_if(x == 0),
+        f"reference|{supplier}|missing": F.count_if(F.col(supplier).isNull()),
+        **{f"nulls|{c}|n": F.count_if(F.col(c).isNull()) for c in df.columns},
+        **{f"dates|{c}|invalid": F.count_if(v) for c, v in bad.items()},
+    }
+    per = df.groupBy(F.col(item).alias("_i")).agg(*(c.alias(n) for n, c in counts.items()), F.min(unit).alias("_a"), F.max(unit).alias("_b"))
+    there = F.col("_i").isNotNull()
+    plain = per.agg(*(F.coalesce(F.sum(f"`{n}`"), F.lit(0)).alias(n) for n in counts), F.count_if(there).alias(f"units|{item}|items"), F.count_if(there & F.expr("_a <> _b")).alias(f"units|{item}|mixed"))
+    kinds = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).groupBy(*key).agg(F.sum("_n").alias("_rows"), F.count("*").alias("_kinds"))
+    beyond = lambda n: F.coalesce(F.sum(F.col("_rows") - n), F.lit(0))
+    repeated = kinds.agg(beyond(F.col("_kinds")).alias("duplicates||exact"), beyond(1).alias(f"duplicates|{','.join(key)}|key"))
+    long = [one.select(*(F.col(f"`{c}`").cast("long") for c in one.columns)).unpivot([], one.columns, "name", "value") for one in (plain, repeated)]
+    out = long[0].unionByName(long[1])
     drift = [("drift", c, "new", 1) for c in sorted(set(df.columns) - set(expected))] + [("drift", c, "missing", 1) for c in sorted(set(expected) - set(df.columns))]
     part = F.split("name", r"\|")
     out = out.select(part[0].alias("check"), part[1].alias("column"), part[2].alias("metric"), "value")

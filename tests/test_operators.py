@@ -438,3 +438,23 @@ def test_gold_fact_makes_its_rows_once_however_large_the_groups(spark, monkeypat
     out = registry.QUERIES["gold_fact"](spark, d)
     assert not written and out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
     assert compare.rows(out.toPandas()) == compare.rows(compare.oracle(d, registry.SQL["gold_fact"]))
+
+
+def test_bronze_report_reads_the_lines_and_their_parts_twice(spark):
+    from spendlake import registry
+
+    out = registry.QUERIES["bronze_report"](spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 4
+
+
+def test_bronze_report_of_copies_and_gaps(spark):
+    row = ("k", "s", 1.0, "2025-01-01", "i", "KG")
+    rows = [row, row, row[:2] + (-1.0,) + row[3:], (None, "s", 0.0, "n/a", "i", "G"), (None, "s", 0.0, "n/a", "i", "G"), (None, None, None, None, None, "KG"), (None, None, None, None, None, "G"), ("z", "s", 2.0, None, "j", None)]
+    df = spark.createDataFrame(rows, "k string, s string, p double, d string, i string, u string")
+    report = lambda df: {(r["check"], r["column"], r["metric"]): r["value"] for r in quality.bronze_report(df, ["k", "s", "p", "d", "i", "x"], ["k", "s"], "p", ["d"], "i", "u", "s").collect()}
+    drift = {("drift", "u", "new"): 1, ("drift", "x", "missing"): 1}
+    assert report(df) == {
+        ("shape", "", "rows"): 8, ("range", "p", "below"): 1, ("range", "p", "zero"): 2, ("reference", "s", "missing"): 2, ("dates", "d", "invalid"): 2, ("duplicates", "", "exact"): 2, ("duplicates", "k,s", "key"): 4,
+        ("units", "i", "items"): 2, ("units", "i", "mixed"): 1, **{("nulls", c, "n"): n for c, n in zip("kspdiu", (4, 2, 2, 3, 2, 1), strict=True)}, **drift,
+    }
+    assert set(report(df.limit(0)).values()) == {0, 1} and len(report(df.limit(0))) == len(report(df))
