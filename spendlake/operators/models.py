@@ -113,9 +113,9 @@ def out_of_time(fitted_on: DataFrame, test: DataFrame, id_column: str, fit: Call
 
 def fitted_errors(train: DataFrame, later: DataFrame, fit: Callable[[DataFrame], PipelineModel]) -> DataFrame:
     """Errors on `later` of a model fitted on `train`; priors come from `train` alone."""
-    prior = target_mean(train)
+    prior = stored(target_mean(train))
     default = train.agg(F.avg("log_price")).first()[0] or 0.0
-    model = fit(with_prior(train, prior, default))
+    model = fit(stored(with_prior(train, prior, default)))  # read by every indexer and by the fit
     return prediction_errors(score(model, with_prior(later, prior, default)), train)
 
 

@@ -57,9 +57,10 @@ def _(spark, d):
 def _(spark, d):
     """The first configuration of boosted trees against a tuned one on the same validation rows, by clustered bootstrap."""
     rows = stored(analytics._observations(spark, d))
-    train, later = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
-    errors = lambda **how: stored(models.fitted_errors(train, later, lambda part: models.trees(part, **how)))
-    return comparison.compare_models(errors(rounds=5), {"tuned": errors(rounds=8, depth=6)}, "id", "item_key")
+    train = rows.filter("split = 'train'").select("item_key", "log_quantity", "log_price", *models.CATEGORIES)
+    later = rows.filter("split = 'validation'")
+    errors = lambda **how: stored(models.fitted_errors(train, later, lambda part: models.trees(part, **how)).select("id", "item_key", "abs_log_error"))
+    return comparison.compare_models(errors(rounds=5), {"tuned": errors(rounds=8, depth=6)}, "id", "item_key", fixed=False)
 
 
 # ---- extracts ----

@@ -458,3 +458,39 @@ def test_bronze_report_of_copies_and_gaps(spark):
         ("units", "i", "items"): 2, ("units", "i", "mixed"): 1, **{("nulls", c, "n"): n for c, n in zip("kspdiu", (4, 2, 2, 3, 2, 1), strict=True)}, **drift,
     }
     assert set(report(df.limit(0)).values()) == {0, 1} and len(report(df.limit(0))) == len(report(df))
+
+
+def test_draws_that_no_sql_fixes_are_numpys(spark, monkeypatch):
+    from spendlake.plans import reports
+
+    rows = [(f"c{k % 300}" if k % 7 else None, float(k % 11) - 5) for k in range(3000)]
+    pairs = spark.createDataFrame(rows, "item_key string, delta double")
+    quick = lambda df, times: resampling.resampled(df, "item_key", "delta", times, leaf=16, fixed=False).toPandas().sort_values("b").reset_index(drop=True)
+    got, n = quick(pairs, 400), len({c for c, _ in rows})
+    assert len(got) == 400 and (got.n == n).all() and len(got.c.unique()) > 50
+    assert (quick(pairs.repartition(3), 400) - got).abs().max().max() < 1e-9  # in any run
+    per = pairs.groupBy("item_key").agg(F.sum("delta").alias("s"), F.count("*").alias("c")).toPandas()
+    for name in "sc":  # moments of a multinomial sum
+        x, y = per[name].to_numpy(float), got[name].to_numpy(float)
+        spread = resampling.np.sqrt(n * x.var())
+        assert abs(y.mean() - x.sum()) < 4 * spread / 20 and abs(y.std() / spread - 1) < 0.15
+    assert quick(pairs.limit(0), 5).empty
+    asked = []
+    monkeypatch.setattr(reports.comparison, "compare_models", lambda *a, **how: asked.append(how) or a[0])
+    monkeypatch.setattr(reports.models, "fitted_errors", lambda train, later, fit: later.withColumn("abs_log_error", F.lit(0.0)))
+    reports.analytics.QUERIES["tuned_against_first"](spark, "/root/testdata/sf0.001")
+    assert asked == [{"fixed": False}]
+
+
+def test_paired_rows_cross_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(comparison, "stored", lambda df: written.append(df) or tables.stored(df))
+    rows = lambda *rows: spark.createDataFrame(rows, "id string, c string, abs_log_error double")
+    a = rows(("x", "k", 1.0), ("y", None, 2.0))
+    out = comparison.paired(a, rows(("x", "k", 1.5), ("y", None, 1.0)), "id", "c")
+    assert {tuple(r) for r in out.collect()} == {("x", "k", 0.5), ("y", None, -1.0)} and len(written) == 1 and exchanges(written[0]) <= 1
+    more = rows(("x", "k", 1.5), ("y", None, 1.0), ("z", "k", 1.0), (None, "k", 1.0))
+    assert comparison.paired(a, more, "id", "c", whole=False).count() == 2
+    for one, two, why in ((a, more, "differ"), (more, more, "differ"), (a, a.limit(1), "differ"), (a.union(a), a, "repeats in the reference"), (a, a.union(a), "repeats in the challenger"), (a, rows(("x", "q", 1.0), ("y", None, 1.0)), "c differs")):
+        with pytest.raises(ValueError, match=why):
+            comparison.paired(one, two, "id", "c")
